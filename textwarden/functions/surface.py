@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textwarden import fixed_values as fv
-from textwarden.functions.regex import replace_matches, series_udf
+from textwarden.functions.regex import let, replace_matches, series_udf
 from textwarden.functions.text import decode_entities
 
 _WORD = "[A-Za-z0-9_]"
@@ -57,6 +57,16 @@ def decode_utf7(text: Column) -> Column:
     return F.coalesce(_undo_utf7_udf(F.when(text.rlike(r"\+A[C-H].*-"), text)), text)
 
 
+@series_udf(T.ArrayType(T.StringType()))
+def _undo_utf7_each_udf(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [_undo_utf7(text) for text in texts], na_action="ignore")
+
+
+def decode_utf7_each(texts: Column) -> Column:
+    wanted = F.exists(texts, lambda text: text.rlike(r"\+A[C-H].*-"))
+    return F.coalesce(_undo_utf7_each_udf(F.when(wanted, texts)), texts)
+
+
 def _shorten_overlong(text: Column) -> Column:
     """Two-byte overlong escapes become the one-byte escape they stand for; stray lead bytes are dropped."""
 
@@ -94,9 +104,14 @@ def collapse_line_breaks(text: Column) -> Column:
     return F.translate(inside, "\t\r\n", "   ")
 
 
+def decode_shifted(text: Column) -> Column:
+    """Query escapes, overlong bytes and entities of a text whose UTF-7 is undone."""
+    return let(decode_escapes(text), decode_entities)
+
+
 def decode_surface(text: Column) -> Column:
     """UTF-7, query escapes, overlong bytes and entities, in that order."""
-    return decode_entities(decode_escapes(decode_utf7(text)))
+    return decode_shifted(decode_utf7(text))
 
 
 def spaced_view(decoded: Column) -> Column:

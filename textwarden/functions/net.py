@@ -58,23 +58,40 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(_IPV4), number)
 
 
+def _ipv6_key(text: str) -> str | None:
+    try:
+        parsed = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return f"{int(parsed):032x}|{parsed.ipv4_mapped or parsed.compressed}"
+
+
 @series_udf(T.StringType())
 def _ipv6_key_udf(addresses: pd.Series) -> pd.Series:
-    def key(text: str) -> str | None:
-        try:
-            parsed = ipaddress.IPv6Address(text)
-        except ValueError:
-            return None
-        return f"{int(parsed):032x}|{parsed.ipv4_mapped or parsed.compressed}"
+    return addresses.map(_ipv6_key, na_action="ignore")
 
-    return addresses.map(key, na_action="ignore")
 
+@series_udf(T.ArrayType(T.StringType()))
+def _ipv6_keys_udf(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [_ipv6_key(text) for text in texts], na_action="ignore")
 
-def address_key(address: Column) -> Column:
-    """Sortable key 'hex|canonical' of an IPv4 or IPv6 address, NULL for anything else."""
+
+def _ipv4_key(address: Column) -> Column:
     number = ipv4_number(address)
-    v4 = F.concat(F.lit(_MAPPED_PREFIX), F.lpad(F.lower(F.hex(number)), 8, "0"), F.lit("|"), address)
-    return F.coalesce(v4, _ipv6_key_udf(F.when(F.contains(address, F.lit(":")), address)))
+    return F.concat(F.lit(_MAPPED_PREFIX), F.lpad(F.lower(F.hex(number)), 8, "0"), F.lit("|"), address)
+
+
+def address_key(address: Column) -> Column:
+    """Sortable key 'hex|canonical' of an IPv4 or IPv6 address, NULL for anything else. IPv4 stays in the JVM."""
+    return F.coalesce(_ipv4_key(address), _ipv6_key_udf(F.when(F.contains(address, F.lit(":")), address)))
+
+
+def address_keys(addresses: Column) -> Column:
+    """Keys of an array of addresses."""
+    has_v6 = F.exists(addresses, lambda address: F.contains(address, F.lit(":")))
+    v6 = _ipv6_keys_udf(F.when(has_v6, addresses))
+    v4 = F.transform(addresses, _ipv4_key)
+    return F.when(v6.isNull(), v4).otherwise(F.zip_with(v4, v6, lambda a, b: F.coalesce(a, b)))
 
 
 def network_ranges(entries: Sequence[str]) -> list[tuple[str, str]]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textwarden import fixed_values as fv
 from textwarden.functions import text as tx
 from textwarden.functions.regex import let, unicode_words
+from textwarden.operators.barrier import pin
 from textwarden.operators.views import with_views
 
 _SEPARATORS = unicode_words(fv.CANARY_SEPARATORS)
@@ -147,7 +148,7 @@ def find_leaks(
             token.alias("token"), F.coalesce(kind, F.when(encoded(token), fv.CANARY_KINDS[8])).alias("kind")
         ),
     )
-    df = df.withColumn("_leak", F.get(F.filter(judged, lambda leak: leak["kind"].isNotNull()), F.lit(0)))
+    df = pin(df, {"_leak": F.get(F.filter(judged, lambda leak: leak["kind"].isNotNull()), F.lit(0))})
     leak = F.col("_leak")
     lead = "Canary token leaked in model output (" if profile == "gateway" else "Canary secret token detected in LLM response output ("
     found = leak.isNotNull()

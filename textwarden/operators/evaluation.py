@@ -127,15 +127,15 @@ def false_positives(cases: DataFrame, is_attack: str, rule: str) -> DataFrame:
 def shielded_comparison(models: DataFrame, cases: DataFrame, is_attack: str, detected: str) -> DataFrame:
     """Each model's own defence (given by the user) next to the measured shielded rates.
 
-    The measured side is a single aggregate row, attached to every model row.
+    The measured side is one aggregate row, taken as a scalar subquery.
     """
     measured = with_scores(cases.agg(*_cell_counts(F.col(is_attack), F.col(detected)))).select(
-        F.col("block_rate").alias("shielded_defense"), "fp_rate", F.col("f1").alias("f1_score")
+        F.struct(F.col("block_rate").alias("shielded_defense"), "fp_rate", F.col("f1").alias("f1_score"))
     )
     native = (F.col("native_pi_defense") + F.col("native_jb_defense")) / 2 * 100
-    return models.withColumn("native_defense", native).join(F.broadcast(measured)).withColumn(
-        "uplift", F.col("shielded_defense") - F.col("native_defense")
-    )
+    compared = models.withColumns({"native_defense": native, "_measured": measured.scalar()})
+    uplift = F.col("_measured.shielded_defense") - F.col("native_defense")
+    return compared.select("*", "_measured.*", uplift.alias("uplift")).drop("_measured")
 
 
 def with_overhead(models: DataFrame, overhead_ms: float | Column, base: str = "avg_base_latency_ms") -> DataFrame:

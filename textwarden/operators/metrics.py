@@ -71,18 +71,22 @@ def recent_events(outcomes: DataFrame, order: list[str], limit: int = fv.RECENT_
 
 def snapshot(outcomes: DataFrame, order: list[str], event_columns: list[str], limit: int = fv.RECENT_EVENTS) -> DataFrame:
     """One row with counters, averages, breakdown maps and the recent events."""
-    totals = outcomes.agg(*counter_columns(), *latency_columns())
-    threats = threat_breakdown(outcomes).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("threat_category", "n")))).alias("threat_breakdown")
-    )
-    statuses = status_breakdown(outcomes).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_breakdown")
-    )
-    events = recent_events(outcomes, order, limit).agg(
-        F.array_sort(F.collect_list(F.struct(*order, *event_columns))).alias("recent_events")
-    )
-    # Four one-row results side by side.
-    return totals.join(threats).join(statuses).join(events)
+    parts = [
+        outcomes.agg(*counter_columns(), *latency_columns()),
+        threat_breakdown(outcomes).agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("threat_category", "n")))).alias("threat_breakdown")
+        ),
+        status_breakdown(outcomes).agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_breakdown")
+        ),
+        recent_events(outcomes, order, limit).agg(
+            F.array_sort(F.collect_list(F.struct(*order, *event_columns))).alias("recent_events")
+        ),
+    ]
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part, allowMissingColumns=True)
+    return together.agg(*[F.first(name, ignorenulls=True).alias(name) for name in together.columns])
 
 
 def long_form(outcomes: DataFrame) -> DataFrame:

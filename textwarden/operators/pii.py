@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textwarden import fixed_values as fv
 from textwarden.functions import text as tx
+from textwarden.operators.barrier import pin
 from textwarden.functions.regex import let, replace_matches, series_udf, unicode_words
 
 import unicodedata
@@ -109,7 +110,7 @@ def mask_pii(
     numbered = {
         f"n_{label.lower()}": F.coalesce(F.col(f"_n{n}"), F.lit(0)).cast("bigint") for n, (label, _, _) in enumerate(rules)
     } if counts else {}
-    return df.withColumns({out: masked} | numbered).select(*kept, out, *numbered)
+    return pin(df, {out: masked} | numbered).select(*kept, out, *numbered)
 
 
 def entity_rollup(df: DataFrame, text: str, *by: str, profile: str = "gateway") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textwarden import fixed_values as fv
 from textwarden.functions import text as tx
 from textwarden.functions.regex import any_of, first_rule, has_literals, let, matched_text, pick, unicode_words
+from textwarden.operators.barrier import pin
 from textwarden.operators.pii import mask_pii
 from textwarden.operators.views import with_views
 
@@ -198,7 +199,7 @@ def detect(
             for label, glue in zip(fv.BOUNDARY_LABELS, ("", " "))
         ]
     written = F.filter(F.array(*forms), lambda form: form["text"].isNotNull())
-    df = df.withColumns({f"_{name}_plain": _first_reading_hit(written, detector) for name, detector in wanted.items()})
+    df = pin(df, {f"_{name}_plain": _first_reading_hit(written, detector) for name, detector in wanted.items()})
     found = {name: _hit_verdict(F.col(f"_{name}_plain"), detector) for name, detector in wanted.items()}
     is_open = {name: F.col(f"_{name}_plain").isNull() & ~blank for name in wanted}
     oversize = _oversize(F.col(text)) if not sdk else F.lit(None).cast(VERDICT)
@@ -224,7 +225,7 @@ def detect(
         name: F.when(blank, _clean("")).otherwise(F.coalesce(column, _clean(reasons[name])))
         for name, column in found.items()
     }
-    return df.withColumns(result).select(*kept, *result)
+    return pin(df, result).select(*kept, *result)
 
 
 @dataclass(frozen=True)
@@ -282,7 +283,7 @@ def decide(
         .when(masking, outcome(True, F.col("_pii.sanitized_text"), "PII_DETECTED", "MEDIUM", 0.9, types))
         .otherwise(outcome(True, F.col(text), "NONE", "LOW", 0.0, "request passed guardrails"))
     )
-    return df.withColumn(out, decision).select(*kept, out)
+    return pin(df, {out: decision}).select(*kept, out)
 
 
 def risk_level(score: Column) -> Column:

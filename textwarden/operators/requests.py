@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textwarden import fixed_values as fv
 from textwarden.functions import surface as sf
 from textwarden.functions import text as tx
+from textwarden.operators.barrier import pin
 from textwarden.functions.regex import all_of, ascii_words, first_rule, let, matched_text, pick, unicode_words
 
 VERDICT = (
@@ -191,7 +192,7 @@ def scan_requests(
         ],
     }
     ordered = [hit for category in CATEGORIES if category in categories for hit in hits[category]]
-    df = df.withColumn("_hit", F.coalesce(*ordered))
+    df = pin(df, {"_hit": F.coalesce(*ordered)})
     return df.withColumn(out, _verdict(F.col("_hit"))).select(*kept, out)
 
 
@@ -246,7 +247,7 @@ def scan_texts(df: DataFrame, text: str, out: str = "verdict", profile: str = "s
         subject = sf.unwrap_comments(tx.decode_entities(sf.decode_escapes(subject)))
     df = df.withColumn("_subject", subject)
     number = first_rule([F.col("_subject").rlike(unicode_words(rule[4])) for rule in _SDK])
-    df = df.withColumn("_number", number)
+    df = pin(df, {"_number": number})
     found = F.col("_number").isNotNull()
 
     def field(place: int, otherwise: str) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from textwarden import fixed_values as fv
 from textwarden.functions import text as tx
 from textwarden.functions.regex import let
+from textwarden.operators.barrier import pin
 
 _STAGES = dict(
     zip(
@@ -192,7 +193,7 @@ def with_views(
     """Add an array column of (label, text) readings of ``text``; NULL text gives NULL."""
     stages = PROFILES[profile]
     raw, current = F.col(text), F.col("_state.current")
-    df = df.withColumn("_state", _normalized(raw, stages))
+    df = pin(df, {"_state": _normalized(raw, stages)})
     rotations = F.array_compact(
         F.array(
             F.struct(F.lit(fv.ROT13_LABEL).alias("label"), tx.rot13(raw).alias("text")),
@@ -210,7 +211,7 @@ def with_views(
             (F.size(kept) >= limit) | F.exists(kept, lambda earlier: earlier["text"] == reading["text"]), kept
         ).otherwise(F.concat(kept, F.array(reading))),
     )
-    return df.withColumn(out, F.when(raw.isNotNull(), first_readings)).drop("_state")
+    return pin(df, {out: F.when(raw.isNotNull(), first_readings)}).drop("_state")
 
 
 def deobfuscate(df: DataFrame, id_col: str, text: str, limit: int = fv.MAX_VIEWS) -> DataFrame:

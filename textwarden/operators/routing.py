@@ -136,7 +136,7 @@ def client_ip(df: DataFrame, remote: str, forwarded: str, trusted: Sequence[str]
         return df.withColumn(out, F.col(remote))
     kept = df.columns
     ranges = net.network_ranges(trusted)
-    hops = F.transform(F.split(F.coalesce(F.col(forwarded), F.lit("")), ",", -1), F.trim)
+    hops = F.transform(F.split(F.coalesce(F.col(forwarded), F.lit("")), ",", -1), lambda hop: F.trim(hop))
     df = df.withColumns({"_peer": net.address_key(net.peer_host(F.col(remote))), "_hops": F.reverse(hops)})
     df = df.withColumn("_keys", net.address_keys(F.col("_hops")))
     untrusted = F.filter("_keys", lambda key: key.isNotNull() & ~net.in_ranges(key, ranges))

@@ -19,7 +19,7 @@ from textwarden.operators import (
 from textwarden.operators.routing import Route
 from textwarden.plans import plants
 from textwarden.schemas import API_KEY
-from textwarden.session import shared_folder
+from textwarden.session import SETTINGS, shared_folder
 from textwarden.sources import audit_log, exposition
 from textwarden.streaming import jobs
 
@@ -639,7 +639,7 @@ def status_breakdown(spark, folder):
 
 @query
 def latency_avg(spark, folder):
-    return metrics.latency_averages(_outcomes(spark, folder)).select(*_rounded(_AVERAGES))
+    return metrics.latency_averages(_outcomes(spark, folder)).select(*_rounded(_AVERAGES, 9))
 
 
 @query
@@ -653,7 +653,7 @@ def metrics_snapshot(spark, folder):
     snap = metrics.snapshot(_outcomes(spark, folder), ["ts", "trace_id"], ["action", "threat_category"])
     entries = lambda name: F.array_join(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string"))), ";").alias(name)
     return snap.select(
-        "total", "allowed", "blocked", "masked", *_rounded(_AVERAGES), entries("threat_breakdown"), entries("status_breakdown"),
+        "total", "allowed", "blocked", "masked", *_rounded(_AVERAGES, 9), entries("threat_breakdown"), entries("status_breakdown"),
         F.array_join(F.transform("recent_events", lambda e: e["trace_id"]), ",").alias("recent_traces"),
     )
 
@@ -795,14 +795,14 @@ def _stream_outcomes(stream: DataFrame) -> DataFrame:
 @query
 def stream_metrics(spark, folder):
     windowed = jobs.windowed_metrics(_stream_outcomes(_event_stream(spark, folder)), "ts", "1 day")
-    flat = windowed.select(F.unix_seconds("window.start").alias("start_s"), "total", "allowed", "blocked", "masked", *_rounded(_AVERAGES))
+    flat = windowed.select(F.unix_seconds("window.start").alias("start_s"), "total", "allowed", "blocked", "masked", *_rounded(_AVERAGES, 9))
     return spark.read.parquet(_run(spark, flat, "complete", "stream-metrics", _replace))
 
 
 @query
 def stream_sliding_metrics(spark, folder):
     windowed = jobs.windowed_metrics(_stream_outcomes(_event_stream(spark, folder)), "ts", "2 days", "1 day", "10 minutes", "action")
-    flat = windowed.select(F.unix_seconds("window.start").alias("start_s"), "action", "total", *_rounded(_AVERAGES))
+    flat = windowed.select(F.unix_seconds("window.start").alias("start_s"), "action", "total", *_rounded(_AVERAGES, 9))
     return spark.read.parquet(_run(spark, flat, "complete", "stream-sliding", _replace))
 
 
@@ -827,6 +827,7 @@ def stream_audit(spark, folder):
         ),
         "event_id", "ts_ns", WRITERS, ROTATION,
     )
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     rows = spark.read.parquet(_run(spark, jobs.chain_stream(events), "append", "stream-audit"))
     return rows.where("kind = 'RECORD'").select("event_id", "chain_id", "record_no", "record_hash")
 

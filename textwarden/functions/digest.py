@@ -53,13 +53,17 @@ def rfc3339_nanos(text: Column) -> Column:
                 + F.try_to_number(minutes, F.lit("99")).cast("bigint") * 60)
     )
     stamp = F.to_timestamp_ntz(F.replace(F.upper(seconds), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
-    whole = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), stamp)
-    return F.when(seconds != "", (whole - offset) * 1_000_000_000 + fraction.cast("bigint"))
+    return F.when(
+        seconds != "", epoch_micros(stamp) * 1000 - offset * 1_000_000_000 + fraction.cast("bigint")
+    )
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds since the epoch of a timestamp without zone; independent of the session time zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+    """Microseconds since the epoch of a timestamp without zone, from its fields; the session zone plays no part."""
+    stamp = ts.cast("timestamp_ntz")
+    micros = (F.extract(F.lit("SECOND"), stamp) * 1_000_000).cast("bigint")
+    minutes = F.unix_date(stamp.cast("date")).cast("bigint") * 1440 + F.hour(stamp) * 60 + F.minute(stamp)
+    return minutes * 60_000_000 + micros
 
 
 def nanos_rfc3339(nanos: Column) -> Column:

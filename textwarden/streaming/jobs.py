@@ -74,7 +74,7 @@ class _ChainState(StatefulProcessor):
         (chain,) = key
         arrived = pd.concat(list(rows)).sort_values(["ts_ns", "event_id"])
         out = []
-        for event_id, tail in zip(arrived["event_id"], arrived["_tail"]):
+        for event_id, tail in zip(arrived["event_id"], arrived["payload_tail"]):
             previous, count = tip, count + 1
             tip = hashlib.sha256(f"prev:{previous}|{tail}".encode()).hexdigest()
             out.append((chain, "RECORD", int(event_id), count, previous, tip))
@@ -97,7 +97,7 @@ def chain_stream(events: DataFrame) -> DataFrame:
     """
     versioned = events.withColumn("checkpoint_version", F.lit(1))
     tailed = versioned.select(
-        "event_id", "chain_id", "ts_ns", payload_tail({name: F.col(name) for name in versioned.columns}).alias("_tail")
+        "event_id", "chain_id", "ts_ns", payload_tail({name: F.col(name) for name in versioned.columns}).alias("payload_tail")
     )
     schema = "chain_id string, kind string, event_id bigint, record_no bigint, prev_record_hash string, record_hash string"
     return tailed.groupBy("chain_id").transformWithStateInPandas(

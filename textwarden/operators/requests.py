@@ -71,33 +71,53 @@ def _sample(text: Column, number: Column) -> Column:
     return F.when(F.length(found) > 50, F.concat(F.substring(found, 1, 50), F.lit("..."))).otherwise(found)
 
 
-def _entry(surface: str, text: Column) -> Column:
-    return F.struct(F.lit(surface).alias("surface"), text.alias("text"))
+def _entries(category: str, marked: bool, *parts: tuple[str, Column]) -> Column:
+    """Entries to scan for a category, from (surface, text or array of texts) in order.
 
+    Marked entries also face the strict command rules, or the rules for compact SQL.
+    """
 
-def _first_hit(entries: Column, *families: Family) -> Column:
-    """First entry of (surface, text) that a rule matches, as struct(surface, text, number)."""
-    scanned = F.transform(
-        entries,
-        lambda entry: F.struct(
-            entry["surface"].alias("surface"), entry["text"].alias("text"),
-            rule_number(entry["text"], *families).alias("number"),
-        ),
+    def entry(surface: str, text: Column) -> Column:
+        return F.struct(
+            F.lit(surface).alias("surface"), text.alias("text"), F.lit(category).alias("category"), F.lit(marked).alias("marked")
+        )
+
+    return F.concat(
+        *[
+            F.transform(texts, lambda text: entry(surface, text)) if surface in _PLURAL else F.array(entry(surface, texts))
+            for surface, texts in parts
+        ]
     )
-    return F.get(F.filter(scanned, lambda hit: hit["number"].isNotNull()), F.lit(0))
 
 
-def _entries(*parts: Column) -> Column:
-    """Concatenate single entries and arrays of entries, leaving out entries without text."""
-    return F.filter(F.concat(*parts), lambda entry: entry["text"].isNotNull())
+_PLURAL = ("value", "header")
 
 
-def _one(surface: str, text: Column) -> Column:
-    return F.array(_entry(surface, text))
+def _entry_number(entry: Column) -> Column:
+    text, category, marked = entry["text"], entry["category"], entry["marked"]
+    return (
+        F.when(category == "PATH_TRAVERSAL", rule_number(text, TRAVERSAL))
+        .when(
+            category == "CMD_INJECTION",
+            F.coalesce(rule_number(text, COMMAND), F.when(marked, rule_number(text, STRICT_COMMAND))),
+        )
+        .when(
+            category == "SQL_INJECTION",
+            F.coalesce(F.when(marked, rule_number(text, COMPACT_SQL)), rule_number(text, SQL)),
+        )
+        .otherwise(rule_number(text, XSS))
+    )
 
 
-def _each(surface: str, texts: Column) -> Column:
-    return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda text: _entry(surface, text))
+def _first_hit(entries: Column) -> Column:
+    """First entry that a rule matches, as struct(surface, text, number)."""
+    scanned = F.transform(
+        F.filter(entries, lambda entry: entry["text"].isNotNull()),
+        lambda entry: F.struct(
+            entry["surface"].alias("surface"), entry["text"].alias("text"), _entry_number(entry).alias("number")
+        ),
+    )
+    return F.get(F.filter(scanned, lambda hit: hit["number"].isNotNull()), F.lit(0))
 
 
 def scanned_headers(headers: Column) -> Column:
@@ -164,35 +184,35 @@ def scan_requests(
     df = df.withColumns(compact)
 
     c = F.col
-    p, q, b = _one("path", c("_path")), _one("query", c("_query")), _one("body", c("_body"))
-    v, h = _each("value", c("_values")), _each("header", c("_headers"))
+    p, q, b = ("path", c("_path")), ("query", c("_query")), ("body", c("_body"))
+    v, h = ("value", c("_values")), ("header", c("_headers"))
 
-    def with_second(view: str, name: str) -> Column:
-        return F.concat(_one(name, c(f"_{name}")), _one(name, c(f"_{name}_{view}")))
+    def entries(category: str, *parts, marked: bool = False) -> Column:
+        return _entries(category, marked, *parts)
 
-    hits = {
-        "PATH_TRAVERSAL": [_first_hit(_entries(p, q, v, b, h), TRAVERSAL)],
-        "CMD_INJECTION": [
-            _first_hit(_entries(p, q, v, h), COMMAND, STRICT_COMMAND), _first_hit(_entries(b), COMMAND)
+    def compacted(name: str) -> Column:
+        return entries("SQL_INJECTION", (name, c(f"_{name}_compact")), marked=True)
+
+    def unbroken(name: str) -> tuple[str, Column]:
+        return (name, c(f"_{name}_unbroken"))
+
+    command, sql, xss = CATEGORIES[1:]
+    in_order = {
+        "PATH_TRAVERSAL": [entries("PATH_TRAVERSAL", p, q, v, b, h)],
+        command: [entries(command, p, q, v, h, marked=True), entries(command, b)],
+        sql: [
+            entries(sql, p), compacted("path"), entries(sql, q), compacted("query"), entries(sql, v, b), compacted("body"),
+            entries(sql, h), entries(sql, ("header", c("_headers_compact")), marked=True),
         ],
-        "XSS": [
-            _first_hit(
-                _entries(
-                    with_second("unbroken", "path"), with_second("unbroken", "query"), v, with_second("unbroken", "body"),
-                    h, _each("header", c("_headers_unbroken")),
-                ),
-                XSS,
+        xss: [
+            entries(
+                xss, p, unbroken("path"), q, unbroken("query"), v, b, unbroken("body"), h,
+                ("header", c("_headers_unbroken")),
             )
         ],
-        "SQL_INJECTION": [
-            _first_hit(_entries(p), SQL), _first_hit(_entries(_one("path", c("_path_compact"))), COMPACT_SQL, SQL),
-            _first_hit(_entries(q), SQL), _first_hit(_entries(_one("query", c("_query_compact"))), COMPACT_SQL, SQL),
-            _first_hit(_entries(v, b), SQL), _first_hit(_entries(_one("body", c("_body_compact"))), COMPACT_SQL, SQL),
-            _first_hit(_entries(h), SQL), _first_hit(_entries(_each("header", c("_headers_compact"))), COMPACT_SQL, SQL),
-        ],
     }
-    ordered = [hit for category in CATEGORIES if category in categories for hit in hits[category]]
-    df = pin(df, {"_hit": F.coalesce(*ordered)})
+    chosen = [part for category in CATEGORIES if category in categories for part in in_order[category]]
+    df = pin(df, {"_hit": _first_hit(F.concat(*chosen))})
     return df.withColumn(out, _verdict(F.col("_hit"))).select(*kept, out)
 
 

@@ -23,7 +23,7 @@ def docs(texts) -> str:
     return f"(SELECT doc_id, lang, source, n_chars, text || {planted_sql('doc_id', texts)} AS text FROM documents)"
 
 
-def turns(texts, front: bool = False) -> str:
+def turns(texts) -> str:
     return f"(SELECT conv_id, turn, role, text || {planted_sql('conv_id + turn', texts)} AS text FROM conversations)"
 
 
@@ -142,8 +142,12 @@ ORACLES["oversize_prompts"] = (
     f"SELECT doc_id, n_chars, 'Prompt exceeds max length (' || length(text) || ' > 32000) — possible DoS/obfuscation' AS reason "
     f"FROM {docs(plants.PROMPTS)} WHERE length(text) > 32000"
 )
+_PLACE = "conv_id * 3 + turn"
+_SPLIT = (
+    f"(SELECT conv_id, turn, {planted_sql(f'{_PLACE} + {len(plants.TURN_FRONTS) - 1}', plants.TURN_FRONTS)} || text || {planted_sql(_PLACE, plants.TURN_ENDS)} AS text FROM conversations)"
+)
 _JOINED = (
-    f"(SELECT conv_id, string_agg(text, {q(fv.TURN_SEPARATOR)} ORDER BY turn) AS text FROM {turns(plants.TURN_ENDS)} GROUP BY 1)"
+    f"(SELECT conv_id, string_agg(text, {q(fv.TURN_SEPARATOR)} ORDER BY turn) AS text FROM {_SPLIT} GROUP BY 1)"
 )
 ORACLES["cross_turn_injection"] = (
     f"SELECT conv_id, i.rule AS injection_rule, i.reason AS injection_reason, j.rule AS jailbreak_rule, j.reason AS jailbreak_reason "
@@ -237,7 +241,8 @@ PAGES = f"""(SELECT page_id, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) A
 def decoded_sql(text: str, rounds: int = 3) -> str:
     for _ in range(rounds):
         text = f"(CASE WHEN regexp_matches({text}, '%([^0-9a-fA-F]|$|[0-9a-fA-F]([^0-9a-fA-F]|$))') THEN {text} ELSE url_decode(replace({text}, '+', ' ')) END)"
-    return f"replace(replace({text}, '&lt;', '<'), '&gt;', '>')"
+    # The entities of the planted queries; '&not' counts without a semicolon.
+    return f"replace(replace(replace({text}, '&lt;', '<'), '&gt;', '>'), '&not', '¬')"
 
 
 def comments_sql(text: str, around: str = " ", instead: str = " ") -> str:

@@ -53,10 +53,17 @@ def _documents(spark: SparkSession, folder: str, texts) -> DataFrame:
     return documents.withColumn("text", F.concat("text", plants.planted(F.col("doc_id"), texts)))
 
 
-def _turns(spark: SparkSession, folder: str, texts, front: bool = False) -> DataFrame:
+def _turns(spark: SparkSession, folder: str, texts) -> DataFrame:
     turns = _table(spark, folder, "conversations")
-    planted = plants.planted(F.col("conv_id") + F.col("turn"), texts)
-    return turns.withColumn("text", F.concat(planted, F.lit(" "), F.col("text")) if front else F.concat("text", planted))
+    return turns.withColumn("text", F.concat("text", plants.planted(F.col("conv_id") + F.col("turn"), texts)))
+
+
+def _split_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns that end with half an attack and open with the other half of the turn before."""
+    turns = _table(spark, folder, "conversations")
+    place = F.col("conv_id") * 3 + F.col("turn")
+    front = plants.planted(place + (len(plants.TURN_FRONTS) - 1), plants.TURN_FRONTS)
+    return turns.withColumn("text", F.concat(front, F.col("text"), plants.planted(place, plants.TURN_ENDS)))
 
 
 def _verdict_columns(name: str) -> list[Column]:
@@ -121,7 +128,7 @@ def oversize_prompts(spark, folder):
 
 @query
 def cross_turn_injection(spark, folder):
-    joined = conversations.assemble(_turns(spark, folder, plants.TURN_ENDS))
+    joined = conversations.assemble(_split_turns(spark, folder))
     found = prompts.detect(joined, "prompt", deep=False)
     hit = found.where("injection.detected or jailbreak.detected")
     return hit.select(

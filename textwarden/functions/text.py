@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textwarden import fixed_values as fv
 from textwarden.functions import tables
-from textwarden.functions.regex import replace_matches, unicode_words
+from textwarden.functions.regex import let, replace_matches, unicode_words
 
 _PYTHON_SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -38,6 +38,7 @@ _B64_LOOSE_RUN = rf"(?<!{_B64}){_B64}[A-Za-z0-9+/\-_. \t\r\n]{{14,}}={{0,4}}(?!{
 # last group or the end of the text. Possessive, so that long runs need no recursion.
 _B64_READABLE = rf"^(?:=*+{_B64}=*+{_B64}=?+{_B64}{_B64})*+(?:=*+{_B64}=*+{_B64}(?:==|=?+{_B64}=)|=*+$)"
 _HEX_RUN = unicode_words(r"\b[0-9a-fA-F]{16,}\b")
+_PRINTABLE_START = r"^[\p{L}\p{M}\p{N}\p{P}\p{S} &&[^\x{fffd}]]{3}"
 _PRINTABLE = r"^[\p{L}\p{M}\p{N}\p{P}\p{S} ]+$"
 
 
@@ -211,6 +212,20 @@ def _repair_padding(candidate: Column) -> Column:
     return F.concat(core, F.repeat(F.lit("="), F.when(padding > 2, needed).otherwise(padding)))
 
 
+def _may_be_readable(candidate: Column) -> Column:
+    """False when the first three characters that a candidate decodes to already are not printable.
+
+    Looks at the first 16 code letters, which hold at least three characters, so most prose is dropped undecoded.
+    """
+
+    def reads_well(start: Column) -> Column:
+        decoded = F.make_valid_utf8(F.try_to_binary(start, F.lit("base64")).cast("string"))
+        return (F.length(start) < 16) | F.contains(start, F.lit("=")) | F.substring(decoded, 1, 3).rlike(_PRINTABLE_START)
+
+    letters = F.regexp_replace(F.substring(candidate, 1, 64), r"[^A-Za-z0-9+/=]", "")
+    return F.coalesce(let(F.substring(letters, 1, 16), reads_well), F.lit(True))
+
+
 def base64_payloads(text: Column) -> Column:
     """Distinct readable texts hidden in base64: long tokens first, then strict runs, then runs with punctuation."""
     tokens = F.filter(F.split(text, r"(?U)\s+", -1), lambda token: F.length(token) >= 16)
@@ -221,7 +236,7 @@ def base64_payloads(text: Column) -> Column:
     loose = F.regexp_extract_all(text, F.lit(_B64_LOOSE_RUN), F.lit(0))
     # One transform per step, so that every candidate is read once per step.
     kept = F.transform(
-        F.array_distinct(F.concat(tokens, runs, loose)),
+        F.filter(F.array_distinct(F.concat(tokens, runs, loose)), _may_be_readable),
         lambda candidate: F.regexp_replace(candidate, r"[^A-Za-z0-9+/=]", ""),
     )
     padded = F.transform(F.array_distinct(kept), _repair_padding)

@@ -19,7 +19,7 @@ from textwarden.operators import (
 from textwarden.operators.routing import Route
 from textwarden.plans import plants
 from textwarden.schemas import API_KEY
-from textwarden.session import SETTINGS, shared_folder
+from textwarden.session import SETTINGS, shared_folder, spread
 from textwarden.sources import audit_log, exposition
 from textwarden.streaming import jobs
 
@@ -49,18 +49,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str, texts) -> DataFrame:
-    documents = _table(spark, folder, "documents")
+    documents = spread(_table(spark, folder, "documents"))
     return documents.withColumn("text", F.concat("text", plants.planted(F.col("doc_id"), texts)))
 
 
 def _turns(spark: SparkSession, folder: str, texts) -> DataFrame:
-    turns = _table(spark, folder, "conversations")
+    turns = spread(_table(spark, folder, "conversations"))
     return turns.withColumn("text", F.concat("text", plants.planted(F.col("conv_id") + F.col("turn"), texts)))
 
 
 def _split_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Turns that end with half an attack and open with the other half of the turn before."""
-    turns = _table(spark, folder, "conversations")
+    turns = spread(_table(spark, folder, "conversations"))
     place = F.col("conv_id") * 3 + F.col("turn")
     front = plants.planted(place + (len(plants.TURN_FRONTS) - 1), plants.TURN_FRONTS)
     return turns.withColumn("text", F.concat(front, F.col("text"), plants.planted(place, plants.TURN_ENDS)))
@@ -198,7 +198,7 @@ def sdk_guard_decision(spark, folder):
 
 def _pages(spark, folder) -> DataFrame:
     """Request log made from the crawl: path and query of each URL, with planted queries, cookies and bodies."""
-    pages = _table(spark, folder, "pages").select("page_id", "url")
+    pages = spread(_table(spark, folder, "pages").select("page_id", "url"))
     page = F.col("page_id")
     url_query = F.regexp_extract("url", r"\?([^#]*)", 1)
     planted = plants.planted(page, plants.QUERIES)
@@ -254,7 +254,7 @@ def early_traversal(spark, folder):
 @query
 def html_rule_report(spark, folder):
     """How many crawled pages each script rule would hit: the surface most full of markup."""
-    html = _table(spark, folder, "pages").select("html")
+    html = spread(_table(spark, folder, "pages").select("html"))
     counted = [F.count_if(F.col("html").rlike(requests.ascii_words(rule[3]))).alias(rule[0]) for rule in fv.XSS_RULES]
     return html.agg(F.count("*").alias("pages"), *counted)
 
@@ -339,7 +339,7 @@ def percent_texts(spark, folder):
 @query
 def page_entities(spark, folder):
     """Pages whose text changes when entities are decoded."""
-    pages = _table(spark, folder, "pages").withColumn("decoded", tx.decode_entities(F.col("html")))
+    pages = spread(_table(spark, folder, "pages")).withColumn("decoded", tx.decode_entities(F.col("html")))
     return pages.where("decoded <> html").select("page_id", F.md5("decoded").alias("digest"))
 
 
@@ -512,7 +512,7 @@ def stale_signatures(spark, folder):
 def decision_replay(spark, folder):
     """Outcome of every event replayed as a request with planted query, body, prompt and response."""
     event = F.col("event_id")
-    log = _log(spark, folder).select(
+    log = spread(_log(spark, folder)).select(
         "event_id", "path", "headers", plants.planted(event, plants.QUERIES).alias("query"),
         plants.planted(event, plants.BODIES).alias("body"), F.trim(plants.planted(event, plants.PROMPTS)).alias("prompt"),
         plants.planted(event, plants.LEAKS).alias("response"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textwarden import fixed_values as fv
 from textwarden.functions import text as tx
-from textwarden.functions.regex import any_of, first_rule, has_literals, let, matched_text, pick, unicode_words
+from textwarden.functions.regex import any_of, first_rule, has_literals, matched_text, pick, unicode_words
 from textwarden.operators.barrier import pin
 from textwarden.operators.pii import mask_pii
 from textwarden.operators.views import with_views
@@ -81,14 +81,25 @@ def _java_patterns(detector: Detector) -> list[str]:
     return compiled
 
 
-def rule_number(text: Column, lowered: Column, detector: Detector) -> Column:
+def facts(label: Column, text: Column) -> Column:
+    """A reading with what every rule asks of it: lower-cased text, odd-folding letters, letters beyond ASCII."""
+    return F.struct(
+        label.cast("string").alias("label"),
+        text.alias("text"),
+        F.lower(text).alias("lowered"),
+        any_of([F.contains(text, F.lit(letter)) for letter in _FOLDING_LETTERS]).alias("folds_oddly"),
+        (F.octet_length(text) != F.length(text)).alias("beyond_ascii"),
+    )
+
+
+def rule_number(reading: Column, detector: Detector) -> Column:
     """1-based number of the first pattern that matches. Literals are looked up before a pattern is tried."""
-    folds_oddly = any_of([F.contains(text, F.lit(letter)) for letter in _FOLDING_LETTERS])
-    beyond_ascii = F.octet_length(text) != F.length(text)
+    text, lowered = reading["text"], reading["lowered"]
     conditions = []
     for pattern, literals in zip(_java_patterns(detector), detector.literals):
         in_ascii = any(word.isascii() for group in literals for word in group)
-        possible = has_literals(lowered, literals) | folds_oddly if in_ascii else beyond_ascii & has_literals(lowered, literals)
+        present = has_literals(lowered, literals)
+        possible = reading["folds_oddly"] | present if in_ascii else reading["beyond_ascii"] & present
         conditions.append(possible & text.rlike(pattern))
     return first_rule(conditions)
 
@@ -150,13 +161,8 @@ def _first_reading_hit(readings: Column, detector: Detector) -> Column:
     """First reading that a pattern matches, as struct(label, text, number)."""
     hits = F.transform(
         readings,
-        lambda reading: let(
-            F.lower(reading["text"]),
-            lambda lowered: F.struct(
-                reading["label"].alias("label"),
-                reading["text"].alias("text"),
-                rule_number(reading["text"], lowered, detector).alias("number"),
-            ),
+        lambda reading: F.struct(
+            reading["label"].alias("label"), reading["text"].alias("text"), rule_number(reading, detector).alias("number")
         ),
     )
     return F.get(F.filter(hits, lambda hit: hit["number"].isNotNull()), F.lit(0))
@@ -199,7 +205,8 @@ def detect(
             for label, glue in zip(fv.BOUNDARY_LABELS, ("", " "))
         ]
     written = F.filter(F.array(*forms), lambda form: form["text"].isNotNull())
-    df = pin(df, {f"_{name}_plain": _first_reading_hit(written, detector) for name, detector in wanted.items()})
+    df = pin(df, {"_written": F.transform(written, lambda form: facts(form["label"], form["text"]))})
+    df = pin(df, {f"_{name}_plain": _first_reading_hit(F.col("_written"), detector) for name, detector in wanted.items()})
     found = {name: _hit_verdict(F.col(f"_{name}_plain"), detector) for name, detector in wanted.items()}
     is_open = {name: F.col(f"_{name}_plain").isNull() & ~blank for name in wanted}
     oversize = _oversize(F.col(text)) if not sdk else F.lit(None).cast(VERDICT)
@@ -210,6 +217,7 @@ def detect(
     if deep:
         df = df.withColumn("_probe", F.when(any_of(list(is_open.values())), clean))
         df = with_views(df, "_probe", "_views", profile=profile)
+        df = pin(df, {"_views": F.transform("_views", lambda reading: facts(reading["label"], reading["text"]))})
         for name, detector in wanted.items():
             readings = F.col("_views")
             if detector is INJECTION:

@@ -57,7 +57,14 @@ def skeleton_table() -> tuple[str, str, dict[str, str]]:
             composed = unicodedata.normalize("NFKC", letter + mark)
             if len(composed) == 1 and skeleton(composed) != skeleton(letter):
                 many[letter + mark] = skeleton(composed)
-    many["9"] = "i"
+    many["\ue0069"] = "i"
+    # Results that must not be folded again stand behind reserved code points until the one-to-one step.
+    again = sorted({c for text in many.values() for c in text if c in one})
+    if len(again) > 0xFDEF - 0xFDD1 + 1:
+        raise ValueError("more characters to protect than reserved code points")
+    stand_ins = {c: chr(0xFDD1 + place) for place, c in enumerate(again)}
+    many = {key: "".join(stand_ins.get(c, c) for c in text) for key, text in many.items()}
+    one |= {stand_in: c for c, stand_in in stand_ins.items()}
     return "".join(one) + "".join(gone), "".join(one.values()), many
 
 

@@ -407,6 +407,16 @@ ORACLES["leet_letters"] = (
 )
 ORACLES["percent_texts"] = f"SELECT doc_id, md5(s) AS digest FROM (SELECT doc_id, text, replace(text, '%69', 'i') AS s FROM {_HIDDEN}) WHERE s <> text"
 
+# The entities that occur in the crawl; a bare '&amp' counts too. Three rounds.
+_ENTITIES = "html"
+for _ in range(3):
+    for _name, _value in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"), ("&amp", "&")):
+        _ENTITIES = f"replace({_ENTITIES}, {q(_name)}, {q(_value)})"
+ORACLES["page_entities"] = f"SELECT page_id, md5(s) AS digest FROM (SELECT page_id, html, {_ENTITIES} AS s FROM pages) WHERE s <> html"
+ORACLES["accent_skeletons"] = f"""
+  SELECT lang, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS n_chars, CAST(sum(strlen(s)) AS BIGINT) AS n_bytes
+  FROM (SELECT lang, text, strip_accents(text) AS s FROM {_HIDDEN}) WHERE s <> text GROUP BY 1"""
+
 
 # --- chat bodies -----------------------------------------------------------------------------------------------
 

@@ -12,7 +12,7 @@ again AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY s
 gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(s, s + 35)) AS p FROM again) GROUP BY doc_id),
 kept AS (
   SELECT w.doc_id, words, CASE WHEN places IS NULL THEN words ELSE
-    list_transform(list_filter(list_zip(words, range(1, len(words) + 1), list_transform(range(1, len(words) + 1), i -> list_contains(places, i))), x -> NOT x[3]), x -> x[1]) END AS stay
+    list_transform(list_filter(list_zip(words, range(1, len(words) + 1), list_transform(range(1, len(words) + 1), lambda i: list_contains(places, i))), lambda x: NOT x[3]), lambda x: x[1]) END AS stay
   FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(stay) AS BIGINT) AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept
 """
@@ -22,7 +22,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS words FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS s FROM w),
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s FROM w),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)),

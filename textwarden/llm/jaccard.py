@@ -2,18 +2,25 @@
 
 Order and classes. One order of all tokens puts rare ones first: by a count sketch of fixed size over all documents, then by
 hash. The sketch only ranks; any order gives the same links. Of a set of n tokens, at most ``n - ceil(t n)`` can be missing
-from a partner, so the first ``n - ceil(t n) + 2`` tokens hold two shared ones: either one of the rare class (few documents have
-it) or two of the frequent class. Rare tokens are indexed singly, frequent ones in pairs of one document's prefix.
+from a partner. Tokens of the rare class (few documents have them) are indexed singly, those of a frequent class in
+combinations of k. A class is dealt by hash into parts, and combinations stay in one part. A part can hold k - 1 shared tokens
+without a shared combination, so a prefix ends where its rare tokens and, for each part, its tokens beyond the first k - 1 come
+to ``n - ceil(t n) + 1``. Any two linked documents then share an indexed token or combination, and a document with so
+many tokens of its own that nothing can link with it indexes nothing. Sets too small for so long a prefix use pairs
+in one part; sizes that have partners on both sides of that limit are indexed both ways.
 
 Verifying without all pairs. Equal sets are one representative from the start. Documents under one signature are compared
 with a few hubs of it, equal for all signatures, then what the links join is contracted. A signature whose documents are
-in one component is done, and so is one whose documents have all been hubs; small signatures compare all that is left at once.
-Every pair of different components under a signature is compared before the join ends, so no link that matters is lost.
+in one component is done; of signatures with the same documents one is enough; small ones compare all that is left at once.
+After two rounds so do the others: every pair of different components under a signature is compared, so no link
+that matters is lost, and the pairs inside the large groups are never made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +34,17 @@ SHINGLE = 5
 PERCENT = 75
 #: Counters of the sketch and counters in one of its rows. 512 KB of classes reach every task, whatever the corpus.
 COUNTERS, ROW = 1 << 19, 1 << 9
-#: A token in more sets than this is frequent: it is indexed in pairs.
+#: Tokens in at most RARE sets are indexed singly; the further classes: most sets of a token, tokens combined, parts.
 RARE = 8
+CLASSES = ((1 << 62, 2, 16),)
+EXTENSION = sum((k - 1) * parts for _, k, parts in CLASSES)
+#: Sets smaller than this use pairs in one part.
+WHOLE = 32
+#: Rounds with hubs before the rest is compared pair by pair.
+ROUNDS = 2
 HUBS = 4
 #: Signatures of at most this many documents are compared pair by pair at once.
-SMALL = 8
+SMALL = 16
 #: Texts in one task of a hub's comparisons.
 FAN = 2000
 
@@ -51,6 +64,11 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return of[fresh], token[fresh]
 
 
+def prefix_length(n, percent: int):
+    """Tokens that a set of n can need for its prefix in the worst case."""
+    return np.minimum(n, n - (percent * n + 99) // 100 + 1 + np.where(n * 100 >= WHOLE * percent, EXTENSION, 1))
+
+
 def _slot(token: np.ndarray) -> np.ndarray:
     return (token >> U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
@@ -104,7 +122,7 @@ def _sets(classes, k: int, percent: int, whole: bool):
                     prefixes = [token[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 else:
                     ranked = token[np.lexsort((token, classes.value[_slot(token)], of))]
-                    length = np.minimum(n, n - (percent * n + 99) // 100 + 2)
+                    length = prefix_length(n, percent)
                     prefixes = [ranked[a : a + m].tobytes() for a, m in zip(bounds[:-1], length, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").slice(row, end - row), *map(pa.array, keys), pa.array(n.astype(np.int32)), pa.array(prefixes, pa.binary())],
@@ -119,31 +137,77 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(0, batch.num_rows, 2000):
             part = batch.slice(row, 2000)
             blobs = part.column("tokens").to_pylist()
-            of = pa.array(np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]))
-            yield pa.RecordBatch.from_arrays([part.column("rep").take(of), part.column("n").take(of), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int64))], ["rep", "n", "token"])
+            m = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+            of = pa.array(np.repeat(np.arange(len(blobs)), m))
+            place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(of), part.column("n").take(of), pa.array(place.astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int64))], ["rep", "n", "place", "token"])
 
 
-def _pairs_of_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of the frequent tokens in a prefix: one for each two of them."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            t = np.sort(np.array(batch.column("frequent")[i].as_py(), dtype=np.int64)).view(U)
-            a, b = np.triu_indices(len(t), 1)
-            sig = signed(mix(t[a] * U(3) ^ mix(t[b])))
-            m = len(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.repeat(batch.column(c)[i], m) for c in ("rep", "n"))], ["sig", "rep", "n"])
+@cache
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(-1, k)
+
+
+def _combined(tokens: np.ndarray, k: int, parts: int) -> Iterator[np.ndarray]:
+    """One hash for each k tokens (sorted) that lie in one part."""
+    part = (tokens & U(parts - 1)).astype(np.int64)
+    for p in np.flatnonzero(np.bincount(part, minlength=parts) >= k):
+        own = tokens[part == p]
+        chosen = own[_choices(len(own), k)]
+        h = np.full(len(chosen), (k << 8) + parts, dtype=U)
+        for i in range(k):
+            h = mix(h ^ chosen[:, i])
+        yield h
+
+
+def _least_prefix(df: np.ndarray, part: np.ndarray, k: np.ndarray, need: int) -> int:
+    """Tokens up to where those that count come to ``need``: each part's first k - 1 tokens don't count."""
+    order = np.argsort(part, kind="stable")
+    first = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1]
+    rank = np.empty(len(part), dtype=np.int64)
+    rank[order] = np.arange(len(part)) - np.repeat(first, np.diff(np.r_[first, len(part)]))
+    counted = np.cumsum(rank >= k - 1)
+    return int(np.searchsorted(counted, need)) + 1
+
+
+def _index(percent: int):
+    """Signatures of a document: rare tokens and combinations of frequent ones in its least prefix."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (n, shared) in enumerate(zip(batch.column("n").to_pylist(), batch.column("shared"), strict=True)):
+                place, token, often = (shared.values.field(f).to_numpy() for f in ("place", "token", "count"))
+                length = prefix_length(n, percent)
+                df, tokens = np.ones(length, dtype=np.int64), np.zeros(length, dtype=U)
+                df[place], tokens[place] = often, token.view(U)
+                sigs = [np.zeros(0, dtype=U)]
+                for classes in (CLASSES,) * (n * 100 >= WHOLE * percent) + (((1 << 62, 2, 1),),) * (n < WHOLE):
+                    part, k, least = np.zeros(length, dtype=np.int64), np.ones(length, dtype=np.int64), RARE
+                    for c, (most, size, parts) in enumerate(classes):
+                        inside = (df > least) & (df <= most)
+                        part[inside] = (tokens[inside] & U(parts - 1)).astype(np.int64) + (c + 1) * 1000
+                        k[inside], least = size, most
+                    end = _least_prefix(df, part, k, n - (percent * n + 99) // 100 + 1)
+                    own, least = slice(0, end), RARE
+                    sigs.append(tokens[own][(df[own] > 1) & (df[own] <= RARE)])
+                    for most, size, parts in classes:
+                        sigs += _combined(np.sort(tokens[own][(df[own] > least) & (df[own] <= most)]), size, parts)
+                        least = most
+                sig = signed(np.unique(np.concatenate(sigs)))
+                if len(sig):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.repeat(batch.column(c)[i], len(sig)) for c in ("rep", "n"))], ["sig", "rep", "n"])
+
+    return work
 
 
-def signatures(reps: DataFrame) -> DataFrame:
-    """(sig, rep, n) out of prefixes: rare tokens themselves, pairs of frequent ones; those of one document only are left out."""
-    tokens = reps.select("rep", "n", "tokens").mapInArrow(_explode, "rep long, n int, token long")
+def signatures(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(sig, rep, n) out of prefixes; signatures of one document only are left out."""
+    tokens = reps.select("rep", "n", "tokens").mapInArrow(_explode, "rep long, n int, place int, token long")
     df = tokens.groupBy("token").count().where("count > 1")
-    shared = keep(tokens.join(df, "token"), "prefix-tokens")
-    rare = shared.where(F.col("count") <= RARE).select(F.col("token").alias("sig"), "rep", "n")
-    frequent = shared.where(F.col("count") > RARE).groupBy("rep", "n").agg(F.collect_list("token").alias("frequent")).where("size(frequent) > 1")
-    pairs = frequent.mapInArrow(_pairs_of_tokens, "sig long, rep long, n int")
-    again = pairs.groupBy("sig").count().where("count > 1").select("sig")
-    return rare.unionByName(pairs.join(again, "sig"))
+    shared = tokens.join(df, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("place", "token", "count")).alias("shared"))
+    sigs = keep(shared.mapInArrow(_index(percent), "sig long, rep long, n int"), "index")
+    again = sigs.groupBy("sig").count().where("count > 1").select("sig")
+    return sigs.join(again, "sig")
 
 
 def _verify(percent: int):
@@ -187,18 +251,19 @@ def link_components(sigs: DataFrame, sets_of, percent: int = PERCENT) -> DataFra
     spark: SparkSession = sigs.sparkSession
     open_sigs = keep(sigs.withColumn("comp", F.col("rep")), "signatures")
     found = None
-    while True:
+    for turn in count():
         spread = open_sigs.groupBy("sig").agg(
-            F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+            F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("members"),
             F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "comp", "n")) for i in range(HUBS)))).alias("hubs"),
-        ).where("low <> high").select("sig", "size", "hubs")
+        ).where("low <> high").dropDuplicates(["size", "members"]).select("sig", "size", "hubs")
         live = keep(open_sigs.join(spread, "sig"), "live-signatures")
         if live.isEmpty():
             break
-        small = live.where(F.col("size") <= SMALL)
+        at_once = F.lit(turn == ROUNDS) | (F.col("size") <= SMALL)
+        small = live.where(at_once)
         left, right = (small.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "comp", "n"))) for s in "12")
         near = left.join(right, "sig").where((F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & _alike("n1", "n2", percent)).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
-        large = live.where(F.col("size") > SMALL)
+        large = live.where(~at_once)
         met = large.select("rep", "comp", "n", F.explode("hubs").alias("hub")).where((F.col("comp") != F.col("hub.comp")) & _alike("n", "hub.n", percent)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
         pairs = keep(near.unionByName(met).distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
@@ -233,7 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = texts.mapInArrow(_sets(classes, k, percent, True), schema)
         return asked.join(found.select("k1", "k2", "tokens"), ["k1", "k2"]).groupBy("rep").agg(F.first("tokens").alias("tokens"))
 
-    linked = link_components(signatures(reps), sets_of, percent)
+    linked = link_components(signatures(reps, percent), sets_of, percent)
     named = reps.join(linked, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     own = described.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "k1", "k2", F.when((F.col("n") == 0) | F.col("_id").isNull(), F.col("_id")).alias("alone"))
     alone = F.col("alone").isNotNull() | F.col(id_col).isNull()

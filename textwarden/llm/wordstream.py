@@ -74,7 +74,7 @@ class Words:
             before[cut[cut < n]] = False
             after[cut[cut > 0] - 1] = False
         self.starts, self.ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        self.bounds = np.searchsorted(self.starts, offsets)
+        self.offsets, self.bounds = offsets, np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)
 
     def __len__(self) -> int:
@@ -122,7 +122,7 @@ class Runs:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) over a string column; null counts as empty, no document is cut."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
@@ -135,6 +135,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
+        end = min(end, row + rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
@@ -144,5 +145,24 @@ def words_in(column: pa.Array, letters: np.ndarray, lower: bool) -> Iterator[tup
         yield row, end, Words(data, offsets, letters, lower)
 
 
+def gram_counts(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], width: int) -> np.ndarray:
+    """(document, slot) counts of hashed byte n-grams of the given sizes; none reaches into the next document."""
+    docs = len(offsets) - 1
+    doc = np.repeat(np.arange(docs), np.diff(offsets))
+    room = offsets[1:][doc] - np.arange(len(data))
+    out = np.zeros(docs * width)
+    code = np.zeros(len(data), dtype=U)
+    for n in range(1, max(sizes) + 1):
+        held = len(data) - n + 1
+        if held <= 0:
+            break
+        code = (code[:held] << U(8)) | data[n - 1 :]
+        if n in sizes:
+            fits = room[:held] >= n
+            slot = ((code[fits] + U(n << 40)) * U(0x9E3779B97F4A7C15)) >> U(64 - width.bit_length() + 1)
+            out += np.bincount(doc[:held][fits] * width + slot.astype(np.int64), minlength=docs * width)
+    return out.reshape(docs, width)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

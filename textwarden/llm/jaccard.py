@@ -203,10 +203,10 @@ def _index(percent: int):
 def signatures(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(sig, rep, n) out of prefixes; signatures of one document only are left out."""
     tokens = reps.select("rep", "n", "tokens").mapInArrow(_explode, "rep long, n int, place int, token long")
-    df = tokens.groupBy("token").count().where("count > 1")
+    df = keep(tokens.groupBy("token").count().where("count > 1"), "shared-tokens")
     shared = tokens.join(df, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("place", "token", "count")).alias("shared"))
     sigs = keep(shared.mapInArrow(_index(percent), "sig long, rep long, n int"), "index")
-    again = sigs.groupBy("sig").count().where("count > 1").select("sig")
+    again = keep(sigs.groupBy("sig").count().where("count > 1").select("sig"), "shared-signatures")
     return sigs.join(again, "sig")
 
 

@@ -6,8 +6,12 @@ from a partner. Tokens of the rare class (few documents have them) are indexed s
 combinations of k. A class is dealt by hash into parts, and combinations stay in one part. A part can hold k - 1 shared tokens
 without a shared combination, so a prefix ends where its rare tokens and, for each part, its tokens beyond the first k - 1 come
 to ``n - ceil(t n) + 1``. Any two linked documents then share an indexed token or combination, and a document with so
-many tokens of its own that nothing can link with it indexes nothing. Sets too small for so long a prefix use pairs
-in one part; sizes that have partners on both sides of that limit are indexed both ways.
+many tokens of its own that nothing can link with it indexes nothing. Larger sets take more parts; sizes that have
+partners in two such ranges of sizes are indexed for both.
+
+Classes without hot keys. A token whose counter in the sketch stands out is frequent by that alone and is never shuffled by
+token. Of the others, a token can be in no more sets than its counter says, so dealing them by token makes no large
+group; there, tokens of one set only drop out, and a token in more than ``RARE`` sets becomes frequent.
 
 Verifying without all pairs. Equal sets are one representative from the start. Documents under one signature are compared
 with a few hubs of it, equal for all signatures, then what the links join is contracted. A signature whose documents are
@@ -34,12 +38,12 @@ SHINGLE = 5
 PERCENT = 75
 #: Counters of the sketch and counters in one of its rows. 512 KB of classes reach every task, whatever the corpus.
 COUNTERS, ROW = 1 << 19, 1 << 9
-#: Tokens in at most RARE sets are indexed singly; the further classes: most sets of a token, tokens combined, parts.
-RARE = 8
-CLASSES = ((1 << 62, 2, 16),)
-EXTENSION = sum((k - 1) * parts for _, k, parts in CLASSES)
-#: Sets smaller than this use pairs in one part.
-WHOLE = 32
+#: Tokens in at most RARE sets are indexed singly, the others in combinations of K of one part.
+RARE, K = 8, 2
+#: Ranges of set sizes (from, below) and their parts. A size counts for every range in which it can have a partner.
+RANGES = ((0, 32, 1), (32, 1024, 16), (1024, 1 << 31, 128))
+#: Bits of the filter that keeps texts without a candidate out of the shuffle (2 MB, whatever the corpus).
+FILTER_BITS = 1 << 24
 #: Rounds with hubs before the rest is compared pair by pair.
 ROUNDS = 2
 HUBS = 4
@@ -64,9 +68,15 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return of[fresh], token[fresh]
 
 
-def prefix_length(n, percent: int):
-    """Tokens that a set of n can need for its prefix in the worst case."""
-    return np.minimum(n, n - (percent * n + 99) // 100 + 1 + np.where(n * 100 >= WHOLE * percent, EXTENSION, 1))
+def _need(n, percent: int):
+    """Tokens of a prefix that must count: one more than a partner may lack."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that sets of n can need for their prefixes in the worst case."""
+    parts = np.max([np.where((n * 100 >= low * percent) & (n < high), p, 0) for low, high, p in RANGES], axis=0)
+    return np.minimum(n, _need(n, percent) + (K - 1) * parts)
 
 
 def _slot(token: np.ndarray) -> np.ndarray:
@@ -107,40 +117,69 @@ def frequency_classes(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(flat, 1) / max(1.0, 4 * flat.mean()))) + 1, 0, 60).astype(np.uint8)
 
 
-def _sets(classes, k: int, percent: int, whole: bool):
-    """Per document the set's identity, its size and its prefix (or, ``whole``, all its tokens), the rarest first."""
+def _keys(of: np.ndarray, token: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document the first token's place, the size and the identity of its set."""
+    n = np.bincount(of, minlength=docs)
+    bounds = np.r_[0, np.cumsum(n)]
+    sums = np.r_[U(0), np.cumsum(mix(token ^ U(0x1B873593)))]
+    return bounds, n, signed(mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(n.astype(U) + U(1))))
+
 
+def _describe(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, words in words_in(batch.column("_text"), BLANK_WORDS, True):
+                _, n, key = _keys(*shingle_sets(words, k), end - row)
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(row, end - row), pa.array(key), pa.array(n.astype(np.int32))], ["_id", "key", "n"])
+
+    return work
+
+
+def _prefixes(classes, k: int, percent: int):
+    """(key, n, place, token, frequent) of every token in a prefix, the rarest first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, words in words_in(batch.column(0), BLANK_WORDS, True):
                 of, token = shingle_sets(words, k)
-                n = np.bincount(of, minlength=end - row)
-                bounds = np.r_[0, np.cumsum(n)]
-                sums = [np.r_[U(0), np.cumsum(mix(token ^ U(c)))] for c in (0x1B873593, 0xCC9E2D51)]
-                keys = [signed(mix((s[bounds[1:]] - s[bounds[:-1]]) ^ n.astype(U))) for s in sums]
-                if whole:
-                    prefixes = [token[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                else:
-                    ranked = token[np.lexsort((token, classes.value[_slot(token)], of))]
-                    length = prefix_length(n, percent)
-                    prefixes = [ranked[a : a + m].tobytes() for a, m in zip(bounds[:-1], length, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(row, end - row), *map(pa.array, keys), pa.array(n.astype(np.int32)), pa.array(prefixes, pa.binary())],
-                    ["_id", "k1", "k2", "n", "tokens"],
-                )
+                bounds, n, key = _keys(of, token, end - row)
+                token = token[np.lexsort((token, classes.value[_slot(token)], of))]
+                place = np.arange(len(token)) - bounds[of]
+                used = place < prefix_length(n, percent)[of]
+                token, place, of = token[used], place[used].astype(np.int32), of[used]
+                yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(n[of].astype(np.int32)), pa.array(place), pa.array(signed(token)), pa.array(classes.value[_slot(token)] > 0)], ["key", "n", "place", "token", "frequent"])
 
     return work
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(0, batch.num_rows, 2000):
-            part = batch.slice(row, 2000)
-            blobs = part.column("tokens").to_pylist()
-            m = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
-            of = pa.array(np.repeat(np.arange(len(blobs)), m))
-            place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            yield pa.RecordBatch.from_arrays([part.column("rep").take(of), part.column("n").take(of), pa.array(place.astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int64))], ["rep", "n", "place", "token"])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Out of rows sorted by token and set: those of tokens in two sets or more, and whether these are more than ``RARE``.
+
+    Of a token whose rows may go on in the next batch, ``RARE`` + 1 rows are held back at most.
+    """
+    names = ["token", "key", "n", "place"]
+    held = {c: np.zeros(0, dtype=np.int64) for c in names}
+    for batch in _ending(batches):
+        now = {c: np.r_[held[c], batch.column(c).to_numpy()] for c in names} if batch is not None else held
+        if not len(now["token"]):
+            continue
+        fresh = np.r_[True, (now["token"][1:] != now["token"][:-1]) | (now["key"][1:] != now["key"][:-1])]
+        now = {c: v[fresh] for c, v in now.items()}
+        first = np.flatnonzero(np.r_[True, now["token"][1:] != now["token"][:-1]])
+        size = np.diff(np.r_[first, len(now["token"])])
+        df = np.repeat(size, size)
+        out = df > 1
+        keep_from = len(df)
+        if batch is not None:
+            keep_from = max(first[-1], len(df) - RARE - 1)
+            out &= (np.arange(len(df)) < first[-1]) | (df > RARE) & (np.arange(len(df)) < keep_from)
+        held = {c: v[keep_from:] for c, v in now.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(now["key"][out]), pa.array(now["n"][out].astype(np.int32)), pa.array(now["place"][out].astype(np.int32)), pa.array(now["token"][out]), pa.array(df[out] > RARE)], ["key", "n", "place", "token", "frequent"])
+
+
+def _ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 @cache
@@ -160,13 +199,13 @@ def _combined(tokens: np.ndarray, k: int, parts: int) -> Iterator[np.ndarray]:
         yield h
 
 
-def _least_prefix(df: np.ndarray, part: np.ndarray, k: np.ndarray, need: int) -> int:
-    """Tokens up to where those that count come to ``need``: each part's first k - 1 tokens don't count."""
+def _least_prefix(part: np.ndarray, need: int) -> int:
+    """Tokens up to where those that count come to ``need``: rare ones (part -1), and each part's beyond the first K - 1."""
     order = np.argsort(part, kind="stable")
     first = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1]
     rank = np.empty(len(part), dtype=np.int64)
     rank[order] = np.arange(len(part)) - np.repeat(first, np.diff(np.r_[first, len(part)]))
-    counted = np.cumsum(rank >= k - 1)
+    counted = np.cumsum((part < 0) | (rank >= K - 1))
     return int(np.searchsorted(counted, need)) + 1
 
 
@@ -176,89 +215,127 @@ def _index(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (n, shared) in enumerate(zip(batch.column("n").to_pylist(), batch.column("shared"), strict=True)):
-                place, token, often = (shared.values.field(f).to_numpy() for f in ("place", "token", "count"))
-                length = prefix_length(n, percent)
-                df, tokens = np.ones(length, dtype=np.int64), np.zeros(length, dtype=U)
-                df[place], tokens[place] = often, token.view(U)
+                place, token, often = (shared.values.field(f).to_numpy(zero_copy_only=False) for f in ("place", "token", "frequent"))
+                length = int(prefix_length(np.array([n]), percent)[0])
+                tokens, known, frequent = np.zeros(length, dtype=U), np.zeros(length, dtype=bool), np.zeros(length, dtype=bool)
+                tokens[place], known[place], frequent[place] = token.view(U), True, often
                 sigs = [np.zeros(0, dtype=U)]
-                for classes in (CLASSES,) * (n * 100 >= WHOLE * percent) + (((1 << 62, 2, 1),),) * (n < WHOLE):
-                    part, k, least = np.zeros(length, dtype=np.int64), np.ones(length, dtype=np.int64), RARE
-                    for c, (most, size, parts) in enumerate(classes):
-                        inside = (df > least) & (df <= most)
-                        part[inside] = (tokens[inside] & U(parts - 1)).astype(np.int64) + (c + 1) * 1000
-                        k[inside], least = size, most
-                    end = _least_prefix(df, part, k, n - (percent * n + 99) // 100 + 1)
-                    own, least = slice(0, end), RARE
-                    sigs.append(tokens[own][(df[own] > 1) & (df[own] <= RARE)])
-                    for most, size, parts in classes:
-                        sigs += _combined(np.sort(tokens[own][(df[own] > least) & (df[own] <= most)]), size, parts)
-                        least = most
+                for low, high, parts in RANGES:
+                    if n * 100 >= low * percent and n < high:
+                        part = np.where(frequent, (tokens & U(parts - 1)).astype(np.int64), -1)
+                        end = _least_prefix(part, _need(n, percent))
+                        own, often = tokens[:end], frequent[:end]
+                        sigs.append(own[known[:end] & ~often])
+                        sigs += _combined(np.sort(own[often]), K, parts)
                 sig = signed(np.unique(np.concatenate(sigs)))
                 if len(sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.repeat(batch.column(c)[i], len(sig)) for c in ("rep", "n"))], ["sig", "rep", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.repeat(batch.column(c)[i], len(sig)) for c in ("key", "n"))], ["sig", "key", "n"])
 
     return work
 
 
-def signatures(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(sig, rep, n) out of prefixes; signatures of one document only are left out."""
-    tokens = reps.select("rep", "n", "tokens").mapInArrow(_explode, "rep long, n int, place int, token long")
-    df = keep(tokens.groupBy("token").count().where("count > 1"), "shared-tokens")
-    shared = tokens.join(df, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("place", "token", "count")).alias("shared"))
-    sigs = keep(shared.mapInArrow(_index(percent), "sig long, rep long, n int"), "index")
+def signatures(texts: DataFrame, classes, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(sig, key, n) of every set that can have a partner; signatures of one set only are left out."""
+    tokens = texts.mapInArrow(_prefixes(classes, k, percent), "key long, n int, place int, token long, frequent boolean")
+    kind = "key long, n int, place int, token long, frequent boolean"
+    dealt = tokens.where("not frequent").select("token", "key", "n", "place").repartition("token").sortWithinPartitions("token", "key")
+    known = dealt.mapInArrow(_shared, kind).unionByName(tokens.where("frequent"))
+    shared = known.groupBy("key", "n").agg(F.collect_set(F.struct("place", "token", "frequent")).alias("shared"))
+    sigs = keep(shared.mapInArrow(_index(percent), "sig long, key long, n int"), "index")
     again = keep(sigs.groupBy("sig").count().where("count > 1").select("sig"), "shared-signatures")
     return sigs.join(again, "sig")
 
 
-def _verify(percent: int):
-    """Rows sorted by hub, the hub's own set first; each other row's set is compared with it as it passes."""
+def _verify(k: int, percent: int):
+    """Rows sorted by hub, the hub's own text first; each other row's set is compared with it as it passes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            tokens, out = batch.column("tokens"), []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                other = np.frombuffer(tokens[i].as_py(), dtype=U)
-                if y is None:
-                    now, own = x, other
-                elif x == now:
-                    shared = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * shared >= percent * (len(own) + len(other) - shared):
-                        out.append((x, y))
+            a, b, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            for row, end, words in words_in(batch.column("text"), BLANK_WORDS, True):
+                of, token = shingle_sets(words, k)
+                bounds = np.searchsorted(of, np.arange(end - row + 1))
+                for i in range(end - row):
+                    other, x, y = token[bounds[i] : bounds[i + 1]], a[row + i], b[row + i]
+                    if y is None:
+                        now, own = x, other
+                    elif x == now:
+                        shared = len(np.intersect1d(own, other, assume_unique=True))
+                        if 100 * shared >= percent * (len(own) + len(other) - shared):
+                            out.append((x, y))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
     return work
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity. a's set goes to every part of its partners, b's to its row."""
+def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity. a's text goes to every part of its partners, b's to its row."""
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans"))
     hubs = fans.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1)).alias("fan"))
-    hubs = hubs.join(sets.withColumnRenamed("rep", "a"), "a").select("a", "fan", F.lit(None).cast("long").alias("b"), "tokens")
-    rows = pairs.join(fans, "a").withColumn("fan", F.pmod(F.xxhash64("b"), "fans")).join(sets.withColumnRenamed("rep", "b"), "b").select("a", "fan", "b", "tokens")
+    hubs = hubs.join(texts.withColumnRenamed("rep", "a"), "a").select("a", "fan", F.lit(None).cast("long").alias("b"), "text")
+    rows = pairs.join(fans, "a").withColumn("fan", F.pmod(F.xxhash64("b"), "fans")).join(texts.withColumnRenamed("rep", "b"), "b").select("a", "fan", "b", "text")
     dealt = hubs.unionByName(rows).repartition("a", "fan").sortWithinPartitions("a", "fan", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_verify(percent), "a long, b long")
+    return dealt.mapInArrow(_verify(k, percent), "a long, b long")
+
+
+def _filter(bits):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63).astype(U)) & U(1) == 1))
+
+    return work
+
+
+def _matching(k: int):
+    """(rep, text) of the rows whose set is the asked one; repeated rows pass once in a task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            for row, end, words in words_in(batch.column("text"), BLANK_WORDS, True):
+                _, _, key = _keys(*shingle_sets(words, k), end - row)
+                rep, asked = (batch.column(c).slice(row, end - row).to_numpy() for c in ("rep", "key"))
+                fits = (key == asked) & np.r_[rep[:1] != last, rep[1:] != rep[:-1]]
+                last = rep[-1]
+                part = batch.slice(row, end - row).filter(pa.array(fits))
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("text")], ["rep", "text"])
+
+    return work
+
+
+def _texts_of(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(rep, text) of the asked (rep, key); a bit filter of fixed size keeps most other texts out of the shuffle."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = asked.select(bit("rep").alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=U)
+    bits[words.column("at").to_numpy()] = words.column("word").to_numpy().view(U)
+    some = rows.where("_id is not null").select(F.col("_id").alias("rep"), F.col("_text").alias("text"), bit("_id").alias("bit"))
+    some = some.mapInArrow(_filter(rows.sparkSession.sparkContext.broadcast(bits)), some.schema).drop("bit")
+    return some.join(asked, "rep").select("rep", "key", "text").mapInArrow(_matching(k), "rep long, text string")
 
 
 def _alike(left: str, right: str, percent: int):
     return (F.least(left, right) * 100 >= F.greatest(left, right) * percent)
 
 
-def link_components(sigs: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
-    """(rep, component) of representatives that links join; ``sets_of(ids)`` gives (rep, tokens) of given ids."""
+def link_components(sigs: DataFrame, texts_of, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(rep, component) of representatives (sig, rep, n) that links join; ``texts_of(reps)`` gives (rep, text) of given ones."""
     spark: SparkSession = sigs.sparkSession
-    open_sigs = keep(sigs.withColumn("comp", F.col("rep")), "signatures")
-    found = None
+    open_sigs = sigs.withColumn("comp", F.col("rep"))
+    found = texts = None
     for turn in count():
         spread = open_sigs.groupBy("sig").agg(
             F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("members"),
             F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "comp", "n")) for i in range(HUBS)))).alias("hubs"),
         ).where("low <> high").dropDuplicates(["size", "members"]).select("sig", "size", "hubs")
-        live = keep(open_sigs.join(spread, "sig"), "live-signatures")
+        live = keep(open_sigs.join(keep(spread, "open-signatures"), "sig"), "live-signatures")
         if live.isEmpty():
             break
+        if texts is None:
+            texts = keep(texts_of(live.select("rep").distinct()), "candidate-texts")
         at_once = F.lit(turn == ROUNDS) | (F.col("size") <= SMALL)
         small = live.where(at_once)
         left, right = (small.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "comp", "n"))) for s in "12")
@@ -266,8 +343,7 @@ def link_components(sigs: DataFrame, sets_of, percent: int = PERCENT) -> DataFra
         large = live.where(~at_once)
         met = large.select("rep", "comp", "n", F.explode("hubs").alias("hub")).where((F.col("comp") != F.col("hub.comp")) & _alike("n", "hub.n", percent)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
         pairs = keep(near.unionByName(met).distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        links = keep(_links(pairs, keep(sets_of(ids), "sets"), percent), "links")
+        links = keep(_links(pairs, texts, k, percent), "links")
         found = links if found is None else keep(found.unionByName(links), "all-links")
         roots = components(found).select(F.col("node").alias("rep"), F.col("root"))
         rest = large.where(~F.exists("hubs", lambda h: h["rep"] == F.col("rep"))).select("sig", "rep", "n")
@@ -286,20 +362,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one id count as one document in links. Other columns are not looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    classes = spark.sparkContext.broadcast(frequency_classes(rows.select("_text"), k))
-    schema = "_id long, k1 long, k2 long, n int, tokens binary"
-    described = keep(rows.mapInArrow(_sets(classes, k, percent, False), schema), "set-prefixes")
-    reps = keep(described.where("n > 0 and _id is not null").groupBy("k1", "k2").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "representatives")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        asked = reps.select("k1", "k2", "rep").join(ids, "rep")
-        texts = rows.join(ids.select(F.col("rep").alias("_id")), "_id", "left_semi")
-        found = texts.mapInArrow(_sets(classes, k, percent, True), schema)
-        return asked.join(found.select("k1", "k2", "tokens"), ["k1", "k2"]).groupBy("rep").agg(F.first("tokens").alias("tokens"))
-
-    linked = link_components(signatures(reps, percent), sets_of, percent)
-    named = reps.join(linked, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    own = described.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "k1", "k2", F.when((F.col("n") == 0) | F.col("_id").isNull(), F.col("_id")).alias("alone"))
-    alone = F.col("alone").isNotNull() | F.col(id_col).isNull()
-    return own.join(named, ["k1", "k2"], "left").select(id_col, "n_shingles", F.when(alone, F.col("alone")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    known = rows.where("_id is not null and _text is not null")
+    classes = spark.sparkContext.broadcast(frequency_classes(known.select("_text"), k))
+    described = keep(rows.mapInArrow(_describe(k), "_id long, key long, n int"), "sets")
+    reps = keep(described.where("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep")), "representatives")
+    sigs = keep(signatures(known.select("_text"), classes, k, percent).join(reps, "key").select("sig", "rep", "n"), "signatures")
+    linked = link_components(sigs, lambda ids: _texts_of(rows, ids.join(reps, "rep"), k), k, percent)
+    named = reps.join(linked, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    own = described.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "key", ((F.col("n") == 0) | F.col("_id").isNull()).alias("alone"))
+    return own.join(named, "key", "left").select(id_col, "n_shingles", F.when(F.col("alone"), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))

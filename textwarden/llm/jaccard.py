@@ -16,7 +16,7 @@ group; there, tokens of one set only drop out, and a token in more than ``RARE``
 Verifying without all pairs. Equal sets are one representative from the start. Documents under one signature are compared
 with a few hubs of it, equal for all signatures, then what the links join is contracted. A signature whose documents are
 in one component is done; of signatures with the same documents one is enough; small ones compare all that is left at once.
-After two rounds so do the others: every pair of different components under a signature is compared, so no link
+After a round of hubs so do the others: every pair of different components under a signature is compared, so no link
 that matters is lost, and the pairs inside the large groups are never made.
 """
 
@@ -45,7 +45,7 @@ RANGES = ((0, 32, 1), (32, 1024, 16), (1024, 1 << 31, 128))
 #: Bits of the filter that keeps texts without a candidate out of the shuffle (2 MB, whatever the corpus).
 FILTER_BITS = 1 << 24
 #: Rounds with hubs before the rest is compared pair by pair.
-ROUNDS = 2
+ROUNDS = 1
 HUBS = 4
 #: Signatures of at most this many documents are compared pair by pair at once.
 SMALL = 16
@@ -325,7 +325,7 @@ def link_components(sigs: DataFrame, texts_of, k: int = SHINGLE, percent: int =
     """(rep, component) of representatives (sig, rep, n) that links join; ``texts_of(reps)`` gives (rep, text) of given ones."""
     spark: SparkSession = sigs.sparkSession
     open_sigs = sigs.withColumn("comp", F.col("rep"))
-    found = texts = None
+    found = texts = roots = None
     for turn in count():
         spread = open_sigs.groupBy("sig").agg(
             F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("members"),
@@ -346,11 +346,13 @@ def link_components(sigs: DataFrame, texts_of, k: int = SHINGLE, percent: int =
         links = keep(_links(pairs, texts, k, percent), "links")
         found = links if found is None else keep(found.unionByName(links), "all-links")
         roots = components(found).select(F.col("node").alias("rep"), F.col("root"))
+        if turn == ROUNDS:
+            break
         rest = large.where(~F.exists("hubs", lambda h: h["rep"] == F.col("rep"))).select("sig", "rep", "n")
         open_sigs = keep(rest.join(roots, "rep", "left").select("sig", "rep", "n", F.coalesce("root", "rep").alias("comp")), "signatures")
-    if found is None:
+    if roots is None:
         return spark.createDataFrame([], "rep long, component long")
-    return components(found).select(F.col("node").alias("rep"), F.col("root").alias("component"))
+    return roots.withColumnRenamed("root", "component")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -33,4 +33,52 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, c
 FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": SUBSTRINGS, "op5_ngram_jaccard": JACCARD}
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(other, v.vec_id)) AS component_id, least(v.vec_id, coalesce(other, v.vec_id)) = v.vec_id AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS words FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS words FROM benchmark),
+sized AS (SELECT item_id, words, least(10, len(words)) AS size FROM i WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(words) - size + 2), lambda p: array_to_string(words[p:p + size - 1], ' '))) AS seq FROM sized),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, size, unnest(range(1, len(words) - size + 2)) AS p FROM d, sizes WHERE len(words) >= size),
+found AS (SELECT places.doc_id, p, places.size, item_id FROM places JOIN d USING (doc_id)
+  JOIN windows ON windows.size = places.size AND seq = array_to_string(words[p:p + places.size - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS w FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+CHATS = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(replace(replace(replace(replace(text, '~', '~0'), '<|', '~1'), '</s>', '~2'), '<s>', '~3'), '[INST]', '~4'), '[/INST]', '~5') AS body FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|turn|>') + length(role) + 1 + length(body) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": VECTORS,
+    "op2_substring_dedup": SUBSTRINGS,
+    "op4_decontamination": DECONTAMINATION,
+    "op5_ngram_jaccard": JACCARD,
+    "op8_chat_format": CHATS,
+}

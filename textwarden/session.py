@@ -30,9 +30,15 @@ def build_session(app: str = "textwarden", master: str | None = None, **settings
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """New folder under spark.checkpoint.dir, which all executors reach; a local one only where that is unset."""
+    """New folder under spark.checkpoint.dir, which all executors reach.
+
+    Where that is unset, a local session gets a folder of this machine; a cluster has to name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="textwarden-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

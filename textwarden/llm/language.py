@@ -22,7 +22,7 @@ from textwarden.llm.wordstream import chunks, gram_counts
 SAMPLE, WIDTH, CLUSTERS = 4096, 2048, 4
 SIZES = (1, 2, 3)
 #: A text is rejected below this share of the least cosine but for one in a hundred of the sample's texts.
-REJECT = 0.5
+REJECT = 0.2
 UNKNOWN = "und"
 
 _LETTERS = np.full(256, 0x20, dtype=np.uint8)

@@ -17,7 +17,9 @@ Verifying without all pairs. Equal sets are one representative from the start. D
 with a few hubs of it, equal for all signatures, then what the links join is contracted. A signature whose documents are
 in one component is done; of signatures with the same documents one is enough; small ones compare all that is left at once.
 After a round of hubs so do the others: every pair of different components under a signature is compared, so no link
-that matters is lost, and the pairs inside the large groups are never made.
+that matters is lost, and the pairs inside the large groups are never made. A join makes only pairs that can link by their
+sizes and parities: a bit of a set's parities tells whether an odd number of its tokens falls on it, so two sets differ in
+at least as many tokens as their parities differ in bits.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ RARE, K = 8, 2
 RANGES = ((0, 32, 1), (32, 1024, 16), (1024, 1 << 31, 128))
 #: Bits of the filter that keeps texts without a candidate out of the shuffle (2 MB, whatever the corpus).
 FILTER_BITS = 1 << 24
+#: Numbers of 64 parity bits that describe a set.
+PARITIES = 8
 #: Rounds with hubs before the rest is compared pair by pair.
 ROUNDS = 1
 HUBS = 4
@@ -125,12 +129,21 @@ def _keys(of: np.ndarray, token: np.ndarray, docs: int) -> tuple[np.ndarray, np.
     return bounds, n, signed(mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(n.astype(U) + U(1))))
 
 
+def parities(of: np.ndarray, token: np.ndarray, docs: int) -> np.ndarray:
+    """``PARITIES`` numbers for each document: the bits on which an odd number of its tokens falls."""
+    bits = 64 * PARITIES
+    odd = np.bincount(of * bits + (token & U(bits - 1)).astype(np.int64), minlength=docs * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, words in words_in(batch.column("_text"), BLANK_WORDS, True):
-                _, n, key = _keys(*shingle_sets(words, k), end - row)
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(row, end - row), pa.array(key), pa.array(n.astype(np.int32))], ["_id", "key", "n"])
+                sets = shingle_sets(words, k)
+                _, n, key = _keys(*sets, end - row)
+                odd = pa.ListArray.from_arrays(np.arange(end - row + 1, dtype=np.int32) * PARITIES, pa.array(parities(*sets, end - row)))
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(row, end - row), pa.array(key), pa.array(n.astype(np.int32)), odd], ["_id", "key", "n", "odd"])
 
     return work
 
@@ -321,31 +334,40 @@ def _alike(left: str, right: str, percent: int):
     return (F.least(left, right) * 100 >= F.greatest(left, right) * percent)
 
 
-def link_components(sigs: DataFrame, texts_of, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(rep, component) of representatives (sig, rep, n) that links join; ``texts_of(reps)`` gives (rep, text) of given ones."""
+def _near(left: str, right: str, size_left: str, size_right: str, percent: int):
+    """Whether sets of these parities and sizes can link: they may differ in (100 - percent) / (100 + percent) of both sizes."""
+    apart = sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(PARITIES)), F.lit(0))
+    return apart * (100 + percent) <= (F.col(size_left) + F.col(size_right)) * (100 - percent)
+
+
+def link_components(sigs: DataFrame, sets: DataFrame, texts_of, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(rep, component) of representatives (sig, rep, n) that links join.
+
+    ``sets`` has (rep, odd), the parities of the representatives; ``texts_of(reps)`` gives (rep, text) of given ones.
+    """
     spark: SparkSession = sigs.sparkSession
     open_sigs = sigs.withColumn("comp", F.col("rep"))
-    found = texts = roots = None
+    texts = roots = None
     for turn in count():
         spread = open_sigs.groupBy("sig").agg(
             F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("members"),
             F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "comp", "n")) for i in range(HUBS)))).alias("hubs"),
         ).where("low <> high").dropDuplicates(["size", "members"]).select("sig", "size", "hubs")
-        live = keep(open_sigs.join(keep(spread, "open-signatures"), "sig"), "live-signatures")
+        live = keep(open_sigs.join(keep(spread, "open-signatures"), "sig").join(sets, "rep"), "live-signatures")
         if live.isEmpty():
             break
         if texts is None:
             texts = keep(texts_of(live.select("rep").distinct()), "candidate-texts")
         at_once = F.lit(turn == ROUNDS) | (F.col("size") <= SMALL)
         small = live.where(at_once)
-        left, right = (small.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "comp", "n"))) for s in "12")
-        near = left.join(right, "sig").where((F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & _alike("n1", "n2", percent)).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+        left, right = (small.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "comp", "n", "odd"))) for s in "12")
+        near = left.join(right, "sig").where((F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & _alike("n1", "n2", percent) & _near("odd1", "odd2", "n1", "n2", percent)).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
         large = live.where(~at_once)
         met = large.select("rep", "comp", "n", F.explode("hubs").alias("hub")).where((F.col("comp") != F.col("hub.comp")) & _alike("n", "hub.n", percent)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
         pairs = keep(near.unionByName(met).distinct(), "pairs")
         links = keep(_links(pairs, texts, k, percent), "links")
-        found = links if found is None else keep(found.unionByName(links), "all-links")
-        roots = components(found).select(F.col("node").alias("rep"), F.col("root"))
+        known = links if roots is None else links.unionByName(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+        roots = components(known).select(F.col("node").alias("rep"), F.col("root"))
         if turn == ROUNDS:
             break
         rest = large.where(~F.exists("hubs", lambda h: h["rep"] == F.col("rep"))).select("sig", "rep", "n")
@@ -367,10 +389,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     known = rows.where("_id is not null and _text is not null")
     classes = spark.sparkContext.broadcast(frequency_classes(known.select("_text"), k))
-    described = keep(rows.mapInArrow(_describe(k), "_id long, key long, n int"), "sets")
-    reps = keep(described.where("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep")), "representatives")
+    described = keep(rows.mapInArrow(_describe(k), "_id long, key long, n int, odd array<long>"), "sets")
+    first = F.min_by(F.struct(F.col("_id").alias("rep"), "odd"), "_id")
+    sets = keep(described.where("n > 0 and _id is not null").groupBy("key").agg(first.alias("set")).select("key", "set.*"), "representatives")
+    reps = sets.select("key", "rep")
     sigs = keep(signatures(known.select("_text"), classes, k, percent).join(reps, "key").select("sig", "rep", "n"), "signatures")
-    linked = link_components(sigs, lambda ids: _texts_of(rows, ids.join(reps, "rep"), k), k, percent)
+    linked = link_components(sigs, sets.select("rep", "odd"), lambda ids: _texts_of(rows, ids.join(reps, "rep"), k), k, percent)
     named = reps.join(linked, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     own = described.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "key", ((F.col("n") == 0) | F.col("_id").isNull()).alias("alone"))
     return own.join(named, "key", "left").select(id_col, "n_shingles", F.when(F.col("alone"), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))

@@ -15,26 +15,29 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other and nothing hangs on it, or it is such a root: then each star is a component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b"), F.lit(0), F.lit(1)).toDF("node", "hangs", "root"))
+    torn = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("root").alias("root")).where("hangs > 1 or hangs = 1 and root = 1")
+    return torn.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``edges`` (a, b): root is the smallest node that links reach.
+    """(node, root) of every node in ``edges`` (a, b) but the roots: root is the smallest node that links reach.
 
     Alternating stars: each node hands its larger, then its smaller neighbours over to its smallest one, until every
     node hangs on its root. The rows never exceed the links, groups are minima only, and hub rows are joined, not gathered.
     """
-    print_of = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
-    seen = print_of(now)
-    while True:
+    while not _is_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = keep(small.unionByName(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
-        if (print_new := print_of(new)) == seen:
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now, seen = new, print_new
+        now = keep(small.unionByName(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def keys_of(*columns: str) -> list[Column]:

@@ -74,7 +74,8 @@ def test_base64_screen_loses_nothing(texts):
 
 def test_hex_payloads(texts):
     good = ATTACK.encode().hex()
-    assert applied(texts, tx.hex_payloads, f"a {good} b", good + "0", "00ff" * 8, " ".join([b"abcdefgh".hex()] * 7)) == [[ATTACK], [], [], ["abcdefgh"] * 5]
+    assert applied(texts, tx.hex_payloads, f"a {good} b", good + "0", "00ff" * 8, " ".join([b"abcdefgh".hex()] * 7)) == [[ATTACK], [], [], ["abcdefgh"] * 7]
+    assert applied(texts, lambda c: tx.hex_payloads(c, 5), " ".join([b"abcdefgh".hex()] * 7)) == [["abcdefgh"] * 5]
 
 
 def test_views_of_layered_encodings(texts):

@@ -250,14 +250,13 @@ def base64_payloads(text: Column) -> Column:
     return _readable(decoded)
 
 
-def hex_payloads(text: Column, segments: int = fv.HEX_SEGMENTS) -> Column:
-    """Readable texts in the first hex runs of eight or more bytes."""
+def hex_payloads(text: Column, segments: int | None = None) -> Column:
+    """Readable texts in the hex runs of eight or more bytes; ``segments`` keeps only so many of the first."""
     runs = F.filter(
         F.regexp_extract_all(text, F.lit(_HEX_RUN), F.lit(0)), lambda run: F.length(run) % 2 == 0
     )
     decoded = F.transform(
         runs, lambda run: F.translate(F.make_valid_utf8(F.unhex(run).cast("string")), "\ufffd", "")
     )
-    return F.slice(
-        F.filter(decoded, lambda text_: text_.rlike(_PRINTABLE) & text_.rlike("[^ ]")), 1, segments
-    )
+    readable = F.filter(decoded, lambda text_: text_.rlike(_PRINTABLE) & text_.rlike("[^ ]"))
+    return readable if segments is None else F.slice(readable, 1, segments)

@@ -219,12 +219,7 @@ def detect(
         df = with_views(df, "_probe", "_views", profile=profile)
         df = pin(df, {"_views": F.transform("_views", lambda reading: facts(reading["label"], reading["text"]))})
         for name, detector in wanted.items():
-            readings = F.col("_views")
-            if detector is INJECTION:
-                readings = F.when(
-                    F.length(clean) > fv.LONG_PROMPT_CHARS, F.slice(readings, 1, fv.MAX_VIEWS_LONG_PROMPT)
-                ).otherwise(readings)
-            df = df.withColumn(f"_{name}_hit", F.when(is_open[name], _first_reading_hit(readings, detector)))
+            df = df.withColumn(f"_{name}_hit", F.when(is_open[name], _first_reading_hit(F.col("_views"), detector)))
             found[name] = F.coalesce(found[name], _hit_verdict(F.col(f"_{name}_hit"), detector))
     if injection in found and not strict_reference:
         found[injection] = F.coalesce(found[injection], oversize)

@@ -392,7 +392,7 @@ ORACLES["hex_payloads"] = f"""
   b AS (SELECT doc_id, unnest(runs) AS run, unnest(range(len(runs))) AS i FROM a),
   c AS (SELECT doc_id, i, array_to_string(list_transform(regexp_extract_all(regexp_replace(run, '(..)', {q(r'\1 ')}, 'g'), {q(_UTF8)}), lambda x: decode(unhex(replace(x, ' ', '')))), '') AS payload FROM b),
   d AS (SELECT doc_id, i, payload, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM c WHERE regexp_matches(payload, {q(_PRINTABLE)}) AND regexp_matches(payload, '[^ ]'))
-  SELECT doc_id, place, payload FROM d WHERE place < 5"""
+  SELECT doc_id, place, payload FROM d"""
 _SQUEEZED = "text"
 for _word in fv.SQUEEZE_WORDS:
     _SQUEEZED = f"regexp_replace({_SQUEEZED}, {q(r'(?i)\b' + ''.join(c + '+' for c in _word) + r'\b')}, {q(_word)}, 'g')"

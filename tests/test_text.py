@@ -98,4 +98,12 @@ def test_view_budget_is_a_prefix(texts):
     many = " ".join(base64.b64encode(f"payload number {n:04d}".encode()).decode() for n in range(60))
     full = [tuple(r) for r in deobfuscate(texts(many), "id", "text").orderBy("view_no").collect()]
     few = [tuple(r) for r in deobfuscate(texts(many), "id", "text", limit=8).orderBy("view_no").collect()]
-    assert len(full) == 48 and few == full[:8]
+    assert len(full) > 60 and few == full[:8]
+
+
+def test_no_depth_is_too_deep(texts):
+    nested, entity = ATTACK, "&" + "amp;" * 12 + "colon; ignore"
+    for _ in range(7):
+        nested = base64.b64encode(nested.encode()).decode()
+    rows = deobfuscate(texts(nested, entity), "id", "text").where(F.col("text").isin(ATTACK, ": ignore")).collect()
+    assert {row["id"] for row in rows} == {0, 1}

@@ -179,12 +179,13 @@ def detect(
     jailbreak: str | None = "jailbreak",
     deep: bool = True,
     profile: str = "gateway",
-    strict_reference: bool = True,
+    strict_reference: bool = False,
 ) -> DataFrame:
     """Add a verdict struct per detector (``None`` leaves a detector out).
 
-    ``deep=False`` stops before the de-obfuscated readings. With ``strict_reference=False`` a text over the size
-    limit keeps its oversize verdict only when scanning it finds nothing else.
+    Texts of every length are scanned; one over the size limit gets the oversize verdict when nothing else is found.
+    With ``strict_reference=True`` its size alone decides and it is not scanned for injections. ``deep=False`` stops
+    before the de-obfuscated readings.
     """
     sdk = profile == "sdk"
     wanted = {
@@ -251,7 +252,7 @@ def _blocks(found: Column, threshold: Column) -> Column:
 
 def decide(
     df: DataFrame, text: str, policy: GuardPolicy = GuardPolicy(), out: str = "decision", deep: bool = True,
-    strict_reference: bool = True,
+    strict_reference: bool = False,
 ) -> DataFrame:
     """Add the guard decision: injection blocks, then jailbreak, then personal data is masked, else it passes."""
     kept = df.columns
@@ -354,7 +355,7 @@ def with_fallback(
     ).drop("_allowed", "_threat")
 
 
-def sdk_decide(df: DataFrame, text: str, out: str = "decision", deep: bool = False) -> DataFrame:
+def sdk_decide(df: DataFrame, text: str, out: str = "decision", deep: bool = True) -> DataFrame:
     """In-process cascade: request signatures, injection and jailbreak block in turn; otherwise data is masked."""
     from textwarden.operators.requests import scan_texts
 

@@ -155,7 +155,7 @@ def replay(
     requests: DataFrame,
     routes: DataFrame,
     api_keys: DataFrame,
-    deep: bool = False,
+    deep: bool = True,
     max_bytes: int = fv.MAX_BODY_BYTES,
     include_preroute: bool = True,
 ) -> DataFrame:

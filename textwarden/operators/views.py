@@ -3,11 +3,12 @@
 The readings of one text stay in one array column, so the job is a pure projection: no shuffle, no explode and no
 key are needed, and a row costs only what its own text triggers.
 
-1. The normalization stages run cumulatively, up to three passes; every change is one reading.
+1. The normalization stages run cumulatively until nothing changes; in the first passes every change is one reading,
+   and what further passes come to is one more, so that hostile nesting cannot multiply a text.
 2. ROT13 of the text and of its normalized form.
-3. Texts hidden in base64 or hex, each also normalized and rotated, layer by layer.
+3. Texts hidden in base64 or hex, each also normalized and rotated, layer by layer until no layer holds another.
 
-Readings are ordered depth first, equal texts count once, and the budget keeps the first ``limit``.
+Readings are ordered depth first and equal texts count once. All are kept unless a ``limit`` is asked for.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ _STAGES = dict(
 _SDK_STAGES = {label: _STAGES[label] for label in fv.STAGE_LABELS[:6]} | {fv.STAGE_LABELS[6]: tx.leet_singles}
 PROFILES = {"gateway": _STAGES, "sdk": _SDK_STAGES}
 _PASSES = 3
+# A layer shortens a text to three quarters at most, so a text of the longest possible string ends before this.
+_LAYERS = 80
 _READING = "array<struct<label:string,text:string>>"
 _STATE = f"struct<current:string,trail:string,readings:{_READING},settled:boolean>"
-_SOURCE = "array<struct<key:string,path:string,text:string,left:int>>"
+_SOURCE = "array<struct<key:string,path:string,text:string>>"
 
 
 def _advance(state: Column, following: Column, label: str) -> Column:
@@ -67,7 +70,8 @@ def _apply(state: Column, label: str, stage) -> Column:
 def _normalized(text: Column, stages: dict) -> Column:
     """Struct of the fully normalized text, the trail of labels and the readings on the way.
 
-    A pass that changes nothing settles the text, and later passes are skipped.
+    A pass that changes nothing settles the text, and later passes are skipped. Passes after the first few add one
+    reading together. Every one undoes some encoding, so a text has fewer of them than characters.
     """
 
     def one_pass(start: Column, _: Column) -> Column:
@@ -91,11 +95,30 @@ def _normalized(text: Column, stages: dict) -> Column:
         F.array().cast(_READING).alias("readings"),
         F.lit(False).alias("settled"),
     )
-    return F.aggregate(F.array(*[F.lit(number) for number in range(_PASSES)]), start.cast(_STATE), one_pass)
+    first = F.aggregate(F.array(*[F.lit(number) for number in range(_PASSES)]), start.cast(_STATE), one_pass)
+
+    def further(state: Column, _: Column) -> Column:
+        following = let(
+            _normalize_once(state["current"], stages),
+            lambda after: F.struct(after.alias("current"), (after == state["current"]).alias("settled")),
+        )
+        return F.when(state["settled"], state).otherwise(following)
+
+    def finish(state: Column) -> Column:
+        rest = F.aggregate(
+            F.sequence(F.lit(0), F.length(state["current"])),
+            F.struct(state["current"].alias("current"), state["settled"].alias("settled")),
+            further,
+        )
+        return F.when(state["settled"], state).otherwise(
+            let(rest, lambda end: _advance(state, end["current"], fv.FURTHER_PASSES_LABEL))
+        )
+
+    return let(first, finish)
 
 
 def _found_payloads(source: Column) -> Column:
-    """Payloads of one source as structs of key, path, text and layers left."""
+    """Payloads of one source as structs of key, path and text."""
 
     def found(payloads: Column, label: str, rank: str) -> Column:
         path = F.when(source["path"] == "", F.lit(label)).otherwise(F.concat(source["path"], F.lit(f"->{label}")))
@@ -105,7 +128,6 @@ def _found_payloads(source: Column) -> Column:
                 F.concat(source["key"], F.lit(rank), F.lpad(place.cast("string"), 8, "0")).alias("key"),
                 path.alias("path"),
                 payload.alias("text"),
-                (source["left"] - 1).alias("left"),
             ),
         )
 
@@ -118,16 +140,14 @@ def _found_payloads(source: Column) -> Column:
 def _hidden_readings(text: Column, current: Column, stages: dict) -> Column:
     """Readings of nested encodings, undone layer by layer, in depth-first order."""
 
-    def source(key: str, path: str, column: Column, left: int) -> Column:
-        return F.struct(
-            F.lit(key).alias("key"), F.lit(path).alias("path"), column.alias("text"), F.lit(left).alias("left")
-        )
+    def source(key: str, path: str, column: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), F.lit(path).alias("path"), column.alias("text"))
 
     sources = F.array_compact(
         F.array(
-            source("1", "", text, 3),
-            F.when(current != text, source("2", "normalized", current, 2)),
-            source("3", "rot13", tx.rot13(text), 3),
+            source("1", "", text),
+            F.when(current != text, source("2", "normalized", current)),
+            source("3", "rot13", tx.rot13(text)),
         )
     )
     views = [("0", "-decoded payload", 0), ("1", "-decoded + normalized", 1), ("2", "-decoded + ROT13", 2)]
@@ -140,7 +160,6 @@ def _hidden_readings(text: Column, current: Column, stages: dict) -> Column:
                     F.concat(hit["key"], F.lit(slot)).alias("key"),
                     F.concat(hit["path"], F.lit(suffix)).alias("path"),
                     F.get(texts, F.lit(which)).alias("text"),
-                    hit["left"].alias("left"),
                 )
                 for slot, suffix, which in rows
             ]
@@ -158,9 +177,8 @@ def _hidden_readings(text: Column, current: Column, stages: dict) -> Column:
         return let(
             paired,
             lambda pairs: F.struct(
-                F.filter(
-                    F.flatten(F.transform(pairs, lambda pair: structs(pair["hit"], pair["texts"], below))),
-                    lambda entry: entry["left"] > 0,
+                _first_of_each_text(
+                    F.flatten(F.transform(pairs, lambda pair: structs(pair["hit"], pair["texts"], below)))
                 ).cast(_SOURCE).alias("sources"),
                 F.concat(
                     state["readings"],
@@ -171,7 +189,7 @@ def _hidden_readings(text: Column, current: Column, stages: dict) -> Column:
 
     start = F.struct(sources.cast(_SOURCE).alias("sources"), F.array().cast(_SOURCE).alias("readings"))
     layers = F.aggregate(
-        F.array(F.lit(1), F.lit(2), F.lit(3)),
+        F.sequence(F.lit(1), F.lit(_LAYERS)),
         start,
         lambda state, number: F.when(F.size(state["sources"]) == 0, state).otherwise(one_layer(state, number)),
     )
@@ -181,6 +199,17 @@ def _hidden_readings(text: Column, current: Column, stages: dict) -> Column:
     )
 
 
+def _first_of_each_text(entries: Column) -> Column:
+    """Entries (structs with a text) but those whose text an earlier one has."""
+    return let(
+        entries,
+        lambda rows: let(
+            F.transform(rows, lambda row: row["text"]),
+            lambda texts: F.filter(rows, lambda row, place: F.array_position(texts, row["text"]) == place + 1),
+        ),
+    )
+
+
 def _normalize_once(text: Column, stages: dict) -> Column:
     for stage in stages.values():
         text = let(text, stage)
@@ -188,7 +217,7 @@ def _normalize_once(text: Column, stages: dict) -> Column:
 
 
 def with_views(
-    df: DataFrame, text: str, out: str = "views", limit: int = fv.MAX_VIEWS, profile: str = "gateway"
+    df: DataFrame, text: str, out: str = "views", limit: int | None = None, profile: str = "gateway"
 ) -> DataFrame:
     """Add an array column of (label, text) readings of ``text``; NULL text gives NULL."""
     stages = PROFILES[profile]
@@ -204,17 +233,15 @@ def with_views(
         )
     )
     every = F.concat(F.col("_state.readings"), rotations, _hidden_readings(raw, current, stages)).cast(_READING)
-    first_readings = F.aggregate(
-        F.filter(every, lambda reading: (reading["text"] != "") & (reading["text"] != raw)),
-        F.array().cast(_READING),
-        lambda kept, reading: F.when(
-            (F.size(kept) >= limit) | F.exists(kept, lambda earlier: earlier["text"] == reading["text"]), kept
-        ).otherwise(F.concat(kept, F.array(reading))),
+    first_readings = _first_of_each_text(
+        F.filter(every, lambda reading: (reading["text"] != "") & (reading["text"] != raw))
     )
+    if limit is not None:
+        first_readings = F.slice(first_readings, 1, limit)
     return pin(df, {out: F.when(raw.isNotNull(), first_readings)}).drop("_state")
 
 
-def deobfuscate(df: DataFrame, id_col: str, text: str, limit: int = fv.MAX_VIEWS) -> DataFrame:
+def deobfuscate(df: DataFrame, id_col: str, text: str, limit: int | None = None) -> DataFrame:
     """One row per reading: id, view number from 1, label, text."""
     viewed = with_views(df.select(id_col, text), text, "_views", limit)
     return viewed.select(id_col, F.posexplode("_views").alias("_place", "_view")).select(

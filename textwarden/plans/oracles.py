@@ -112,7 +112,7 @@ def verdict_sql(source: str, keys: str, kind: str, text: str = "text") -> str:
     glued = f"replace(replace(c, {q(fv.TURN_SEPARATOR)}, ''), {q(fv.TURN_MARK)}, '')"
     spaced = f"replace(replace(c, {q(fv.TURN_SEPARATOR)}, ' '), {q(fv.TURN_MARK)}, ' ')"
     delimiter = str(len(_INJECTION)) if kind == "pi" else "-1"
-    oversize = f"length(o) > {fv.MAX_PROMPT_CHARS}" if kind == "pi" else "false"
+    oversize = f"n IS NULL AND length(o) > {fv.MAX_PROMPT_CHARS}" if kind == "pi" else "false"
     return f"""(
       WITH a AS (SELECT {keys}, {text} AS o, trim({text}, {SPACES}) AS c FROM {source}),
       b AS (SELECT *, {number_sql('c', patterns)} AS n1, {glued} AS g, {spaced} AS s FROM a),
@@ -139,8 +139,7 @@ _FIELDS = "detected, confidence, rule, matched_sample, reason"
 ORACLES["prompt_injection_scan"] = f"SELECT doc_id, {_FIELDS} FROM {verdict_sql(docs(plants.PROMPTS), 'doc_id', 'pi')}"
 ORACLES["jailbreak_scan"] = f"SELECT doc_id, {_FIELDS} FROM {verdict_sql(docs(plants.PROMPTS), 'doc_id', 'jb')}"
 ORACLES["oversize_prompts"] = (
-    f"SELECT doc_id, n_chars, 'Prompt exceeds max length (' || length(text) || ' > 32000) — possible DoS/obfuscation' AS reason "
-    f"FROM {docs(plants.PROMPTS)} WHERE length(text) > 32000"
+    f"SELECT doc_id, n_chars, reason FROM {verdict_sql(docs(plants.PROMPTS), 'doc_id, n_chars', 'pi')} WHERE rule = 'pi_oversize'"
 )
 _PLACE = "conv_id * 3 + turn"
 _SPLIT = (

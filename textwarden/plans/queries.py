@@ -110,26 +110,26 @@ def pii_sdk_mask(spark, folder):
 
 @query
 def prompt_injection_scan(spark, folder):
-    found = prompts.detect(_documents(spark, folder, plants.PROMPTS), "text", jailbreak=None, deep=False)
+    found = prompts.detect(_documents(spark, folder, plants.PROMPTS), "text", jailbreak=None)
     return found.select("doc_id", *_verdict_columns("injection"))
 
 
 @query
 def jailbreak_scan(spark, folder):
-    found = prompts.detect(_documents(spark, folder, plants.PROMPTS), "text", injection=None, deep=False)
+    found = prompts.detect(_documents(spark, folder, plants.PROMPTS), "text", injection=None)
     return found.select("doc_id", *_verdict_columns("jailbreak"))
 
 
 @query
 def oversize_prompts(spark, folder):
-    found = prompts.detect(_documents(spark, folder, plants.PROMPTS), "text", jailbreak=None, deep=False)
+    found = prompts.detect(_documents(spark, folder, plants.PROMPTS), "text", jailbreak=None)
     return found.where("injection.rule = 'pi_oversize'").select("doc_id", "n_chars", F.col("injection.reason").alias("reason"))
 
 
 @query
 def cross_turn_injection(spark, folder):
     joined = conversations.assemble(_split_turns(spark, folder))
-    found = prompts.detect(joined, "prompt", deep=False)
+    found = prompts.detect(joined, "prompt")
     hit = found.where("injection.detected or jailbreak.detected")
     return hit.select(
         "conv_id", F.col("injection.rule").alias("injection_rule"), F.col("injection.reason").alias("injection_reason"),
@@ -139,13 +139,13 @@ def cross_turn_injection(spark, folder):
 
 @query
 def guard_decision(spark, folder):
-    decided = prompts.decide(_turns(spark, folder, plants.PROMPTS), "text", deep=False)
+    decided = prompts.decide(_turns(spark, folder, plants.PROMPTS), "text")
     return decided.select("conv_id", "turn", "decision.*")
 
 
 @query
 def guard_decision_deep(spark, folder):
-    decided = prompts.decide(_documents(spark, folder, plants.HIDDEN), "text", deep=True)
+    decided = prompts.decide(_documents(spark, folder, plants.HIDDEN), "text")
     return decided.select("doc_id", F.col("decision.allowed").alias("allowed"), F.col("decision.threat_type").alias("threat_type"), F.col("decision.reason").alias("reason"))
 
 
@@ -157,7 +157,7 @@ def guard_policy_switches(spark, folder):
         prompt_injection=role != "system", jailbreak=role == "user", pii_masking=role != "assistant",
         threshold=F.when(role == "assistant", 0.9).otherwise(0.7),
     )
-    decided = prompts.decide(_turns(spark, folder, plants.PROMPTS), "text", policy, deep=False)
+    decided = prompts.decide(_turns(spark, folder, plants.PROMPTS), "text", policy)
     return decided.groupBy("role", "decision.threat_type").agg(
         F.count("*").alias("n"), F.count_if(~F.col("decision.allowed")).alias("blocked")
     )
@@ -165,7 +165,7 @@ def guard_policy_switches(spark, folder):
 
 @query
 def risk_levels(spark, folder):
-    judged = prompts.fallback_judgement(_turns(spark, folder, plants.PROMPTS), "text", deep=False)
+    judged = prompts.fallback_judgement(_turns(spark, folder, plants.PROMPTS), "text")
     score = F.col("judgement.risk_score")
     return judged.select(
         "conv_id", "turn", F.col("judgement.threat_category").alias("threat_category"), score.cast("bigint").alias("risk_score"),
@@ -178,7 +178,7 @@ def risk_levels(spark, folder):
 def guard_fallback(spark, folder):
     """Requests joined with the verdicts that arrived; answers to system turns are missing."""
     turns = _turns(spark, folder, plants.PROMPTS).withColumn("request", F.concat_ws("-", "conv_id", "turn"))
-    answered = prompts.decide(turns.where("role <> 'system'"), "text", deep=False).select("request", "decision.allowed", "decision.threat_type")
+    answered = prompts.decide(turns.where("role <> 'system'"), "text").select("request", "decision.allowed", "decision.threat_type")
     closed = prompts.with_fallback(turns.select("request", "role"), answered, "request", "BLOCK").withColumn("mode", F.lit("BLOCK"))
     opened = prompts.with_fallback(turns.select("request", "role"), answered, "request", "ALLOW").withColumn("mode", F.lit("ALLOW"))
     return closed.unionByName(opened).groupBy("mode", "role", "threat_type").agg(
@@ -188,7 +188,7 @@ def guard_fallback(spark, folder):
 
 @query
 def sdk_guard_decision(spark, folder):
-    decided = prompts.sdk_decide(_turns(spark, folder, plants.PROMPTS), "text", deep=False)
+    decided = prompts.sdk_decide(_turns(spark, folder, plants.PROMPTS), "text")
     return decided.select(
         "conv_id", "turn", *[F.col(f"decision.{name}").alias(name) for name in ("is_blocked", "threat_category", "standard_code", "confidence", "masked_text", "has_pii")]
     )
@@ -356,7 +356,7 @@ def deobfuscated_views(spark, folder):
 
 @query
 def deobfuscated_scan(spark, folder):
-    found = prompts.detect(_documents(spark, folder, plants.HIDDEN), "text", deep=True)
+    found = prompts.detect(_documents(spark, folder, plants.HIDDEN), "text")
     return found.where("injection.detected or jailbreak.detected").select(
         "doc_id", F.col("injection.rule").alias("injection_rule"), F.col("injection.reason").alias("injection_reason"), F.col("jailbreak.rule").alias("jailbreak_rule")
     )
@@ -399,25 +399,25 @@ def _responses(spark, folder) -> DataFrame:
 
 @query
 def canary_leaks(spark, folder):
-    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS, deep=False)
+    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS)
     return judged.where("canary.detected").select("conv_id", "turn", F.col("canary.leaked_token").alias("leaked_token"), F.col("canary.kind").alias("kind"))
 
 
 @query
 def canary_by_kind(spark, folder):
-    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS, deep=False)
+    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS)
     return judged.groupBy("canary.kind").agg(F.count("*").alias("n"))
 
 
 @query
 def canary_deep(spark, folder):
-    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS, deep=True)
+    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS)
     return judged.where("canary.detected").select("conv_id", "turn", F.col("canary.leaked_token").alias("leaked_token"), F.col("canary.kind").alias("kind"))
 
 
 @query
 def output_guard(spark, folder):
-    guarded = canary.guard_output(_responses(spark, folder), "text", plants.TOKENS, deep=False)
+    guarded = canary.guard_output(_responses(spark, folder), "text", plants.TOKENS)
     return guarded.select("conv_id", "turn", "allowed", "sanitized_response", "threat_type", "reason")
 
 
@@ -426,13 +426,13 @@ def route_canaries(spark, folder):
     """Responses compared with the tokens of the route they belong to."""
     responses = _responses(spark, folder).withColumn("route_id", plants.planted(F.col("conv_id"), [route.id for route in ROUTES]))
     tokens = canary.route_tokens(responses, routing.routes_frame(spark, ROUTES))
-    judged = canary.find_leaks(tokens, "text", "canary_tokens", deep=False)
+    judged = canary.find_leaks(tokens, "text", "canary_tokens")
     return judged.groupBy("route_id").agg(F.count("*").alias("n"), F.count_if("canary.detected").alias("leaks"))
 
 
 @query
 def canary_sdk(spark, folder):
-    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS, deep=False, profile="sdk")
+    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS, profile="sdk")
     return judged.where("canary.detected").select("conv_id", "turn", F.col("canary.leaked_token").alias("leaked_token"), F.col("canary.kind").alias("kind"))
 
 
@@ -685,7 +685,7 @@ def rate_breaches(spark, folder):
 def _cases(spark, folder) -> DataFrame:
     """Labelled documents with the guard's raw verdict on their planted text; an attack is a planted attack."""
     documents = _documents(spark, folder, plants.PROMPTS).join(_table(spark, folder, "labels"), "doc_id")
-    found = prompts.detect(documents, "text", deep=False)
+    found = prompts.detect(documents, "text")
     number = F.pmod("doc_id", F.lit(len(plants.PROMPTS)))
     clean = [n for n, text in enumerate(plants.PROMPTS) if text in ("", " Please ignore the noise outside.", " What is the capital of Thailand?")]
     detected = (F.col("injection.detected") & (F.col("injection.confidence") >= 0.7)) | F.col("jailbreak.detected")
@@ -853,5 +853,5 @@ def stream_guard(spark, folder):
     schema = _table(spark, folder, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
     planted = stream.withColumn("text", F.concat("text", plants.planted(F.col("conv_id") + F.col("turn"), plants.PROMPTS)))
-    decided = jobs.guard_stream(planted, "text", deep=False).select("conv_id", "turn", "decision.allowed", "decision.threat_type", "decision.risk_level")
+    decided = jobs.guard_stream(planted, "text").select("conv_id", "turn", "decision.allowed", "decision.threat_type", "decision.risk_level")
     return spark.read.parquet(_run(spark, decided, "append", "stream-guard"))

@@ -172,3 +172,14 @@ def test_pipeline_stages_take_effect(spark):
         before = after
     got = before.collect()
     assert {*docs.columns, "shard", "slot"} == set(before.columns) and {r.shard for r in got} <= set(range(24))
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnop", "абвгдежзийклмноп", "天地玄黄宇宙洪荒日月盈昃辰宿列张"])
+def test_quality_tells_texts_of_one_shape_apart_by_their_words(spark, letters):
+    rng = np.random.default_rng(4)
+    good, bad = (["".join(rng.choice(list(letters), 5)) for _ in range(60)] for _ in range(2))
+    texts = [(i, " ".join(rng.choice((bad, good)[i % 2], 40)), i % 2) for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, label int")
+    model = quality.fit(df.where("doc_id < 120"))
+    got = {r.doc_id: r.score for r in quality.score_quality(df.where("doc_id >= 120"), model).collect()}
+    assert len(got) == 80 and all((s > 0.9) if d % 2 else (s < 0.1) for d, s in got.items())

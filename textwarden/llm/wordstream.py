@@ -164,5 +164,18 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], w
     return out.reshape(docs, width)
 
 
+def character_runs(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every run of n UTF-8 characters; none reaches into the next document."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.r_[starts, len(data)][n:]
+    starts = starts[: len(ends)]
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    fits = ends <= offsets[doc + 1]
+    starts, ends, doc = starts[fits], ends[fits], doc[fits]
+    up, down = _powers("byte", len(data) + 1)
+    sums = _sums(_BYTES[data] * up[: len(data)])
+    return doc, mix((sums[ends] - sums[starts]) * down[starts] + U(n))
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

@@ -43,6 +43,20 @@ def test_vector_links_are_those_of_brute_force(spark):
     assert multiindex.near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("recall", [None, 0.95])
+def test_vectors_of_many_dimensions_and_few_directions_keep_their_links(spark, recall):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 4)) @ rng.normal(size=(4, 768)) + rng.normal(scale=0.02, size=(4000, 768))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in (multiindex.near_vectors(df) if recall is None else multiindex.near_vectors(df, recall=recall)).collect()}
+    if recall is None:
+        assert [got[i] for i in range(len(x))] == want.tolist()
+    else:
+        assert all(got[i] <= n for i, n in enumerate(want.tolist())) and sum(got.values()) >= 0.93 * want.sum()
+
+
 def test_pivotal_rounding_keeps_words_and_odds():
     rng = np.random.default_rng(5)
     size, x = rng.integers(1, 50, 30).astype(float), rng.random(30)

@@ -1,13 +1,12 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 The halves of the normalised vectors have codebooks of their own; their product is the grid of cells. A query meets cells in the order of
-a bound on the distance to anything inside (the multi-sequence order of two sorted lists) and stops where the target
-recall is reached, then every candidate is verified in double precision.
+a bound on the distance to anything inside (the multi-sequence order of two sorted lists) and stops where no link can be
+missed, or where a measured recall is reached, then every candidate is verified in double precision.
 
 The bound of a half: a point of codeword i is at least ``(d_i^2 - d_a^2) / (2 |c_i - c_a|)`` from a query whose nearest codeword is a. The
-sum over both halves can't exceed ``2 - 2 cosine`` for a link. A link's difference vector has no preferred direction, so of that
-only a chi-square share with two degrees of freedom lies in the two directions that decide: the traversal stops at
-``-2 ln(1 - recall) / dimensions`` of it, at most at all of it, where nothing can be missed.
+sum over both halves can't exceed ``2 - 2 cosine`` for a link: the traversal stops there, and nothing is missed. A recall below 1 stops
+it earlier, where the links of a bounded sample of queries, found by brute force among all vectors, show that recall.
 
 Equal vectors are one row. A cell is cut into blocks of members and of queries, so no cell lands in one task; blocks give counts and
 a spanning forest of their links, never the pairs.
@@ -28,7 +27,9 @@ from textwarden.llm.tables import components, keep
 COSINE = 0.9
 #: Vectors from which the codebooks are learned, at most.
 SAMPLE = 8192
-RECALL = 1 - 1e-9
+RECALL = 1.0
+#: Queries whose links are counted for a recall below 1, and steps of the reach they are counted in.
+PROBES, STEPS = 256, 1000
 MEMBERS, QUERIES = 2048, 2048
 
 
@@ -85,23 +86,56 @@ def visited(bounds1: np.ndarray, bounds2: np.ndarray, reach: float) -> tuple[np.
     return q[row], i[row], order2[q[row], step]
 
 
+def _bounds(x: np.ndarray, books) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For either half: the bound of every codeword for every vector, and the vectors' own codewords."""
+    half, bounds, own = x.shape[1] // 2, [], []
+    for c, h in zip(books, (x[:, :half], x[:, half:]), strict=True):
+        d = _distances(h, c)
+        a = d.argmin(1)
+        own.append(a)
+        bounds.append(np.maximum(0, d - d[np.arange(len(d)), a][:, None]) ** 2 / (2 * np.sqrt(_distances(c, c)) + np.eye(len(c)))[a] ** 2)
+    return bounds, own
+
+
+def _reaches(shared, cosine: float, full: float):
+    """Links of the probes with a batch's vectors, counted by the step of the reach that finds them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, probes = shared.value
+        bounds, _ = _bounds(probes, books)
+        found = np.zeros(STEPS + 1, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                x = _unit(batch.column("vector").slice(at, 1024).to_pylist())
+                _, own = _bounds(x, books)
+                near = probes @ x.T
+                q, m = np.nonzero((near >= cosine) & (near < 1 - 1e-12))
+                need = bounds[0][q, own[0][m]] + bounds[1][q, own[1][m]]
+                found += np.bincount(np.minimum(STEPS, np.ceil(need / full * STEPS)).astype(int), minlength=STEPS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(found)], ["step", "n"])
+
+    return work
+
+
+def measured_reach(reps: DataFrame, books, cosine: float, recall: float, full: float) -> float:
+    """Least reach that finds the share ``recall`` of the probes' links with all vectors; all of it when they have no links."""
+    probes = _unit([r["vector"] for r in reps.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(PROBES).select("vector").collect()])
+    shared = reps.sparkSession.sparkContext.broadcast((books, probes))
+    found = {r["step"]: r["n"] for r in reps.select("vector").mapInArrow(_reaches(shared, cosine, full), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    upto = np.cumsum([found.get(i, 0) for i in range(STEPS + 1)])
+    return full if not upto[-1] else full * float(np.argmax(upto >= recall * upto[-1])) / STEPS
+
+
 def _traverse(books, reach: float):
     """Own cell (kind 1) and visited cells (kind 0) of every vector."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c1, c2 = books.value
-        gaps = [2 * np.sqrt(_distances(c, c)) + np.eye(len(c)) for c in (c1, c2)]
+        c2 = books.value[1]
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = _unit(part.column("vector").to_pylist())
-                half = x.shape[1] // 2
-                bounds, own = [], []
-                for c, gap, h in ((c1, gaps[0], x[:, :half]), (c2, gaps[1], x[:, half:])):
-                    d = _distances(h, c)
-                    a = d.argmin(1)
-                    own.append(a)
-                    bounds.append(np.maximum(0, d - d[np.arange(len(d)), a][:, None]) ** 2 / gap[a] ** 2)
+                bounds, own = _bounds(x, books.value)
                 q, i, j = visited(*bounds, reach)
                 rows = pa.array(np.r_[np.arange(len(x)), q])
                 cell = np.r_[own[0] * len(c2) + own[1], i * len(c2) + j]
@@ -175,7 +209,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     else:
         books = (np.zeros((1, 1)), np.zeros((1, 1)))
     full = 2 - 2 * cosine
-    reach = (full if recall >= 1 else min(full, -2 * np.log(1 - recall) * full / max(1, dimension))) + 1e-9
+    reach = (full if recall >= 1 or not learned else measured_reach(reps, books, cosine, recall, full)) + 1e-9
     placed = keep(reps.mapInArrow(_traverse(spark.sparkContext.broadcast(books), reach), "rep long, times long, vector binary, cell long, kind int"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.sum("kind") / MEMBERS).alias("m"), F.ceil(F.sum(1 - F.col("kind")) / QUERIES).alias("q")).where("m > 0 and q > 0")
     part = lambda side: F.pmod(F.xxhash64("rep"), F.col(side))

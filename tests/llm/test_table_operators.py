@@ -188,6 +188,27 @@ def test_pipeline_stages_take_effect(spark):
     assert {*docs.columns, "shard", "slot"} == set(before.columns) and {r.shard for r in got} <= set(range(24))
 
 
+def test_long_junk_is_rejected_and_clean_texts_of_all_lengths_stay(spark):
+    import base64
+
+    from textwarden.llm.queries import language_model
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_model(docs)
+    rng = np.random.default_rng(3)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+    junk = []
+    for n in (512, 2048, 8192):
+        junk += ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)), base64.b64encode(rng.bytes(n)).decode()[:n], rng.bytes(n).hex()[:n], "a " + " ".join(map(str, rng.integers(0, 9999, n // 4))), ('<div class="a"><p></p></div><br/>' * n)[:n], (finnish * n)[:n]]
+    found = language.identify(spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string"), model).collect()
+    assert [r.row.doc_id for r in found if not r.rejected] == []
+    held = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 and text rlike '[a-z]'").selectExpr("text", "length(text) AS n")
+    got = language.identify(held, model).selectExpr("row.n", "rejected").collect()
+    short = [r.rejected for r in got if r.n < 200]
+    assert len(short) > 40 and sum(short) <= 0.05 * len(short)
+    assert np.mean([r.rejected for r in got]) < 0.01
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnop", "абвгдежзийклмноп", "天地玄黄宇宙洪荒日月盈昃辰宿列张"])
 def test_quality_tells_texts_of_one_shape_apart_by_their_words(spark, letters):
     rng = np.random.default_rng(4)

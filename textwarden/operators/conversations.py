@@ -87,16 +87,26 @@ def replace_prompt(body: Column, sanitized: Column) -> Column:
     )
 
 
+def _joined(turns: DataFrame, conversation: str, turn: str, text: str, out: str) -> DataFrame:
+    return turns.groupBy(conversation).agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(turn, text))), lambda entry: entry[text]), fv.TURN_SEPARATOR
+        ).alias(out),
+        F.count("*").alias("n_turns"),
+    )
+
+
 def assemble(
     turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text",
-    max_bytes: int = fv.MAX_BODY_BYTES, out: str = "prompt",
+    max_bytes: int | None = None, out: str = "prompt",
 ) -> DataFrame:
-    """One row per conversation: its turns in order, joined by the turn separator, or NULL when it is over the limit.
+    """One row per conversation: its turns in order, joined by the turn separator, whatever its size.
 
-    Sizes are added up first (with map-side sums), and turns of conversations over the body limit never meet in one
-    task: they are dropped before turns are collected, and their prompt is NULL, which is the payload-too-large case.
-    So a group that is collected is never larger than one body.
+    With ``max_bytes`` the prompt of a larger conversation is NULL, which is the payload-too-large case. Sizes are then
+    added up first (with map-side sums), and its turns are dropped before turns are collected.
     """
+    if max_bytes is None:
+        return _joined(turns, conversation, turn, text, out)
     separator_bytes = len(fv.TURN_SEPARATOR.encode())
     sizes = turns.groupBy(conversation).agg(
         F.count("*").alias("n_turns"),
@@ -104,11 +114,6 @@ def assemble(
     )
     oversize = sizes.where(F.col("n_bytes") > max_bytes)
     fitting = turns.select(conversation, turn, text).join(oversize.select(conversation), conversation, "left_anti")
-    joined = fitting.groupBy(conversation).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(turn, text))), lambda entry: entry[text]), fv.TURN_SEPARATOR
-        ).alias(out),
-        F.count("*").alias("n_turns"),
-    )
+    joined = _joined(fitting, conversation, turn, text, out)
     too_large = oversize.select(conversation, F.lit(None).cast("string").alias(out), "n_turns")
     return joined.unionByName(too_large)

@@ -1,9 +1,8 @@
-"""Repeated passages by relative Lempel-Ziv parsing of every document against an index of the whole corpus.
+"""Repeated passages by anchored chunks of every document, matched by content; this replaces a relative Lempel-Ziv parse.
 
-The reference is the corpus itself, cut into factors where any two equal passages are cut alike: of the ``SEED``-word runs in a
+The corpus is cut into chunks, here called factors, where any two equal passages are cut alike: of the ``SEED``-word runs in a
 window of ``width`` words, the one with the smallest hash is the window's anchor, and neighbouring windows with one anchor
-make a factor. Factors are dealt by anchor to reference blocks, so each document meets only the blocks that can
-hold its passages. A factor that stands whole at two places is a duplicate. Where factors differ around one anchor,
+make a factor. Factors are grouped by their content's hash, so no document meets an index of the others. A factor that stands whole at two places is a duplicate. Where factors differ around one anchor,
 which is at the ends of passages, the windows across the factors' boundaries are compared one by one.
 
 Counts are taken before anything is joined, so a passage in a third of all documents is one row for each task. Only

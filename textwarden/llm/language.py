@@ -131,30 +131,50 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clu
     return model
 
 
-def _identify(model, reject: float):
+#: Bytes of text that a Python task works on at once; a longer text is taken alone.
+SLICE = 4 << 20
+
+
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of parts of a string column that hold about ``size`` bytes each."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
+    at, before = 0, 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, end - at
+        at, before = end, int(ends[end - 1])
+
+
+def _identify(model, reject: float, text_col: str, keep_rejected: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Centroids = model.value
         for batch in batches:
-            names, scores, far = [], [], []
-            for x, size in _vectors(batch.column("_text")):
-                best, near = own.nearest(x)
-                names += [own.names[i] for i in best]
-                scores += np.clip(near, 0, 1).tolist()
-                far += (near < reject * own.least[best, size]).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("has_letter"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], ["row", "has_letter", "name", "score", "far"])
+            rows = batch.column("row")
+            texts = rows.field(text_col)
+            for at, n in slices(texts):
+                part = texts.slice(at, n)
+                letters = np.asarray(pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False))
+                names, scores, far = [], [], []
+                for x, size in _vectors(part):
+                    best, near = own.nearest(x)
+                    names += [own.names[i] for i in best]
+                    scores.append(np.clip(near, 0, 1))
+                    far.append(near < reject * own.least[best, size])
+                rejected = ~letters | np.concatenate(far)
+                out = pa.RecordBatch.from_arrays([rows.slice(at, n), pa.array(np.where(letters, names, UNKNOWN), pa.string()), pa.array(np.where(letters, np.concatenate(scores), 0.0)), pa.array(rejected)], ["row", "lang_pred", "score", "rejected"])
+                yield out if keep_rejected else out.filter(pa.array(~rejected))
 
     return work
 
 
-def identify(docs: DataFrame, model: Centroids, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+def identify(docs: DataFrame, model: Centroids, text_col: str = "text", reject: float = REJECT, keep_rejected: bool = True) -> DataFrame:
     """(row, lang_pred, score, rejected): row holds the columns of ``docs`` as they were, nulls and repeated rows included.
 
     A null text, or one without a letter, is ``und``, scores 0 and is rejected. Any other gets a learned language and its cosine,
-    and is rejected when it is further from it than the sample's texts of its length.
+    and is rejected when it is further from it than the sample's texts of its length. ``keep_rejected=False`` leaves rejected rows out
+    before they go back to the JVM.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.col(text_col).alias("_text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, has_letter boolean, name string, score double, far boolean"
-    found = rows.mapInArrow(_identify(shared, reject), schema)
-    ok = F.col("has_letter")
-    return found.select("row", F.when(ok, F.col("name")).otherwise(UNKNOWN).alias("lang_pred"), F.when(ok, F.col("score")).otherwise(0.0).alias("score"), (~ok | F.col("far")).alias("rejected"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
+    return rows.mapInArrow(_identify(shared, reject, text_col, keep_rejected), schema)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from textwarden.llm import decontaminate, jaccard, language, mixing, sharding
 from textwarden.llm.queries import language_model
@@ -14,14 +15,21 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification does not reject."""
-    return language.identify(docs, language_model(docs)).where("not rejected").select("row.*")
+    return language.identify(docs, language_model(docs), keep_rejected=False).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Documents without an id stay."""
-    found = jaccard.jaccard_components(docs)
-    lost = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id (null last), then the smallest hash.
+
+    Rows are told apart by id and text, so another text under a losing id stays, and of repeated rows one stays, also without an id.
+    Texts without words, null or empty, link with nothing and all stay. An empty table gives an empty one.
+    """
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("name"))
+    found = jaccard.jaccard_components(named.select("name", "row.text"), id_col="name").where("n_shingles > 0").select("name", F.col("component_id").alias("group")).distinct()
+    first = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("name"), F.xxhash64("row"), F.spark_partition_id())
+    grouped = named.join(found, "name", "left")
+    ranked = grouped.where("group is not null").withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(first))).where("place = 1")
+    return ranked.select("row.*").unionByName(grouped.where("group is null").select("row.*"))
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

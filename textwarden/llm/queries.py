@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import chat, decontaminate, jaccard, language, licences, mixing, multiindex, quality, sharding, substrings
+from textwarden.llm import chat, decontaminate, jaccard, language, licences, mixing, multiindex, negatives, quality, sharding, substrings, webpages, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,7 +85,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (quality.fold("row.doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page, without the templates of its host."""
+    found = webpages.extract_articles(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every hundredth vector's positives, labels of every seventh moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the first eight components, scaled to unit variance."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op2_substring_dedup, op3_source_mixing, op4_decontamination, op5_ngram_jaccard, op6_sharding, op7_quality, op8_chat_format, op9_licences, op10_language_id)
+    for f in (op1_embedding_dedup, op2_substring_dedup, op3_source_mixing, op4_decontamination, op5_ngram_jaccard, op6_sharding, op7_quality, op8_chat_format, op9_licences, op10_language_id, op11_html_extraction, op12_hard_negatives, op13_embedding_whitening)
 }

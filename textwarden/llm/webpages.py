@@ -22,10 +22,8 @@ from textwarden.llm.tables import keep
 
 #: Least number of pages of different text, and share of the host's pages, on which template subtrees recur.
 LOOSE, STRICT = (3, 0.05), (8, 0.8)
-#: Parts of a frequent subtree's rows that are joined apart from each other.
-SALT = 16
-
-_SUBTREE = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("strict", pa.bool_())])
+#: Templates (of all hosts, 17 bytes each) that are broadcast at most; more are joined by a shuffle, a frequent subtree's rows in SALT parts.
+BROADCAST, SALT = 1_000_000, 16
 
 
 def host(url: Column) -> Column:
@@ -53,15 +51,18 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        name, blocks, subtrees = [], [], []
+        name, blocks, hashes, firsts, ends = [], [], [], [], []
         for html in batch.column("html").to_pylist():
             texts, found, _ = Page(html or "").blocks()
             name.append(_signed(xxhash.xxh3_64_intdigest((html or "").encode())))
             # Lone surrogates, which character references can spell, are no text.
             blocks.append([t.encode("utf-8", "replace").decode() for t in texts])
-            subtrees.append([{"hash": h, "first": a, "end": b, "strict": s} for h, a, b, s in found])
-        columns = [batch.column("row"), batch.column("site"), pa.array(name, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(subtrees, pa.list_(_SUBTREE))]
-        yield pa.RecordBatch.from_arrays(columns, ["row", "site", "name", "blocks", "subtrees"])
+            hashes.append([s[0] for s in found])
+            firsts.append([s[1] for s in found])
+            ends.append([s[2] for s in found])
+        spans = [pa.array(hashes, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))]
+        columns = [batch.column("row"), batch.column("site"), pa.array(name, pa.int64()), pa.array(blocks, pa.list_(pa.string())), *spans]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "site", "name", "blocks", "hashes", "firsts", "ends"])
 
 
 def site_templates(signs: DataFrame, loose: tuple[int, float] = LOOSE, strict: tuple[int, float] = STRICT) -> DataFrame:
@@ -82,17 +83,21 @@ def extract_articles(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     site = F.xxhash64(host(F.col(url_col)))
     known = pages.where(host(F.col(url_col)).isNotNull() & F.col(html_col).isNotNull()).select(site.alias("site"), F.col(html_col).alias("html"))
     signs = keep(known.mapInArrow(_signs, "site long, name long, text long, subtrees array<struct<hash: long, strict: boolean>>"), "subtrees")
-    salt = F.pmod("name", F.lit(SALT))
-    found = site_templates(signs, loose, strict).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    once = signs.groupBy("site", "name").agg(F.first("subtrees").alias("subtrees")).select("site", "name", salt.alias("salt"), F.inline("subtrees"))
-    hits = once.join(found, ["site", "hash", "salt"]).where("always or not strict").groupBy("site", "name").agg(F.collect_set("hash").alias("template"))
+    once = signs.groupBy("site", "name").agg(F.first("subtrees").alias("subtrees")).select("site", "name", F.inline("subtrees"))
+    found = keep(site_templates(signs, loose, strict), "templates")
+    if found.limit(BROADCAST + 1).count() <= BROADCAST:
+        met = once.join(F.broadcast(found), ["site", "hash"])
+    else:
+        parts = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        met = once.withColumn("salt", F.pmod("name", F.lit(SALT))).join(parts, ["site", "hash", "salt"])
+    hits = met.where("always or not strict").groupBy("site", "name").agg(F.collect_set("hash").alias("template"))
 
     row = F.struct(*(c for c in pages.columns if c != html_col)).alias("row")
     rows = pages.select(row, F.when(host(F.col(url_col)).isNotNull(), site).alias("site"), F.col(html_col).alias("html"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, site long, name long, blocks array<string>, subtrees array<struct<hash: long, first: int, end: int, strict: boolean>>"
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, site long, name long, blocks array<string>, hashes array<long>, firsts array<int>, ends array<int>"
     read = rows.mapInArrow(_blocks, schema).join(hits, ["site", "name"], "left")
-    out = F.filter("subtrees", lambda s: F.array_contains("template", s["hash"]))
-    stays = lambda _, i: ~F.exists("out", lambda s: (s["first"] <= i) & (i < s["end"]))
+    out = F.filter(F.arrays_zip("hashes", "firsts", "ends"), lambda s: F.array_contains("template", s["hashes"]))
+    stays = lambda _, i: ~F.exists("out", lambda s: (s["firsts"] <= i) & (i < s["ends"]))
     cut = read.withColumn("out", F.when(F.col("template").isNotNull(), out))
     kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", stays))
     done = cut.select("row", F.array_join(kept, "\n").alias("text"), F.coalesce(F.size("template"), F.lit(0)).alias("n_template"))

@@ -80,6 +80,11 @@ def character_class(characters) -> str:
     return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
 
 
+def exact_class(characters) -> str:
+    """Regex class of just these characters."""
+    return "[" + "".join(f"\\x{{{ord(character):x}}}" for character in sorted(characters)) + "]"
+
+
 @cache
 def _entities() -> tuple[dict[str, str], list[str], list[str]]:
     full = {name: value for name, value in html.entities.html5.items() if name.endswith(";")}

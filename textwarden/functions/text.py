@@ -6,6 +6,7 @@ All stages are built-in expressions, so they run in the JVM and can be used insi
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,14 +32,42 @@ _STRETCHED_ANY = unicode_words(r"(?i)\b(?:" + "|".join(_STRETCHED) + r")\b")
 _DOUBLED = r"(?d)(.)\1+"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _ROTATED = _LOWER[13:] + _LOWER[:13]
+_LONG_TOKEN = r"(?U)\S{16,}"
 _B64 = "[A-Za-z0-9+/]"
-_B64_RUN = rf"(?<!{_B64}){_B64}[A-Za-z0-9+/ \t\r\n]*={{0,2}}(?!{_B64})"
-_B64_LOOSE_RUN = rf"(?<!{_B64}){_B64}[A-Za-z0-9+/\-_. \t\r\n]{{14,}}={{0,4}}(?!{_B64})"
+_B64_RUN = rf"{_B64}[A-Za-z0-9+/ \t\r\n]*={{0,2}}(?!{_B64})"
+_B64_LOOSE_RUN = rf"{_B64}[A-Za-z0-9+/\-_. \t\r\n]{{14,}}={{0,4}}(?!{_B64})"
 # The longest prefix a lenient decoder reads: whole groups of four with stray padding ignored, then either a padded
 # last group or the end of the text. Possessive, so that long runs need no recursion.
 _B64_READABLE = rf"^(?:=*+{_B64}=*+{_B64}=?+{_B64}{_B64})*+(?:=*+{_B64}=*+{_B64}(?:==|=?+{_B64}=)|=*+$)"
+
+
+def _unreadable(gap: str) -> str:
+    """Pattern of candidates whose first code letters already spell no printable character; ``gap`` may stand between letters.
+
+    Two letters give the first byte and half of the second: a control or continuation byte at the start, a control or
+    continuation byte after an ASCII one (or after two, by the third and fourth letter), or no continuation after a lead byte. Sixteen letters without padding have to
+    follow within 64 characters, because shorter candidates are decoded whatever they begin with.
+    """
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def code(wanted) -> str:
+        return "[" + "".join(letters[value] for value in range(64) if wanted(value)) + "]"
+
+    after_ascii, ascii_next = code(lambda value: value % 16 in (0, 1, 8, 9, 10, 11)), code(lambda value: 2 <= value % 16 < 8)
+    third, zero_third, control = code(lambda value: value % 4 == 2), code(lambda value: value % 4 == 0), code(lambda value: value < 32)
+    after_lead = code(lambda value: value % 16 not in (8, 9, 10, 11))
+    no_start = code(lambda value: value < 8 or 32 <= value < 48 or value > 61)
+    ascii_start, lead = code(lambda value: 8 <= value < 32), code(lambda value: 48 <= value <= 61)
+    some = f"{gap}{{0,3}}+"
+    ascii_pair = f"{ascii_next}{some}(?:{third}|{zero_third}{some}{control})"
+    return rf"(?={no_start}|{ascii_start}{some}(?:{after_ascii}|{ascii_pair})|{lead}{some}{after_lead}){_B64}(?:{some}{_B64}){{15}}"
+
+
+# Group 1 of these holds the candidates that may be readable; others are passed over whole, as they would be found whole.
+_B64_RUN = rf"(?<!{_B64})(?:(?!{_unreadable('[ \t\r\n]')})(?=(?:[ \t\r\n]*+{_B64}){{16}})({_B64_RUN})|{_B64_RUN})"
+_B64_LOOSE_RUN = rf"(?<!{_B64})(?:(?!{_unreadable('[-_. \t\r\n]')})({_B64_LOOSE_RUN})|{_B64_LOOSE_RUN})"
 _HEX_RUN = unicode_words(r"\b[0-9a-fA-F]{16,}\b")
-_PRINTABLE_START = r"^[\p{L}\p{M}\p{N}\p{P}\p{S} &&[^\x{fffd}]]{3}"
+_PRINTABLE_START = r"^[\p{L}\p{M}\p{N}\p{P}\p{S} &&[^\x{fffd}]]{3}[\p{L}\p{M}\p{N}\p{P}\p{S} ]*$"
 _PRINTABLE = r"^[\p{L}\p{M}\p{N}\p{P}\p{S} ]+$"
 
 
@@ -65,12 +94,25 @@ def _syllable_parts(syllable: Column) -> Column:
     return F.concat(lead, vowel, F.when(tail > 0, _character(F.lit(0x11A7) + tail)).otherwise(""))
 
 
+@cache
+def _expanding(keys: tuple[str, ...]) -> str:
+    """Pattern of the characters and pairs that become several characters.
+
+    Pairs are grouped by their second character, behind a look at both: most letters are passed over by one class.
+    """
+    singles = [key for key in keys if len(key) == 1]
+    by_second: dict[str, list[str]] = {}
+    for first, second in (key for key in keys if len(key) == 2):
+        by_second.setdefault(second, []).append(first)
+    firsts = tables.exact_class({first for group in by_second.values() for first in group})
+    pairs = "|".join(f"{tables.exact_class(group)}{tables.exact_class([second])}" for second, group in by_second.items())
+    return f"(?={_NON_ASCII})(?:(?={firsts}{tables.exact_class(by_second)})(?:{pairs})|{tables.character_class(singles)}|[\uac00-\ud7a3])"
+
+
 def unicode_skeleton(text: Column) -> Column:
     """Tag characters, compatibility forms, look-alike letters and accents folded to a plain skeleton."""
     source, target, many = tables.skeleton_table()
-    singles = [character for character in many if len(character) == 1]
-    pairs = [re.escape(pair) for pair in many if len(pair) > 1]
-    expanding = "|".join(pairs) + "|" + tables.character_class(singles) + "|[\uac00-\ud7a3]"
+    expanding = _expanding(tuple(many))
     expansions = tables.lookup(many)
 
     def expanded(match: Column) -> Column:
@@ -213,14 +255,15 @@ def _repair_padding(candidate: Column) -> Column:
 
 
 def _may_be_readable(candidate: Column) -> Column:
-    """False when the first three characters that a candidate decodes to already are not printable.
+    """False when one of the first characters that a candidate decodes to already is not printable.
 
-    Looks at the first 16 code letters, which hold at least three characters, so most prose is dropped undecoded.
+    Looks at the first 16 code letters, which hold at least three characters and perhaps a part of one, so most prose is dropped
+    undecoded.
     """
 
     def reads_well(start: Column) -> Column:
         decoded = F.make_valid_utf8(F.try_to_binary(start, F.lit("base64")).cast("string"))
-        return (F.length(start) < 16) | F.contains(start, F.lit("=")) | F.substring(decoded, 1, 3).rlike(_PRINTABLE_START)
+        return (F.length(start) < 16) | F.contains(start, F.lit("=")) | decoded.rlike(_PRINTABLE_START)
 
     letters = F.regexp_replace(F.substring(candidate, 1, 64), r"[^A-Za-z0-9+/=]", "")
     return F.coalesce(let(F.substring(letters, 1, 16), reads_well), F.lit(True))
@@ -228,15 +271,11 @@ def _may_be_readable(candidate: Column) -> Column:
 
 def base64_payloads(text: Column) -> Column:
     """Distinct readable texts hidden in base64: long tokens first, then strict runs, then runs with punctuation."""
-    tokens = F.filter(F.split(text, r"(?U)\s+", -1), lambda token: F.length(token) >= 16)
-    runs = F.filter(
-        F.regexp_extract_all(text, F.lit(_B64_RUN), F.lit(0)),
-        lambda run: F.length(F.translate(run, " \t\r\n=", "")) >= 16,
-    )
-    loose = F.regexp_extract_all(text, F.lit(_B64_LOOSE_RUN), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(_LONG_TOKEN), F.lit(0))
+    runs = F.concat(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) for pattern in (_B64_RUN, _B64_LOOSE_RUN)])
     # One transform per step, so that every candidate is read once per step.
     kept = F.transform(
-        F.filter(F.array_distinct(F.concat(tokens, runs, loose)), _may_be_readable),
+        F.filter(F.array_distinct(F.concat(tokens, runs)), lambda candidate: (candidate != "") & _may_be_readable(candidate)),
         lambda candidate: F.regexp_replace(candidate, r"[^A-Za-z0-9+/=]", ""),
     )
     padded = F.transform(F.array_distinct(kept), _repair_padding)

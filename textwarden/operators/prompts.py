@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textwarden import fixed_values as fv
 from textwarden.functions import text as tx
-from textwarden.functions.regex import any_of, first_rule, has_literals, matched_text, pick, unicode_words
+from textwarden.functions.regex import any_of, first_rule, has_literals, let, matched_text, pick, unicode_words
 from textwarden.operators.barrier import pin
 from textwarden.operators.pii import mask_pii
 from textwarden.operators.views import with_views
@@ -157,15 +157,20 @@ def _joined_turns(clean: Column, glue: str) -> Column:
     return F.when(F.contains(clean, F.lit(fv.TURN_MARK)), whole)
 
 
+_HIT = "struct<label:string,text:string,number:int>"
+
+
 def _first_reading_hit(readings: Column, detector: Detector) -> Column:
-    """First reading that a pattern matches, as struct(label, text, number)."""
-    hits = F.transform(
-        readings,
-        lambda reading: F.struct(
-            reading["label"].alias("label"), reading["text"].alias("text"), rule_number(reading, detector).alias("number")
-        ),
-    )
-    return F.get(F.filter(hits, lambda hit: hit["number"].isNotNull()), F.lit(0))
+    """First reading that a pattern matches, as struct(label, text, number); readings after it are not looked at."""
+
+    def look(found: Column, reading: Column) -> Column:
+        def judged(number: Column) -> Column:
+            hit = F.struct(reading["label"].alias("label"), reading["text"].alias("text"), number.alias("number"))
+            return F.when(number.isNotNull(), hit.cast(_HIT))
+
+        return F.when(found.isNotNull(), found).otherwise(let(rule_number(reading, detector), judged))
+
+    return F.aggregate(readings, F.lit(None).cast(_HIT), look)
 
 
 def _hit_verdict(hit: Column, detector: Detector) -> Column:

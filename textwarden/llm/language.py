@@ -34,7 +34,7 @@ _LETTERS[97:123], _LETTERS[128:] = np.arange(97, 123), np.arange(128, 256)
 
 def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(vectors, length classes) of some texts at a time."""
-    for _, _, data, offsets in chunks(pc.utf8_lower(pc.fill_null(column, "")), 512):
+    for _, _, data, offsets in chunks(pc.utf8_lower(pc.fill_null(column, "")), 128, 1 << 18):
         size = np.minimum(np.log2(np.maximum(1, np.diff(offsets))).astype(int), CLASSES - 1)
         yield np.log1p(gram_counts(_LETTERS[data], offsets, SIZES, WIDTH)), size
 
@@ -132,7 +132,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clu
 
 
 #: Bytes of text that a Python task works on at once; a longer text is taken alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -163,6 +163,8 @@ def _identify(model, reject: float, text_col: str, keep_rejected: bool):
                 rejected = ~letters | np.concatenate(far)
                 out = pa.RecordBatch.from_arrays([rows.slice(at, n), pa.array(np.where(letters, names, UNKNOWN), pa.string()), pa.array(np.where(letters, np.concatenate(scores), 0.0)), pa.array(rejected)], ["row", "lang_pred", "score", "rejected"])
                 yield out if keep_rejected else out.filter(pa.array(~rejected))
+        # What the pool holds on to would stay with the worker for later stages.
+        pa.default_memory_pool().release_unused()
 
     return work
 

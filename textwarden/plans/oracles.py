@@ -430,6 +430,13 @@ ORACLES["body_rewrite"] = f"SELECT conv_id, masked AS prompt FROM {masked_sql(_C
 RESPONSES = f"(SELECT conv_id, turn, text FROM {turns(plants.LEAKS)} WHERE role = 'assistant')"
 
 
+_TOKEN_ROWS = f"(SELECT unnest([{', '.join(q(token) for token in plants.TOKENS)}]) AS token)"
+ORACLES["canary_chunks"] = f"""
+  WITH r AS (SELECT conv_id, turn, text, token FROM {RESPONSES}, {_TOKEN_ROWS} WHERE contains(text, token)),
+  p AS (SELECT *, unnest(range(1, length(text) + 1)) AS position FROM r)
+  SELECT conv_id, turn, token, position, (position + length(token) - 2) // (conv_id % 11 + 3) AS chunk_no FROM p WHERE substr(text, position, length(token)) = token"""
+
+
 def _direct(token: str, sdk: bool) -> str:
     evens, odds = token[::2], token[1::2]
     arms = [(f"contains(text, {q(token)})", 0)]
@@ -683,6 +690,53 @@ ORACLES["shielded_comparison"] = f"""
     round(base + 0.00903, 6)::DOUBLE AS total_latency_ms, round(0.00903 / base * 100, 6)::DOUBLE AS overhead_pct FROM n, m"""
 
 
+# --- reversible masking ----------------------------------------------------------------------------------------
+
+def _vault_ctes() -> str:
+    """CTEs f (turns with one mark per value, and the values) and v (the vault), rule by rule on what earlier rules left."""
+    from textwarden.operators.vault import _MARKS, KINDS, PLACEHOLDER
+
+    edge = {"CREDIT_CARD": r"(?:[0-9][ -]?){11,18}[0-9]", "PHONE": r"(?:\+66|0)[-.\s]?[2689][-.\s]?[0-9][-.\s]?[0-9]{3}[-.\s]?[0-9]{4}|(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}"}
+    rules = [("LITERAL", PLACEHOLDER), *[(label, pattern) for label, pattern, _ in fv.PII_RULES]]
+    ctes, lists = [f"s0 AS (SELECT conv_id, turn, text, text AS t FROM {turns(plants.VAULT)})"], []
+    hidden = []
+    for n, (kind, pattern) in enumerate(rules):
+        if kind in edge:
+            whole = f"{_EDGE_L}(?:{edge[kind]}){_EDGE_R}"
+            values = f"list_transform(regexp_extract_all(t, {q(whole)}), lambda x: regexp_extract(x, {q(edge[kind])}))"
+            left = f"regexp_replace(t, {q(whole)}, {q(rf'\1{_MARKS[kind]}\2')}, 'g')"
+        else:
+            whole = pattern
+            values = f"regexp_extract_all(t, {q(pattern)})"
+            left = f"regexp_replace(t, {q(pattern)}, {q(_MARKS[kind])}, 'g')"
+        if n:
+            hidden.append(f"regexp_matches(form, {q(whole)})")
+        held = "".join(f", x{i}" for i in range(n))
+        ctes.append(f"s{n + 1} AS (SELECT conv_id, turn, text{held}, {values} AS x{n}, {left} AS t FROM s{n})")
+        lists.append(f"list_transform(x{n}, lambda x, i: {{'kind': {q(kind)}, 'place': i, 'original': x}})")
+    ctes.append(f"h AS (SELECT *, {_form('t', f'[{fv.PII_INVISIBLES}]')} AS form FROM s{len(rules)})")
+    whole = "[{'kind': 'TEXT', 'place': 1, 'original': text}]"
+    ctes.append(f"f AS (SELECT conv_id, turn, text, CASE WHEN hid THEN {q(_MARKS['TEXT'])} ELSE t END AS t, CASE WHEN hid THEN {whole} ELSE {' || '.join(lists)} END AS xs FROM (SELECT *, {' OR '.join(hidden)} AS hid FROM h))")
+    ctes.append("e AS (SELECT conv_id, turn, x.kind AS kind, x.place AS place, x.original AS original FROM (SELECT conv_id, turn, unnest(xs) AS x FROM f))")
+    ctes.append("v AS (SELECT conv_id, kind, row_number() OVER (PARTITION BY conv_id, kind ORDER BY first) AS n, original FROM (SELECT conv_id, kind, original, min({'turn': turn, 'place': place}) AS first FROM e GROUP BY ALL))")
+    names = ", ".join(f"list('<{kind}_' || n || '>' ORDER BY place) FILTER (kind = {q(kind)}) AS n_{kind}" for kind in KINDS)
+    ctes.append(f"g AS (SELECT conv_id, turn, {names} FROM e JOIN v USING (conv_id, kind, original) GROUP BY ALL)")
+    filled = "t"
+    for kind in KINDS:
+        filled = f"array_to_string(list_transform(string_split({filled}, {q(_MARKS[kind])}), lambda part, i: part || coalesce(n_{kind}[i], '')), '')"
+    ctes.append(f"m AS (SELECT f.conv_id, f.turn, {filled} AS masked FROM f LEFT JOIN g ON g.conv_id = f.conv_id AND g.turn = f.turn)")
+    return ",\n  ".join(ctes)
+
+
+ORACLES["vault_mask"] = f"WITH {_vault_ctes()} SELECT conv_id, turn, masked FROM m"
+ORACLES["vault_entries"] = f"WITH {_vault_ctes()} SELECT conv_id, kind, n, original FROM v"
+ORACLES["vault_round_trip"] = f"SELECT conv_id, turn, text AS unmasked FROM {turns(plants.VAULT)}"
+_ANSWER = "CASE WHEN count(original) FILTER ({0}) > 0 THEN min(original) FILTER ({0}) ELSE '<{1}>' END"
+_NAMED = [_ANSWER.format(f"kind = '{kind}' AND n = {n}", f"{kind}_{n}") for kind, n in (("PHONE", 1), ("PHONE", 2), ("EMAIL", 1), ("LITERAL", 1))]
+ORACLES["vault_answers"] = f"""WITH {_vault_ctes()} SELECT c.conv_id, 'Call ' || {_NAMED[0]} || ' or ' || {_NAMED[1]} || ', write ' || {_NAMED[2]} || ', not <EMAIL_77> or <phone_1>; it said ' || {_NAMED[3]} || '.' AS unmasked
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN v USING (conv_id) GROUP BY c.conv_id"""
+
+
 # --- streams ---------------------------------------------------------------------------------------------------
 
 ORACLES["stream_metrics"] = f"SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start_s, {_COUNTERS}, {_LATENCY} FROM {OUTCOMES} GROUP BY 1"
@@ -693,3 +747,6 @@ ORACLES["stream_recent"] = f"SELECT trace_id, action, threat_category FROM {_REC
 ORACLES["stream_audit"] = f"WITH {_audit_ctes(plain=True)} SELECT event_id, chain_id, record_no, record_hash FROM c"
 ORACLES["stream_distinct_traces"] = f"SELECT event_id, trace_id || '-x' AS trace_id, action FROM {OUTCOMES}"
 ORACLES["stream_guard"] = f"SELECT conv_id, turn, allowed, threat_type, risk_level FROM {decision_sql(_PTURNS, _CT)}"
+
+ORACLES["stream_canary"] = ORACLES["canary_chunks"]
+ORACLES["stream_vault"] = ORACLES["vault_mask"]

@@ -14,14 +14,14 @@ from textwarden.functions import surface as sf
 from textwarden.functions import text as tx
 from textwarden.functions.digest import epoch_micros
 from textwarden.operators import (
-    audit, canary, conversations, evaluation, metrics, pii, prompts, requests, routing, views,
+    audit, canary, chunks, conversations, evaluation, metrics, pii, prompts, requests, routing, vault, views,
 )
 from textwarden.operators.routing import Route
 from textwarden.plans import plants
 from textwarden.schemas import API_KEY
 from textwarden.session import SETTINGS, shared_folder, spread
 from textwarden.sources import audit_log, exposition
-from textwarden.streaming import jobs
+from textwarden.streaming import jobs, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WRITERS, ROTATION = 8, 86_400
@@ -106,6 +106,36 @@ def pii_sdk_mask(spark, folder):
     return masked.select("doc_id", F.col("pii.sanitized_text").alias("masked"), types.alias("types"))
 
 
+def _vaulted(spark, folder) -> tuple[DataFrame, DataFrame]:
+    return vault.mask_reversibly(_turns(spark, folder, plants.VAULT).select("conv_id", "turn", "text"))
+
+
+@query
+def vault_mask(spark, folder):
+    return _vaulted(spark, folder)[0]
+
+
+@query
+def vault_entries(spark, folder):
+    return _vaulted(spark, folder)[1]
+
+
+@query
+def vault_round_trip(spark, folder):
+    """Masked turns with their values put back."""
+    masked, entries = _vaulted(spark, folder)
+    return vault.unmask(masked, entries, "conv_id", ["turn"], "masked").select("conv_id", "turn", "unmasked")
+
+
+@query
+def vault_answers(spark, folder):
+    """Answers that name the conversation's placeholders, one that it has not and one in the wrong case, as the client sees them."""
+    _, entries = _vaulted(spark, folder)
+    said = F.lit("Call <PHONE_1> or <PHONE_2>, write <EMAIL_1>, not <EMAIL_77> or <phone_1>; it said <LITERAL_1>.")
+    answers = _table(spark, folder, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn")).withColumn("text", said)
+    return vault.unmask(answers, entries, "conv_id", ["turn"], "text").select("conv_id", "unmasked")
+
+
 # --- prompt guard ----------------------------------------------------------------------------------------------
 
 @query
@@ -415,6 +445,21 @@ def canary_deep(spark, folder):
     return judged.where("canary.detected").select("conv_id", "turn", F.col("canary.leaked_token").alias("leaked_token"), F.col("canary.kind").alias("kind"))
 
 
+def _chunks(turns: DataFrame) -> DataFrame:
+    """Assistant turns cut into chunks of 3 to 13 characters, so that planted tokens are split everywhere."""
+    size = (F.pmod("conv_id", F.lit(11)) + 3).cast("int")
+    said = turns.where("role = 'assistant'").withColumn("_size", size)
+    numbers = F.sequence(F.lit(0), F.call_function("div", F.length("text") - 1, F.col("_size")).cast("int"))
+    each = said.where("text <> ''").select("conv_id", "turn", "text", "_size", F.explode(numbers).alias("chunk_no"))
+    return each.select("conv_id", "turn", "chunk_no", F.substr("text", F.col("chunk_no") * F.col("_size") + 1, F.col("_size")).alias("text"))
+
+
+@query
+def canary_chunks(spark, folder):
+    """Places of tokens in responses that come in chunks."""
+    return chunks.split_leaks(_chunks(_turns(spark, folder, plants.LEAKS)), ["conv_id", "turn"], "chunk_no", "text", plants.TOKENS)
+
+
 @query
 def output_guard(spark, folder):
     guarded = canary.guard_output(_responses(spark, folder), "text", plants.TOKENS)
@@ -784,6 +829,23 @@ def _run(spark, frame: DataFrame, mode: str, purpose: str, each=None) -> str:
     return f"{target}/rows"
 
 
+def _run_stateful(spark, frame: DataFrame, purpose: str) -> str:
+    """Run a stream with processors of its own, which need the store that keeps state out of the heap."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, SETTINGS[name])
+    try:
+        return _run(spark, frame, "append", purpose)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _turn_stream(spark, folder, texts) -> DataFrame:
+    schema = _table(spark, folder, "conversations").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
+    return stream.withColumn("text", F.concat("text", plants.planted(F.col("conv_id") + F.col("turn"), texts)))
+
+
 def _replace(path: str):
     """foreachBatch function for complete mode: each batch is the whole result so far."""
     return lambda batch, batch_id: batch.write.mode("overwrite").parquet(path)
@@ -834,8 +896,7 @@ def stream_audit(spark, folder):
         ),
         "event_id", "ts_ns", WRITERS, ROTATION,
     )
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
-    rows = spark.read.parquet(_run(spark, jobs.chain_stream(events), "append", "stream-audit"))
+    rows = spark.read.parquet(_run_stateful(spark, jobs.chain_stream(events), "stream-audit"))
     return rows.where("kind = 'RECORD'").select("event_id", "chain_id", "record_no", "record_hash")
 
 
@@ -855,3 +916,17 @@ def stream_guard(spark, folder):
     planted = stream.withColumn("text", F.concat("text", plants.planted(F.col("conv_id") + F.col("turn"), plants.PROMPTS)))
     decided = jobs.guard_stream(planted, "text").select("conv_id", "turn", "decision.allowed", "decision.threat_type", "decision.risk_level")
     return spark.read.parquet(_run(spark, decided, "append", "stream-guard"))
+
+
+@query
+def stream_canary(spark, folder):
+    """Places of tokens in a stream of chunks, the last characters of each response kept as state."""
+    found = responses.canary_stream(_chunks(_turn_stream(spark, folder, plants.LEAKS)), ["conv_id", "turn"], "chunk_no", "text", plants.TOKENS)
+    return spark.read.parquet(_run_stateful(spark, found, "stream-canary"))
+
+
+@query
+def stream_vault(spark, folder):
+    """Turns masked reversibly as a stream."""
+    masked = responses.mask_reversibly_stream(_turn_stream(spark, folder, plants.VAULT))
+    return spark.read.parquet(_run_stateful(spark, masked, "stream-vault")).select("conv_id", "turn", "masked")

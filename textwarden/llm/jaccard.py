@@ -53,6 +53,8 @@ ROUNDS = 1
 HUBS = 4
 #: Signatures of at most this many documents are compared pair by pair at once.
 SMALL = 16
+#: Bytes of text whose words are worked on at once; a longer text is taken alone.
+PIECE = 1 << 18
 #: Texts in one task of a hub's comparisons.
 FAN = 2000
 
@@ -91,7 +93,7 @@ def _count(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            for _, _, words in words_in(batch.column(0), BLANK_WORDS, True):
+            for _, _, words in words_in(batch.column(0), BLANK_WORDS, True, PIECE):
                 counts += np.bincount(_slot(shingle_sets(words, k)[1]), minlength=COUNTERS)
         if counts.any():
             small = np.minimum(counts, 0xFFFF).astype("<u2") if counts.max() <= 0xFFFF else counts.astype("<u8")
@@ -139,7 +141,7 @@ def parities(of: np.ndarray, token: np.ndarray, docs: int) -> np.ndarray:
 def _describe(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, words in words_in(batch.column("_text"), BLANK_WORDS, True):
+            for row, end, words in words_in(batch.column("_text"), BLANK_WORDS, True, PIECE):
                 sets = shingle_sets(words, k)
                 _, n, key = _keys(*sets, end - row)
                 odd = pa.ListArray.from_arrays(np.arange(end - row + 1, dtype=np.int32) * PARITIES, pa.array(parities(*sets, end - row)))
@@ -153,7 +155,7 @@ def _prefixes(classes, k: int, percent: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, words in words_in(batch.column(0), BLANK_WORDS, True):
+            for row, end, words in words_in(batch.column(0), BLANK_WORDS, True, PIECE):
                 of, token = shingle_sets(words, k)
                 bounds, n, key = _keys(of, token, end - row)
                 token = token[np.lexsort((token, classes.value[_slot(token)], of))]
@@ -266,7 +268,7 @@ def _verify(k: int, percent: int):
         now, own = None, None
         for batch in batches:
             a, b, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for row, end, words in words_in(batch.column("text"), BLANK_WORDS, True):
+            for row, end, words in words_in(batch.column("text"), BLANK_WORDS, True, PIECE):
                 of, token = shingle_sets(words, k)
                 bounds = np.searchsorted(of, np.arange(end - row + 1))
                 for i in range(end - row):
@@ -308,7 +310,7 @@ def _matching(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            for row, end, words in words_in(batch.column("text"), BLANK_WORDS, True):
+            for row, end, words in words_in(batch.column("text"), BLANK_WORDS, True, PIECE):
                 _, _, key = _keys(*shingle_sets(words, k), end - row)
                 rep, asked = (batch.column(c).slice(row, end - row).to_numpy() for c in ("rep", "key"))
                 fits = (key == asked) & np.r_[rep[:1] != last, rep[1:] != rep[:-1]]

@@ -140,8 +140,8 @@ def chunks(column: pa.Array, rows: int = 1 << 30, size: int = CHUNK) -> Iterator
         row = end
 
 
-def words_in(column: pa.Array, letters: np.ndarray, lower: bool) -> Iterator[tuple[int, int, Words]]:
-    for row, end, data, offsets in chunks(column):
+def words_in(column: pa.Array, letters: np.ndarray, lower: bool, size: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
+    for row, end, data, offsets in chunks(column, size=size):
         yield row, end, Words(data, offsets, letters, lower)
 
 

@@ -23,6 +23,7 @@ def test_prompt_replacement(spark):
     body = '{"model":"m","messages":[{"role":"system","content":"a","x":[1]},{"role":"t","content":7},{"role":"user","content":"b"}],"k":true}'
     cases = [
         (body, f"A{SEP}B", ["A", 7, "B"]), (body, "whole", ["", 7, "whole"]), ('{"n":1,"input":"i","prompt":"p"}', "S", None), ("raw", "S", None),
+        ('{"n":1,"input":"i 2","prompt":"p","text":"","query":5}', f"P{SEP}I", None), ('{"prompt":3}', "S", None),
     ]
     df = spark.createDataFrame([c[:2] for c in cases], "body string, s string").coalesce(1)
     out = [r[0] for r in df.select(conversations.replace_prompt(F.col("body"), F.col("s"))).collect()]
@@ -30,7 +31,8 @@ def test_prompt_replacement(spark):
         value = json.loads(text)
         assert [m["content"] for m in value["messages"]] == expected
         assert value["model"] == "m" and value["k"] is True and value["messages"][0]["x"] == [1]
-    assert json.loads(out[2]) == {"n": 1, "input": "i", "prompt": "S"} and out[3] == "S"
+    assert json.loads(out[2]) == {"n": 1, "input": "", "prompt": "S"} and out[3] == "S"
+    assert json.loads(out[4]) == {"n": 1, "input": "I", "prompt": "P", "text": "", "query": 5} and out[5] == "S"
 
 
 def test_assembly_keeps_order_and_limit(spark):

@@ -42,7 +42,8 @@ def replace_prompt(body: Column, sanitized: Column) -> Column:
     """Body with the sanitized text put back into every message it came from.
 
     When the text no longer splits into as many parts as there were contents, the last message takes all of it and
-    the others become empty. Bodies without messages take the text under their first flat key, others become it.
+    the others become empty. Bodies without messages take the parts under the flat keys that they came from, in the same way
+    (the first of them takes a text in other parts, the others become empty); bodies without either become the text.
     """
     fields = F.from_json(body, "map<string,variant>")
     messages = _messages(body)
@@ -67,22 +68,26 @@ def replace_prompt(body: Column, sanitized: Column) -> Column:
         )
         return F.when(F.get(is_content, place), F.to_variant_object(changed)).otherwise(message)
 
+    def sorted_json(members: Column) -> Column:
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(members), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))))
+
     def with_member(name: Column, value: Column) -> Column:
         others = F.map_filter(fields, lambda key, _: key != name)
-        merged = F.map_concat(others, F.map_from_arrays(F.array(name), F.array(value)))
-        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))))
+        return sorted_json(F.map_concat(others, F.map_from_arrays(F.array(name), F.array(value))))
 
     new_messages = F.to_variant_object(F.transform(messages, rewritten))
-    flat_key = F.get(
-        F.filter(
-            F.array(*[F.lit(key) for key in fv.FLAT_PROMPT_KEYS]), lambda key: F.map_contains_key(fields, key)
-        ),
-        F.lit(0),
+    said = F.filter(
+        F.array(*[F.lit(key) for key in fv.FLAT_PROMPT_KEYS]),
+        lambda key: F.coalesce(_string_of(F.try_element_at(fields, key)) != "", F.lit(False)),
     )
-    text_value = F.try_variant_get(F.to_variant_object(F.array(sanitized)), "$[0]", "variant")
+    apart = F.size(parts) == F.size(said)
+    new_texts = F.transform(said, lambda key, place: F.when(apart, F.get(parts, place)).when(place == 0, sanitized).otherwise(""))
+    new_values = F.transform(new_texts, lambda text: F.try_variant_get(F.to_variant_object(F.array(text)), "$[0]", "variant"))
+    unsaid = F.map_filter(fields, lambda key, _: ~F.array_contains(said, key))
+    flat = F.map_concat(unsaid, F.map_from_arrays(said, new_values))
     return (
         F.when(total > 0, with_member(F.lit("messages"), new_messages))
-        .when(flat_key.isNotNull(), with_member(flat_key, text_value))
+        .when(F.size(said) > 0, sorted_json(flat))
         .otherwise(sanitized)
     )
 

@@ -77,7 +77,8 @@ def fill_marks(marked: Column, names: Column) -> Column:
 def mask_reversibly(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(turns with ``masked`` in place of the text; vault of conversation, kind, n, original).
 
-    Turns are numbered 0 to 2**32 - 1, each number once in a conversation. A null text is masked as an empty one.
+    Turns are numbered 0 to 2**32 - 1, each number once in a conversation. A null text is masked as an empty one. Turns without a
+    conversation have no vault: their values are cut out for good, a reserved character in their place.
     """
     marked = with_marks(turns, text)
     vault = _numbered(marked, conversation, turn)

@@ -419,7 +419,7 @@ ORACLES["accent_skeletons"] = f"""
 
 # --- chat bodies -----------------------------------------------------------------------------------------------
 
-_CHAT = f"""(SELECT conv_id, CASE WHEN conv_id % 3 = 2 THEN first(text ORDER BY turn) || {q(fv.TURN_SEPARATOR)} || 'aside' ELSE string_agg(text, {q(fv.TURN_SEPARATOR)} ORDER BY turn) END AS text
+_CHAT = f"""(SELECT conv_id, CASE WHEN conv_id % 3 = 2 THEN first(text ORDER BY turn) || {q(fv.TURN_SEPARATOR)} || {q(plants.ASIDE)} ELSE string_agg(text, {q(fv.TURN_SEPARATOR)} ORDER BY turn) END AS text
   FROM {turns(plants.PII)} GROUP BY conv_id)"""
 ORACLES["extract_prompts"] = f"SELECT conv_id, text AS prompt FROM {_CHAT}"
 ORACLES["body_rewrite"] = f"SELECT conv_id, masked AS prompt FROM {masked_sql(_CHAT, 'conv_id')}"
@@ -585,6 +585,9 @@ ORACLES["audit_tampered"] = f"""WITH {_audit_ctes()}, {_TIPS},
   f AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY record_no) AS nth FROM g)
   SELECT t.chain_id, f.reason IS NULL AS valid, coalesce(f.index_no, t.last) AS total_records, f.index_no AS broken_at_index, coalesce(f.reason, '') AS reason
   FROM t LEFT JOIN (SELECT * FROM f WHERE nth = 1) f USING (chain_id)"""
+ORACLES["audit_file_verify"] = ORACLES["audit_tampered"]
+ORACLES["audit_append"] = f"""WITH {_audit_ctes()}, {_TIPS}
+  SELECT c.chain_id, true AS valid, last AS total_records, '' AS reason, record_hash AS tip_hash FROM c JOIN t ON t.chain_id = c.chain_id AND t.last = c.record_no"""
 ORACLES["audit_truncated"] = f"""WITH {_audit_ctes()}, {_TIPS}, m AS (SELECT unnest(['strict', 'lenient']) AS mode),
   w AS (SELECT chain_id, last, CAST(split_part(chain_id, '-', 2) AS INT) % 2 = 0 AS cut FROM t)
   SELECT chain_id, mode, NOT (cut AND mode = 'strict') AS valid, last - CAST(cut AS INT) AS total_records, CASE WHEN cut AND mode = 'strict' THEN 'missing terminal audit checkpoint' ELSE '' END AS reason

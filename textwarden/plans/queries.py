@@ -14,7 +14,7 @@ from textwarden.functions import surface as sf
 from textwarden.functions import text as tx
 from textwarden.functions.digest import epoch_micros
 from textwarden.operators import (
-    audit, canary, chunks, conversations, evaluation, metrics, pii, prompts, requests, routing, vault, views,
+    audit, audit_lines, canary, chunks, conversations, evaluation, metrics, pii, prompts, requests, routing, vault, views,
 )
 from textwarden.operators.routing import Route
 from textwarden.plans import plants
@@ -400,7 +400,7 @@ def _bodies(spark, folder) -> DataFrame:
     listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     messages = F.transform("turns", lambda turn: F.struct(turn["role"].alias("role"), turn["text"].alias("content")))
     chat = F.to_json(F.struct(F.lit("m").alias("model"), messages.alias("messages")))
-    flat = F.to_json(F.struct(F.get("turns", F.lit(0))["text"].alias("prompt"), F.lit("aside").alias("input"), F.lit(7).alias("n")))
+    flat = F.to_json(F.struct(F.get("turns", F.lit(0))["text"].alias("prompt"), F.lit(plants.ASIDE).alias("input"), F.lit(7).alias("n")))
     return listed.select("conv_id", F.when(F.pmod("conv_id", F.lit(3)) == 2, flat).otherwise(chat).alias("body"))
 
 
@@ -416,9 +416,7 @@ def body_rewrite(spark, folder):
     bodies = _bodies(spark, folder).withColumn("prompt", conversations.extract_prompt(F.col("body")))
     masked = pii.mask_pii(bodies, "prompt")
     rewritten = masked.withColumn("body", conversations.replace_prompt(F.col("body"), F.col("pii.sanitized_text")))
-    first_key = F.get_json_object("body", "$.prompt")
-    again = F.when(first_key.isNotNull(), first_key).otherwise(conversations.extract_prompt(F.col("body")))
-    return rewritten.select("conv_id", again.alias("prompt"))
+    return rewritten.select("conv_id", conversations.extract_prompt(F.col("body")).alias("prompt"))
 
 
 # --- canaries --------------------------------------------------------------------------------------------------
@@ -609,9 +607,35 @@ def audit_recover(spark, folder):
     return audit_log.recover_tips(parsed)
 
 
+def _chained_events(spark, folder) -> DataFrame:
+    return audit.assign_chains(_audit_events(spark, folder), "event_id", "ts_ns", WRITERS, ROTATION)
+
+
+@query
+def audit_append(spark, folder):
+    """Logs written up to noon of each day, read, appended to from their tips, read again and verified."""
+    events = _chained_events(spark, folder)
+    path, order = shared_folder(spark, "audit-log"), ["ts_ns", "event_id"]
+    morning = F.pmod("ts_ns", F.lit(86_400_000_000_000)) < 43_200_000_000_000
+    audit_log.write_log(audit_lines.link_lines(events.where(morning), order), path, 0)
+    audit_lines.append_log(spark, events.where(~morning), order, path)
+    parsed = audit_log.parse_lines(audit_log.read_log(spark, path))
+    verdicts = audit.verify_chains(parsed, block_rows=1 << 20).select("chain_id", "valid", "total_records", F.coalesce("reason", F.lit("")).alias("reason"))
+    return verdicts.join(audit_log.recover_tips(parsed).select("chain_id", "tip_hash"), "chain_id")
+
+
+@query
+def audit_file_verify(spark, folder):
+    """The tampered logs of ``audit_tampered``, through files."""
+    path = shared_folder(spark, "audit-files")
+    audit_log.write_log(_tampered_lines(_chains(spark, folder)), path)
+    parsed = audit_log.parse_lines(audit_log.read_log(spark, path))
+    return audit.verify_chains(parsed, block_rows=1 << 20).select("chain_id", "valid", "total_records", "broken_at_index", _kind("reason"))
+
+
 @query
 def audit_verify(spark, folder):
-    parsed = audit_log.parse_lines(audit_log.log_lines(_chains(spark, folder)))
+    parsed = audit_log.parse_lines(audit_lines.link_lines(_chained_events(spark, folder), ["ts_ns", "event_id"]))
     return audit.verify_chains(parsed).select("chain_id", "valid", "total_records", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
@@ -620,14 +644,17 @@ def _kind(reason: str) -> Column:
     return F.trim(F.regexp_extract(F.coalesce(reason, F.lit("")), r"^[^0-9:]*", 0)).alias("reason")
 
 
-@query
-def audit_tampered(spark, folder):
-    """Logs in which some actions were changed, some records dropped and some lines broken."""
-    chains = _chains(spark, folder)
+def _tampered_lines(chains: DataFrame) -> DataFrame:
     altered = chains.withColumn("action", F.when(F.pmod("event_id", F.lit(97)) == 0, "ALLOWED-X").otherwise(F.col("action")))
     kept = altered.where(F.pmod("event_id", F.lit(89)) != 0)
     lines = audit_log.record_lines(kept).unionByName(audit_log.checkpoint_lines(audit.checkpoints(chains)))
-    broken = lines.withColumn("value", F.when(F.contains("value", F.lit('"trace_id":"trace-83')), F.substring("value", 1, 40)).otherwise(F.col("value")))
+    return lines.withColumn("value", F.when(F.contains("value", F.lit('"trace_id":"trace-83')), F.substring("value", 1, 40)).otherwise(F.col("value")))
+
+
+@query
+def audit_tampered(spark, folder):
+    """Logs in which some actions were changed, some records dropped and some lines broken."""
+    broken = _tampered_lines(_chains(spark, folder))
     return audit.verify_chains(audit_log.parse_lines(broken)).select("chain_id", "valid", "total_records", "broken_at_index", _kind("reason"))
 
 

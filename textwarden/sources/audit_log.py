@@ -16,20 +16,24 @@ _LINE_SCHEMA = (
     "record_count bigint, tip_hash string, checkpoint_hash string, _corrupt string"
 )
 _ROW_IN_PARTITION = (1 << 33) - 1
+#: Place of a part's number in line_no; a part of a chain is one file of less than 16 TB.
+PART_BITS = 44
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of audit logs with chain_id and line_no, blank lines left out.
 
     line_no grows along a file: the byte offset of the file split plus the row's place in its partition. A line takes
-    at least one byte, so the numbers of a split stay below the offset of the next one.
+    at least one byte, so the numbers of a split stay below the offset of the next one. Parts of a log (``write_log``) follow
+    each other.
     """
+    part = F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/part=(\d+)/", 1), F.lit("")), F.lit("0")).cast("long")
     lines = spark.read.text(path).select(
         F.coalesce(
             F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"chain_id=([^/]+)/", 1), F.lit("")),
             F.col("_metadata.file_path"),
         ).alias("chain_id"),
-        (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(_ROW_IN_PARTITION)).alias("line_no"),
+        (F.shiftleft(part, PART_BITS) + F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(_ROW_IN_PARTITION)).alias("line_no"),
         "value",
     )
     return lines.where(F.col("value") != "")
@@ -59,16 +63,21 @@ def _present(column: Column) -> Column:
     return F.when(column != "", column)
 
 
-def record_lines(chains: DataFrame) -> DataFrame:
-    """JSON lines of built chains; empty optional fields are left out."""
+def record_body(names_present: list[str]) -> Column:
+    """JSON of a record without its hashes; empty optional fields are left out."""
     optional = {"client_id", "reason", "matched_rule"}
     names = ("trace_id", "client_id", "client_ip", "route", "action", "threat_category", "severity")
     fields = [nanos_rfc3339(F.col("ts_ns")).alias("timestamp")]
     fields += [(_present(F.col(name)) if name in optional else F.col(name)).alias(name) for name in names]
     fields += [F.col("confidence"), _present(F.col("reason")).alias("reason"), _present(F.col("matched_rule")).alias("matched_rule")]
     fields += [F.when(F.col("checkpoint_version") > 0, F.col("checkpoint_version")).alias("checkpoint_version")]
-    fields += [F.col("prev_record_hash"), F.col("record_hash")]
-    return chains.select("chain_id", (F.col("record_no") * 4).alias("line_no"), F.to_json(F.struct(*fields)).alias("value"))
+    fields += [F.col(name) for name in ("prev_record_hash", "record_hash") if name in names_present]
+    return F.to_json(F.struct(*fields))
+
+
+def record_lines(chains: DataFrame) -> DataFrame:
+    """JSON lines of built chains."""
+    return chains.select("chain_id", (F.col("record_no") * 4).alias("line_no"), record_body(chains.columns).alias("value"))
 
 
 def checkpoint_lines(marks: DataFrame) -> DataFrame:
@@ -84,10 +93,14 @@ def log_lines(chains: DataFrame, closing: bool = True) -> DataFrame:
     return record_lines(chains).unionByName(checkpoint_lines(checkpoints(chains, closing=closing)))
 
 
-def write_log(lines: DataFrame, path: str) -> None:
-    """Append lines as one file per chain, in line order."""
+def write_log(lines: DataFrame, path: str, part: int | None = None) -> None:
+    """Append lines as one file per chain, in line order; with ``part`` as that part of each chain, read after lower ones."""
     ordered = lines.repartition("chain_id").sortWithinPartitions("chain_id", "line_no")
-    ordered.select("chain_id", "value").write.mode("append").partitionBy("chain_id").text(path)
+    if part is None:
+        ordered.select("chain_id", "value").write.mode("append").partitionBy("chain_id").text(path)
+    else:
+        numbered = ordered.select("chain_id", F.lit(part).cast("long").alias("part"), "value")
+        numbered.write.mode("append").partitionBy("chain_id", "part").text(path)
 
 
 def recover_tips(parsed: DataFrame) -> DataFrame:

@@ -157,3 +157,26 @@ def test_components_of_links(spark):
     got = {r.node: r.root for r in tables_module.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got.get(n, n) for n in (1, 2, 3, 9)} == {1} and {got.get(n, n) for n in (20, 21, 22)} == {20}
     assert all(got[100 + i] == 100 for i in range(1, 41))
+
+
+def test_wide_parities_never_differ_in_more_bits_than_sets_in_tokens(spark):
+    rng = np.random.default_rng(5)
+    sizes = np.array([40, 500, 700, 1100, 1400, 3000, 2300, 0])
+    shared = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    tokens = [np.unique(np.r_[shared[: n * 4 // 5], rng.integers(0, 2**63, n - n * 4 // 5, dtype=np.uint64)]) for n in sizes]
+    n = np.array([len(t) for t in tokens])
+    wide = jaccard.wide_parities(np.repeat(np.arange(len(n)), n), np.concatenate(tokens), n)
+    assert [len(w) for w in wide] == [8, 8, 16, 32, 32, 64, 64, 8]
+    sets = spark.createDataFrame([(i, int(n[i]), w.as_py()) for i, w in enumerate(wide)], "rep long, n int, wide array<long>")
+    together = [(i, j) for i in range(7) for j in range(7) if i != j]
+    pairs = spark.createDataFrame(together, "a long, b long")
+    left = {tuple(r) for r in jaccard._wide_enough(pairs, sets, 75).collect()}
+    for a, b in together:
+        apart = len(np.setxor1d(tokens[a], tokens[b]))
+        if 100 * (n[a] + n[b] - apart) / 2 >= 75 * (n[a] + n[b] + apart) / 2:
+            assert (a, b) in left
+    strangers = [np.unique(rng.integers(0, 2**63, 1100, dtype=np.uint64)) for _ in range(2)]
+    n = np.array([len(t) for t in strangers])
+    wide = jaccard.wide_parities(np.repeat([0, 1], n), np.concatenate(strangers), n)
+    sets = spark.createDataFrame([(i, int(n[i]), w.as_py()) for i, w in enumerate(wide)], "rep long, n int, wide array<long>")
+    assert jaccard._wide_enough(spark.createDataFrame([(0, 1)], "a long, b long"), sets, 75).count() == 0

@@ -19,7 +19,8 @@ in one component is done; of signatures with the same documents one is enough; s
 After a round of hubs so do the others: every pair of different components under a signature is compared, so no link
 that matters is lost, and the pairs inside the large groups are never made. A join makes only pairs that can link by their
 sizes and parities: a bit of a set's parities tells whether an odd number of its tokens falls on it, so two sets differ in
-at least as many tokens as their parities differ in bits.
+at least as many tokens as their parities differ in bits. A few bits decide inside the join; before texts are fetched, each
+pair meets parities that are as wide as its sets are large, so texts that share a passage only are not compared.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ from textwarden.llm.wordstream import BLANK_WORDS, Runs, U, Words, mix, signed,
 
 SHINGLE = 5
 PERCENT = 75
-#: Counters of the sketch and counters in one of its rows. 512 KB of classes reach every task, whatever the corpus.
-COUNTERS, ROW = 1 << 19, 1 << 9
+#: Counters of the sketch and counters in one of its rows. 4 MB of classes reach every task, whatever the corpus.
+COUNTERS, ROW = 1 << 22, 1 << 12
 #: Tokens in at most RARE sets are indexed singly, the others in combinations of K of one part.
 RARE, K = 8, 2
 #: Ranges of set sizes (from, below) and their parts. A size counts for every range in which it can have a partner.
@@ -91,10 +92,10 @@ def _slot(token: np.ndarray) -> np.ndarray:
 
 def _count(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
+        counts = np.zeros(COUNTERS, dtype=np.int32)
         for batch in batches:
             for _, _, words in words_in(batch.column(0), BLANK_WORDS, True, PIECE):
-                counts += np.bincount(_slot(shingle_sets(words, k)[1]), minlength=COUNTERS)
+                np.add.at(counts, _slot(shingle_sets(words, k)[1]), 1)
         if counts.any():
             small = np.minimum(counts, 0xFFFF).astype("<u2") if counts.max() <= 0xFFFF else counts.astype("<u8")
             rows = small.reshape(-1, ROW)
@@ -114,13 +115,14 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_classes(texts: DataFrame, k: int = SHINGLE) -> np.ndarray:
-    """Class of every counter: 0 up to four times the mean count, one more for each doubling. A text column of any table."""
+    """Class of every counter: 0 up to a count that chance and ``RARE`` sets explain, one more for each doubling. A text column of any table."""
     added = texts.mapInArrow(_count(k), "row int, counts binary").repartition("row").mapInArrow(_add, "row int, counts binary")
     counts = np.zeros((COUNTERS // ROW, ROW), dtype=np.int64)
     for row, blob in added.collect():  # COUNTERS numbers, however large the corpus
         counts[row] = np.frombuffer(blob, dtype="<i8")
     flat = counts.reshape(-1)
-    return np.clip(np.floor(np.log2(np.maximum(flat, 1) / max(1.0, 4 * flat.mean()))) + 1, 0, 60).astype(np.uint8)
+    usual = flat.mean() + 4 * np.sqrt(flat.mean()) + RARE
+    return np.clip(np.floor(np.log2(np.maximum(flat, 1) / usual)) + 1, 0, 60).astype(np.uint8)
 
 
 def _keys(of: np.ndarray, token: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,6 +140,16 @@ def parities(of: np.ndarray, token: np.ndarray, docs: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parities(of: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Parities of at least as many bits as a document has tokens: a power of two times 64, ``PARITIES`` times 64 or more."""
+    width = np.maximum(PARITIES, 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64))
+    bounds = np.r_[0, np.cumsum(width)]
+    at = bounds[of] * 64 + (token & (width[of] * 64 - 1).astype(U)).astype(np.int64)
+    odd = np.zeros(bounds[-1] * 64, dtype=np.uint8)
+    np.bitwise_xor.at(odd, at, np.uint8(1))
+    return pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def _describe(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +157,8 @@ def _describe(k: int):
                 sets = shingle_sets(words, k)
                 _, n, key = _keys(*sets, end - row)
                 odd = pa.ListArray.from_arrays(np.arange(end - row + 1, dtype=np.int32) * PARITIES, pa.array(parities(*sets, end - row)))
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(row, end - row), pa.array(key), pa.array(n.astype(np.int32)), odd], ["_id", "key", "n", "odd"])
+                wide = wide_parities(*sets, n)
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(row, end - row), pa.array(key), pa.array(n.astype(np.int32)), odd, wide], ["_id", "key", "n", "odd", "wide"])
 
     return work
 
@@ -342,10 +355,25 @@ def _near(left: str, right: str, size_left: str, size_right: str, percent: int):
     return apart * (100 + percent) <= (F.col(size_left) + F.col(size_right)) * (100 - percent)
 
 
+def _wide_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their wide parities allow. Parities of twice the other's width are folded to it first."""
+    for side, s in (("a", "1"), ("b", "2")):
+        pairs = pairs.join(sets.select(F.col("rep").alias(side), F.col("n").alias("n" + s), F.col("wide").alias("wide" + s)), side)
+
+    def folded(own: str, other: str):
+        half = F.call_function("div", F.size(own), F.lit(2)).cast("int")
+        halves = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) == 2 * F.size(other), halves).otherwise(F.col(own))
+
+    bits = F.zip_with(folded("wide1", "wide2"), folded("wide2", "wide1"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    return pairs.where(F.coalesce(apart * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent), F.lit(True))).select("a", "b")
+
+
 def link_components(sigs: DataFrame, sets: DataFrame, texts_of, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(rep, component) of representatives (sig, rep, n) that links join.
 
-    ``sets`` has (rep, odd), the parities of the representatives; ``texts_of(reps)`` gives (rep, text) of given ones.
+    ``sets`` has (rep, n, odd, wide), sizes and parities of the representatives; ``texts_of(reps)`` gives (rep, text) of given ones.
     """
     spark: SparkSession = sigs.sparkSession
     open_sigs = sigs.withColumn("comp", F.col("rep"))
@@ -355,7 +383,7 @@ def link_components(sigs: DataFrame, sets: DataFrame, texts_of, k: int = SHINGLE
             F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("members"),
             F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "comp", "n")) for i in range(HUBS)))).alias("hubs"),
         ).where("low <> high").dropDuplicates(["size", "members"]).select("sig", "size", "hubs")
-        live = keep(open_sigs.join(keep(spread, "open-signatures"), "sig").join(sets, "rep"), "live-signatures")
+        live = keep(open_sigs.join(keep(spread, "open-signatures"), "sig").join(sets.select("rep", "odd"), "rep"), "live-signatures")
         if live.isEmpty():
             break
         if texts is None:
@@ -366,7 +394,7 @@ def link_components(sigs: DataFrame, sets: DataFrame, texts_of, k: int = SHINGLE
         near = left.join(right, "sig").where((F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & _alike("n1", "n2", percent) & _near("odd1", "odd2", "n1", "n2", percent)).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
         large = live.where(~at_once)
         met = large.select("rep", "comp", "n", F.explode("hubs").alias("hub")).where((F.col("comp") != F.col("hub.comp")) & _alike("n", "hub.n", percent)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-        pairs = keep(near.unionByName(met).distinct(), "pairs")
+        pairs = keep(_wide_enough(near.unionByName(met).distinct(), sets, percent), "pairs")
         links = keep(_links(pairs, texts, k, percent), "links")
         known = links if roots is None else links.unionByName(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")))
         roots = components(known).select(F.col("node").alias("rep"), F.col("root"))
@@ -391,12 +419,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     known = rows.where("_id is not null and _text is not null")
     classes = spark.sparkContext.broadcast(frequency_classes(known.select("_text"), k))
-    described = keep(rows.mapInArrow(_describe(k), "_id long, key long, n int, odd array<long>"), "sets")
-    first = F.min_by(F.struct(F.col("_id").alias("rep"), "odd"), "_id")
+    described = keep(rows.mapInArrow(_describe(k), "_id long, key long, n int, odd array<long>, wide array<long>"), "sets")
+    first = F.min_by(F.struct(F.col("_id").alias("rep"), "n", "odd", "wide"), "_id")
     sets = keep(described.where("n > 0 and _id is not null").groupBy("key").agg(first.alias("set")).select("key", "set.*"), "representatives")
     reps = sets.select("key", "rep")
     sigs = keep(signatures(known.select("_text"), classes, k, percent).join(reps, "key").select("sig", "rep", "n"), "signatures")
-    linked = link_components(sigs, sets.select("rep", "odd"), lambda ids: _texts_of(rows, ids.join(reps, "rep"), k), k, percent)
+    linked = link_components(sigs, sets.drop("key"), lambda ids: _texts_of(rows, ids.join(reps, "rep"), k), k, percent)
     named = reps.join(linked, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     own = described.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "key", ((F.col("n") == 0) | F.col("_id").isNull()).alias("alone"))
     return own.join(named, "key", "left").select(id_col, "n_shingles", F.when(F.col("alone"), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))

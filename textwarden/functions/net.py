@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import zlib
 from collections.abc import Sequence
 
 import pandas as pd
@@ -34,6 +35,34 @@ def clean_path(path: Column) -> Column:
     return F.when(path.rlike(r"^$|//|(?:^|/)\.\.?(?:/|$)|./$"), cleaned).otherwise(path)
 
 
+def cleaned(path: str) -> str:
+    """``clean_path`` of one configured path."""
+    done: list[str] = []
+    rooted = path.startswith("/")
+    for part in path.split("/"):
+        if part == ".." and done and done[-1] != "..":
+            done.pop()
+        elif part not in ("", ".") and not (part == ".." and rooted):
+            done.append(part)
+    return ("/" if rooted else "") + "/".join(done) or "."
+
+
+def lookup(entries: dict[str, tuple], kind: str, key: Column) -> Column:
+    """Entry of a key in a configured table, as a column of type ``kind``: a hash table written into the row's expression.
+
+    A map is searched from its first key on, so keys are dealt over as many maps as there are keys by the CRC-32 of their bytes.
+    """
+    if not entries:
+        return F.lit(None).cast(kind)
+    slots: list[list[str]] = [[] for _ in entries]
+    for name in entries:
+        slots[zlib.crc32(name.encode()) % len(slots)].append(name)
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{kind}>"))
+    fields = lambda values: F.struct(*[F.lit(value) for value in values]).cast(kind)
+    maps = [F.map_from_arrays(F.array(*[F.lit(name) for name in slot]), F.array(*[fields(entries[name]) for name in slot])) if slot else empty for slot in slots]
+    return F.try_element_at(F.get(F.array(*maps), F.pmod(F.crc32(key.cast("binary")), F.lit(len(slots))).cast("int")), key)
+
+
 def parent_prefixes(path: Column) -> Column:
     """The path itself and each ancestor ending at a segment boundary, as an array."""
     parts = F.split(path, "/", -1)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textwarden import fixed_values as fv
 from textwarden.functions import net
@@ -15,6 +18,9 @@ from textwarden.operators import canary, prompts, requests as scans
 from textwarden.schemas import ROUTE
 
 
+SWITCHES = ("fast_waf", "prompt_injection", "jailbreak", "pii_masking", "output_guard", "agentic_sentinel")
+
+
 @dataclass(frozen=True)
 class Route:
     """One configured route and the checks switched on for it."""
@@ -34,25 +40,61 @@ class Route:
     upstream: str = field(default="")
 
 
+def sized_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Configured rows as a local relation: its size is known, so joins with it broadcast it or shuffle, as the size asks."""
+    kind = T.StructType.fromDDL(schema)
+    named = [dict(zip(kind.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, to_arrow_schema(kind)), kind)
+
+
 def routes_frame(spark: SparkSession, routes: Sequence[Route]) -> DataFrame:
-    """Configured routes as a table, in declaration order."""
+    """Configured routes as a table, in declaration order; it is made of Arrow rows, so Spark knows its size."""
     rows = [
         (
             number, r.id, r.path, r.upstream, r.type, r.auth_required, list(r.required_roles), list(r.canary_tokens),
-            (r.fast_waf, r.prompt_injection, r.jailbreak, r.pii_masking, r.output_guard, r.agentic_sentinel),
+            {name: getattr(r, name) for name in SWITCHES},
         )
         for number, r in enumerate(routes, start=1)
     ]
-    return spark.createDataFrame(rows, ROUTE)
+    return sized_frame(spark, rows, ROUTE)
+
 
+def compiled_route(routes: Sequence[Route], path: Column) -> Column:
+    """Id of the best of the configured routes, in the row: no join, no shuffle, whatever the log's size.
 
-def match_routes(requests: DataFrame, routes: DataFrame, path: str = "path", out: str = "route_id") -> DataFrame:
+    Routes become hash tables in the expression. A path looks itself up, each of its ancestors at a segment boundary, and its first
+    characters for the lengths only that a ``*`` behind other than a slash has; the cost does not grow with the number of routes.
+    """
+    tables: dict[str, dict] = {"exact": {}, "segments": {}, "starts": {}}
+    for number, route in enumerate(routes, start=1):
+        target = net.cleaned(route.path)
+        tables["exact"].setdefault(target, (number, route.id))
+        if target.endswith("/*"):
+            tables["segments"].setdefault(target[:-2], (number, route.id))
+        elif target.endswith("*"):
+            tables["starts"].setdefault(target[:-1], (number, route.id))
+    kind = "struct<route_no:int,id:string>"
+    find = lambda table, key: net.lookup(tables[table], kind, key)
+    # A long expression used at several places is bound once, as a lambda's variable.
+    def best(clean: Column) -> Column:
+        found = [F.array(find("starts", F.substr(clean, F.lit(1), F.lit(length)))) for length in sorted({len(p) for p in tables["starts"]})]
+        if tables["segments"]:
+            found.append(F.transform(net.parent_prefixes(clean), lambda prefix: find("segments", prefix)))
+        covering = F.array_min(F.concat(*found)) if found else F.lit(None).cast(kind)
+        return F.coalesce(find("exact", clean), covering)["id"]
+
+    return F.get(F.transform(F.array(net.clean_path(path)), best), F.lit(0))
+
+
+def match_routes(requests: DataFrame, routes: DataFrame | Sequence[Route], path: str = "path", out: str = "route_id") -> DataFrame:
     """Add the id of the best route: an exact path first, else the first declared wildcard that covers the path.
 
-    A wildcard covers a path when its prefix is one of the path's own prefixes, so matching is an equi-join of the
+    Configured routes (``Route`` objects) are compiled into the row, see ``compiled_route``. For a table of routes, a wildcard covers a path when its prefix is one of the path's own prefixes, so matching is an equi-join of the
     distinct paths' prefixes with the routes' keys, and its result an equi-join back on the path. Neither side is
     assumed small: Spark broadcasts by measured size, and adaptive execution splits the partitions of a hot path.
     """
+    if not isinstance(routes, DataFrame):
+        return requests.withColumn(out, compiled_route(routes, F.col(path)))
     cleaned = net.clean_path(F.col("path"))
     ends_wide, ends_star = F.endswith(cleaned, F.lit("/*")), F.endswith(cleaned, F.lit("*"))
     keyed = routes.select(
@@ -82,7 +124,7 @@ def match_routes(requests: DataFrame, routes: DataFrame, path: str = "path", out
     return requests.join(matched, requests[path].eqNullSafe(matched["_path"]), "left").drop("_path")
 
 
-def unrouted(requests: DataFrame, routes: DataFrame, path: str = "path") -> DataFrame:
+def unrouted(requests: DataFrame, routes: DataFrame | Sequence[Route], path: str = "path") -> DataFrame:
     """Requests that no route serves."""
     return match_routes(requests, routes, path, "_route").where("_route is null").drop("_route")
 
@@ -104,7 +146,7 @@ def identify(requests: DataFrame, api_keys: DataFrame, key: Column, out: str = "
     """Add the identity of each API key by its SHA-256 digest; NULL for a missing or unknown key.
 
     An equi-join on the digest. A key behind a large share of the requests is no hazard: the key table is broadcast
-    when it is small, and skewed partitions are split when it is not.
+    when it is small (make configured keys a table with ``sized_frame``), and skewed partitions are split when it is not.
     """
     hashed = requests.withColumn("key_hash", F.sha2(key, 256))
     known = api_keys.select(
@@ -153,7 +195,7 @@ def stale_signatures(log: DataFrame, signed_at: str, received_at: str, max_age:
 
 def replay(
     requests: DataFrame,
-    routes: DataFrame,
+    routes: DataFrame | Sequence[Route],
     api_keys: DataFrame,
     deep: bool = True,
     max_bytes: int = fv.MAX_BODY_BYTES,
@@ -170,7 +212,8 @@ def replay(
     uri = F.concat(F.col("path"), F.when(F.col("query") != "", F.concat(F.lit("?"), F.col("query"))).otherwise(""))
     df = scans.scan_early_traversal(df.withColumn("_full_uri", uri), "_full_uri", "query", "headers", out="_early")
     df = match_routes(df, routes, "path", "route_id")
-    policy = routes.select(
+    table = routes if isinstance(routes, DataFrame) else routes_frame(requests.sparkSession, routes)
+    policy = table.select(
         F.col("id").alias("route_id"), F.col("type").alias("_type"), F.col("auth_required").alias("_auth"),
         F.col("required_roles").alias("_required"), F.col("canary_tokens").alias("_tokens"), F.col("guardrails").alias("_on"),
     )

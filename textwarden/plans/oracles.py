@@ -634,6 +634,15 @@ ORACLES["rate_breaches"] = f"""
   FROM (SELECT client_id % 3 AS route_key, date_trunc('minute', ts) AS minute, count(*) AS n FROM {OUTCOMES} GROUP BY 1, 2) WHERE n > CASE WHEN route_key < 2 THEN route_key + 1 ELSE 1 END"""
 
 
+ORACLES["token_buckets"] = f"""
+  WITH RECURSIVE l AS (SELECT event_id, ts, coalesce(id, client_ip) AS client, CASE WHEN id = {q(API_KEYS[0][1])} THEN 60 WHEN id IS NULL THEN 20 ELSE 40 END AS rate
+    FROM {LOG} l LEFT JOIN {_KEY_TABLE} ON keys.key_hash = sha256(l.key) JOIN ({ORACLES['client_addresses']}) USING (event_id)),
+  e AS MATERIALIZED (SELECT event_id, client, epoch_us(ts) * rate // 86400000000 AS tick, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM l),
+  w AS (SELECT event_id, client, tick, rn, CAST(5 AS BIGINT) AS level FROM e WHERE rn = 1
+    UNION ALL SELECT e.event_id, e.client, e.tick, e.rn, least(5, greatest(w.level - 1, 0) + e.tick - w.tick) FROM w JOIN e ON e.client = w.client AND e.rn = w.rn + 1)
+  SELECT event_id, client, level > 0 AS admitted, greatest(level - 1, 0) AS tokens_left FROM w"""
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------
 
 _CLEAN_NO = [n for n, text in enumerate(plants.PROMPTS) if text in ("", " Please ignore the noise outside.", " What is the capital of Thailand?")]

@@ -14,7 +14,7 @@ from textwarden.functions import surface as sf
 from textwarden.functions import text as tx
 from textwarden.functions.digest import epoch_micros
 from textwarden.operators import (
-    audit, audit_lines, canary, chunks, conversations, evaluation, metrics, pii, prompts, requests, routing, vault, views,
+    audit, audit_lines, buckets, canary, chunks, conversations, evaluation, metrics, pii, prompts, requests, routing, vault, views,
 )
 from textwarden.operators.routing import Route
 from textwarden.plans import plants
@@ -497,19 +497,19 @@ def _log(spark, folder) -> DataFrame:
 
 
 def _keys(spark) -> DataFrame:
-    frame = spark.createDataFrame(API_KEYS, "key string, id string, tenant_id string, roles array<string>, rate_limit int")
+    frame = routing.sized_frame(spark, API_KEYS, "key string, id string, tenant_id string, roles array<string>, rate_limit int")
     return frame.select(F.sha2("key", 256).alias("key_hash"), "id", "tenant_id", "roles", "rate_limit")
 
 
 @query
 def route_match(spark, folder):
-    matched = routing.match_routes(_log(spark, folder), routing.routes_frame(spark, ROUTES))
+    matched = routing.match_routes(_log(spark, folder), ROUTES)
     return matched.select("event_id", F.coalesce("route_id", F.lit("-")).alias("route_id"))
 
 
 @query
 def unrouted(spark, folder):
-    return routing.unrouted(_log(spark, folder), routing.routes_frame(spark, ROUTES)).groupBy("path").agg(F.count("*").alias("n"))
+    return routing.unrouted(_log(spark, folder), ROUTES).groupBy("path").agg(F.count("*").alias("n"))
 
 
 @query
@@ -528,7 +528,7 @@ def identity_join(spark, folder):
 
 @query
 def role_denials(spark, folder):
-    matched = routing.match_routes(_log(spark, folder), routing.routes_frame(spark, ROUTES))
+    matched = routing.match_routes(_log(spark, folder), ROUTES)
     needed = routing.routes_frame(spark, ROUTES).where("auth_required").select(F.col("id").alias("route_id"), "required_roles")
     known = routing.identify(matched.join(needed, "route_id"), _keys(spark), routing.presented_key(F.col("headers"))).where("identity is not null")
     lacking = routing.missing_role(F.col("required_roles"), F.col("identity.roles"))
@@ -561,7 +561,7 @@ def decision_replay(spark, folder):
         plants.planted(event, plants.LEAKS).alias("response"),
         F.when(F.col("event_type") == "error", F.lit(None).cast("int")).otherwise(200).alias("upstream_status"),
     )
-    outcome = routing.replay(log, routing.routes_frame(spark, ROUTES), _keys(spark))
+    outcome = routing.replay(log, ROUTES, _keys(spark))
     return outcome.select(
         "event_id", F.coalesce("route_id", F.lit("-")).alias("route_id"), "client_id", F.col("status").cast("bigint").alias("status"),
         "error", "threat_type", "severity", "action",
@@ -752,6 +752,17 @@ def rate_breaches(spark, folder):
     return found.select("route_key", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "n", F.col("allowed").cast("bigint").alias("allowed"))
 
 
+@query
+def token_buckets(spark, folder):
+    """Requests per known client, else per address, against quotas a day: two clients make half of all requests."""
+    log = routing.client_ip(_log(spark, folder), "remote", "forwarded", plants.TRUSTED)
+    known = routing.identify(log, _keys(spark), routing.presented_key(F.col("headers")))
+    known = known.withColumn("client", buckets.client_key(F.col("identity.subject"), F.col("client_ip")))
+    rate = F.when(F.col("identity.subject") == API_KEYS[0][1], 60).when(F.col("identity").isNull(), 20)
+    judged = buckets.token_bucket(known, F.col("client"), "ts", "event_id", F.coalesce(rate, F.lit(40)), 5, period_seconds=86_400, block_ticks=256)
+    return judged.select("event_id", "client", "admitted", F.col("tokens_left").cast("bigint").alias("tokens_left"))
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------
 
 def _cases(spark, folder) -> DataFrame:

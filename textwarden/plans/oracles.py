@@ -645,7 +645,7 @@ ORACLES["token_buckets"] = f"""
 
 # --- evaluation ------------------------------------------------------------------------------------------------
 
-_CLEAN_NO = [n for n, text in enumerate(plants.PROMPTS) if text in ("", " Please ignore the noise outside.", " What is the capital of Thailand?")]
+_CLEAN_NO = plants.WELL_MEANT
 _LABELLED = f"(SELECT d.* FROM {docs(plants.PROMPTS)} d JOIN labels USING (doc_id))"
 CASES = f"""(SELECT doc_id, i.lang, quality, toxic, doc_id % {len(plants.PROMPTS)} NOT IN ({', '.join(map(str, _CLEAN_NO))}) AS is_attack,
   (i.detected AND i.confidence >= 0.7) OR j.detected AS detected, CASE WHEN i.rule <> '' THEN i.rule ELSE j.rule END AS rule

@@ -770,7 +770,7 @@ def _cases(spark, folder) -> DataFrame:
     documents = _documents(spark, folder, plants.PROMPTS).join(_table(spark, folder, "labels"), "doc_id")
     found = prompts.detect(documents, "text")
     number = F.pmod("doc_id", F.lit(len(plants.PROMPTS)))
-    clean = [n for n, text in enumerate(plants.PROMPTS) if text in ("", " Please ignore the noise outside.", " What is the capital of Thailand?")]
+    clean = list(plants.WELL_MEANT)
     detected = (F.col("injection.detected") & (F.col("injection.confidence") >= 0.7)) | F.col("jailbreak.detected")
     return found.select(
         "doc_id", "lang", "toxic", "quality", (~number.isin(*clean)).alias("is_attack"), detected.alias("detected"),

@@ -416,6 +416,55 @@ ORACLES["accent_skeletons"] = f"""
   SELECT lang, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS n_chars, CAST(sum(strlen(s)) AS BIGINT) AS n_bytes
   FROM (SELECT lang, text, strip_accents(text) AS s FROM {_HIDDEN}) WHERE s <> text GROUP BY 1"""
 
+# Long tokens come first, then runs in which white space and then also dashes, dots and underscores may stand; a decoder reads whole groups of four.
+_CANDIDATES = (r"[^\s]{16,}", r"[A-Za-z0-9+/][A-Za-z0-9+/ \t\r\n]*={0,2}", r"[A-Za-z0-9+/][A-Za-z0-9+/_. \t\r\n-]{14,}={0,4}")
+_LONG_RUNS = f"list_filter(regexp_extract_all(text, {q(_CANDIDATES[1])}), lambda x: length(regexp_replace(x, '[^A-Za-z0-9+/]', '', 'g')) >= 16)"
+_RUNS = f"regexp_extract_all(text, {q(_CANDIDATES[0])}) || {_LONG_RUNS} || regexp_extract_all(text, {q(_CANDIDATES[2])})"
+ORACLES["base64_payloads"] = f"""
+  WITH a AS (SELECT doc_id, {_RUNS} AS runs FROM {_HIDDEN}), b AS (SELECT doc_id, unnest(runs) AS run, unnest(range(len(runs))) AS i FROM a),
+  c AS (SELECT doc_id, i, regexp_replace(run, '[^A-Za-z0-9+/=]', '', 'g') AS code FROM b),
+  d AS (SELECT doc_id, i, CASE WHEN code NOT LIKE '%=%' AND length(code) % 4 = 0 THEN code WHEN regexp_matches(code, '^[^=]+={{1,2}}$') AND length(code) % 4 = 0 THEN code END AS code FROM c),
+  e AS (SELECT doc_id, i, TRY(decode(from_base64(code))) AS payload FROM d WHERE code <> ''),
+  f AS (SELECT doc_id, payload, min(i) AS i FROM e WHERE regexp_matches(payload, {q(_PRINTABLE)}) AND regexp_matches(payload, '[^ ]') GROUP BY 1, 2)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, payload FROM f"""
+
+# By place in the list of plants: the reading in which its own encoding is undone, and the stages that changed the text up to there.
+_SINGLES = f"translate(text, {q(''.join(fv.LEET_SINGLES))}, {q(''.join(fv.LEET_SINGLES.values()))})"
+_LAST = "trim(regexp_extract(text, '[^ ]+ $', 0))"
+_LETTERS = f"right(text, {len(plants.HIDDEN[11])})"
+_UNHIDDEN = {
+    1: f"translate(text, {q(_FROM)}, {q(_TO)})", 2: _SINGLES, 4: f"regexp_replace(text, {q(_ZERO)}, '', 'g')", 5: f"decode(unhex({_LAST}))", 6: _SQUEEZED,
+    8: f"decode(from_base64({_LAST}))", 9: "replace(text, '%69', chr(CAST('0x69' AS INTEGER)))", 11: f"replace(replace(replace({_LETTERS}, '   ', '|'), ' ', ''), '|', ' ')",
+    12: "replace(text, '&#x69;', chr(CAST('0x69' AS INTEGER)))", 15: f"decode(from_base64({_LAST}))",
+}
+_ACCENTS = f"CASE WHEN strip_accents(text) <> text THEN {q(fv.STAGE_LABELS[3])} END"
+_LEET = f"CASE WHEN {' OR '.join(f'contains(strip_accents(text), {q(mark)})' for mark in (*fv.LEET_SINGLES, *fv.LEET_PAIRS))} THEN {q(fv.STAGE_LABELS[6])} END"
+_TRAILS = {
+    1: (q(fv.ROT13_LABEL),), 2: (_ACCENTS, q(fv.STAGE_LABELS[6])), 4: (_ACCENTS, q(fv.STAGE_LABELS[4])), 5: (q("hex-decoded payload"),), 6: (_ACCENTS, _LEET, q(fv.STAGE_LABELS[7])),
+    8: (q("base64-decoded payload"),), 9: (q(fv.STAGE_LABELS[2]),), 11: (_ACCENTS, q(fv.STAGE_LABELS[5])), 12: (q(fv.STAGE_LABELS[1]),),
+}
+_READ = f"""(SELECT doc_id, CASE place {' '.join(f'WHEN {n} THEN {sql}' for n, sql in _UNHIDDEN.items())} ELSE '' END AS text,
+  CASE place {' '.join(f"WHEN {n} THEN concat_ws(' + ', {', '.join(trail)})" for n, trail in _TRAILS.items())} ELSE '' END AS trail
+  FROM (SELECT *, doc_id % {len(plants.HIDDEN)} AS place FROM {_HIDDEN}))"""
+
+
+def _either(kind: str) -> str:
+    """Verdict on the text as written, and where that finds no rule, on the reading that undoes its plant."""
+    found = "r.rule IN ('', 'pi_oversize') AND d.rule NOT IN ('', 'pi_oversize')"
+    return f"""(SELECT doc_id, {found} AS deep, r.detected OR d.rule NOT IN ('', 'pi_oversize') AS detected, CASE WHEN {found} THEN d.rule ELSE r.rule END AS rule,
+      CASE WHEN {found} THEN d.reason || ' [via ' || d.trail || ']' ELSE r.reason END AS reason
+      FROM {verdict_sql(_HIDDEN, 'doc_id', kind)} r JOIN {verdict_sql(_READ, 'doc_id, trail', kind)} d USING (doc_id))"""
+
+
+ORACLES["deobfuscated_scan"] = f"""
+  SELECT doc_id, i.rule AS injection_rule, i.reason AS injection_reason, j.rule AS jailbreak_rule
+  FROM {_either('pi')} i JOIN {_either('jb')} j USING (doc_id) WHERE i.detected OR j.detected"""
+ORACLES["guard_decision_deep"] = f"""
+  SELECT doc_id, allowed AND NOT (i.deep OR j.deep) AS allowed,
+    CASE WHEN i.deep THEN 'PROMPT_INJECTION' WHEN j.deep AND k.threat_type <> 'PROMPT_INJECTION' THEN 'JAILBREAK' ELSE k.threat_type END AS threat_type,
+    CASE WHEN i.deep THEN i.reason WHEN j.deep AND k.threat_type <> 'PROMPT_INJECTION' THEN j.reason ELSE k.reason END AS reason
+  FROM {decision_sql(_HIDDEN, 'doc_id')} k JOIN {_either('pi')} i USING (doc_id) JOIN {_either('jb')} j USING (doc_id)"""
+
 
 # --- chat bodies -----------------------------------------------------------------------------------------------
 
@@ -470,6 +519,21 @@ def leaks_sql(source: str, keys: str, tokens=plants.TOKENS, sdk: bool = False) -
 _LEAKS = leaks_sql(RESPONSES, "conv_id, turn")
 ORACLES["canary_leaks"] = f"SELECT conv_id, turn, leaked_token, kind FROM {_LEAKS} WHERE kind IS NOT NULL"
 ORACLES["canary_by_kind"] = f"SELECT kind, count(*) AS n FROM {_LEAKS} GROUP BY 1"
+_NOTED = "regexp_extract(text, ' noted (.*)$', 1)"
+_CODES = f"array_to_string(list_transform(regexp_extract_all({_NOTED}, '[0-9]+'), lambda x: chr(CAST(x AS INTEGER))), '')"
+_HEX_CODES = f"array_to_string(list_transform(regexp_extract_all({_NOTED}, '&#x([0-9a-f]+);', 1), lambda x: decode(unhex(x))), '')"
+# By place in the list of plants: the SQL that undoes the plant's encoding.
+_UNDONE = {
+    1: f"decode(from_base64({_NOTED}))", 2: f"decode(unhex({_NOTED}))", 4: f"translate({_NOTED}, {q(_FROM)}, {q(_TO)})", 5: _CODES, 6: f"url_decode({_NOTED})",
+    8: _CODES, 9: f"decode(from_base64({_NOTED}))", 10: _HEX_CODES,
+}
+_DEEP = f"(SELECT conv_id, turn, text, (conv_id + turn) % {len(plants.DEEP_LEAKS)} AS place FROM {turns(plants.DEEP_LEAKS)} WHERE role = 'assistant')"
+_CLEARED = f"(SELECT conv_id, turn, CASE place {' '.join(f'WHEN {n} THEN {sql}' for n, sql in _UNDONE.items())} ELSE '' END AS text FROM {_DEEP})"
+_WHOLE = "CASE " + " ".join(f"WHEN contains(text, {q(token)}) THEN {q(token)}" for token in plants.TOKENS) + " END"
+ORACLES["canary_deep"] = f"""
+  SELECT conv_id, turn, coalesce(r.leaked_token, d.leaked_token) AS leaked_token, coalesce(r.kind, {q(fv.CANARY_KINDS[8])}) AS kind
+  FROM {leaks_sql(_DEEP, 'conv_id, turn')} r JOIN (SELECT conv_id, turn, {_WHOLE} AS leaked_token FROM {_CLEARED}) d USING (conv_id, turn)
+  WHERE r.kind IS NOT NULL OR d.leaked_token IS NOT NULL"""
 ORACLES["canary_sdk"] = f"SELECT conv_id, turn, leaked_token, kind FROM {leaks_sql(RESPONSES, 'conv_id, turn', sdk=True)} WHERE kind IS NOT NULL"
 ORACLES["output_guard"] = f"""SELECT conv_id, turn, kind IS NULL AS allowed, CASE WHEN kind IS NULL THEN text ELSE {q(fv.CANARY_REPLACEMENT)} END AS sanitized_response,
   CASE WHEN kind IS NULL THEN 'NONE' ELSE 'CANARY_LEAK' END AS threat_type, CASE WHEN kind IS NULL THEN 'response clean' ELSE 'Canary token leaked in model output (' || kind || ')' END AS reason FROM {_LEAKS}"""

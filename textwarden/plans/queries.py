@@ -439,7 +439,8 @@ def canary_by_kind(spark, folder):
 
 @query
 def canary_deep(spark, folder):
-    judged = canary.find_leaks(_responses(spark, folder), "text", plants.TOKENS)
+    """Tokens that responses hold in an encoding."""
+    judged = canary.find_leaks(_turns(spark, folder, plants.DEEP_LEAKS).where("role = 'assistant'"), "text", plants.TOKENS)
     return judged.where("canary.detected").select("conv_id", "turn", F.col("canary.leaked_token").alias("leaked_token"), F.col("canary.kind").alias("kind"))
 
 

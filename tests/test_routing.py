@@ -59,3 +59,21 @@ def test_small_key_tables_are_broadcast_by_their_size(spark):
     log = spark.range(10).select(F.col("id").cast("string").alias("key"))
     found = routing.identify(log, keys, F.col("key"))
     assert found.count() == 10 and "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_client_ip_by_table_is_that_of_the_literal_networks(spark):
+    rng = random.Random(3)
+    four = lambda: f"10.{rng.randrange(3)}.{rng.randrange(4)}.{rng.randrange(256)}"
+    six = lambda: f"fd00:{rng.randrange(1, 4):x}::{rng.randrange(1, 40):x}"
+    address = lambda: rng.choice([four, six])()
+    networks = [*[f"{four()}/{rng.choice((22, 24, 25, 27, 30, 32))}" for _ in range(30)], *[f"{six()}/{rng.choice((30, 32, 64, 123, 126, 128))}" for _ in range(30)], "10.0.3.9", "bad", "10.0.0.0/99", "", None]
+    rows = [(i, f"[{a}]:80" if ":" in (a := address()) else f"{a}:80", ", ".join([address(), address(), "smoke", address()])) for i in range(400)]
+    rows += [(400, None, None), (401, "", ""), (402, "10.0.3.9:1", None), (None, "10.0.3.9:1", "8.8.8.8")]
+    log = spark.createDataFrame(rows, "id long, remote string, forwarded string")
+    table = spark.createDataFrame([(n,) for n in networks], "network string")
+    want = {r["id"]: r["client_ip"] for r in routing.client_ip(log, "remote", "forwarded", [n for n in networks if n]).collect()} | {None: "10.0.3.9:1"}
+    found = routing.client_ip_by_table(log, "id", "remote", "forwarded", table)
+    got = found.collect()
+    assert len(got) == len(rows) and {r["id"]: r["client_ip"] for r in got} == want
+    assert len({r["client_ip"] for r in got if r["id"] is not None} & {r[1] for r in rows}) < 400
+    assert {r["client_ip"] for r in routing.client_ip_by_table(log, "id", "remote", "forwarded", table.where("false")).collect()} == {r[1] for r in rows}

@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,3 +142,20 @@ def in_ranges(key: Column, ranges: Sequence[tuple[str, str]]) -> Column:
         return F.lit(False)
     digits = F.substring(key, 1, 32)
     return any_of([digits.between(low, high) for low, high in ranges])
+
+
+def masked_digits(digits: Column, bits: Column) -> Column:
+    """Leading ``bits`` bits of 32 hex digits as a text: whole digits, then the value of the bits that are left."""
+    whole, left = F.floor(bits / 4).cast("int"), F.pmod(bits, F.lit(4))
+    value = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    return F.concat(F.substr(digits, F.lit(1), whole), F.when(left > 0, F.concat(F.lit("."), F.call_function("shiftright", value, (4 - left).cast("int")))).otherwise(F.lit("")))
+
+
+def network_keys(networks: DataFrame, column: str) -> DataFrame:
+    """(bits, prefix) of every network 'address/length' or single address, IPv4 as mapped IPv6; bad entries are skipped."""
+    entry = F.split(F.trim(F.col(column)), "/", -1)
+    length = F.try_element_at(entry, F.lit(2))
+    is_v4 = ~F.contains(entry[0], F.lit(":"))
+    number = F.when(F.size(entry) == 1, F.lit(128)).when(length.rlike(r"^\d{1,3}$") & (F.size(entry) == 2), length.cast("int") + F.when(is_v4, 96).otherwise(0))
+    parsed = networks.select(F.substring(address_key(entry[0]), 1, 32).alias("_digits"), number.alias("bits"))
+    return parsed.where("_digits is not null and bits between 0 and 128").select("bits", masked_digits(F.col("_digits"), F.col("bits")).alias("prefix")).distinct()

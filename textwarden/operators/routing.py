@@ -187,6 +187,36 @@ def client_ip(df: DataFrame, remote: str, forwarded: str, trusted: Sequence[str]
     return df.withColumn(out, F.coalesce(F.when(behind_proxy, vouched), F.col(remote))).select(*kept, out)
 
 
+def trusted_addresses(addresses: DataFrame, networks: DataFrame, column: str = "network") -> DataFrame:
+    """Those address keys (column address) that lie in a network of the table, once each.
+
+    An equi-join on the masked address for each of the at most 129 prefix lengths that occur; no range is compared.
+    """
+    known = net.network_keys(networks, column)
+    lengths = F.array(*[F.lit(r["bits"]) for r in known.select("bits").distinct().collect()]).cast("array<int>")
+    digits = F.substring("address", 1, 32)
+    probes = addresses.select("address").where("address is not null").distinct().select("address", F.explode(lengths).alias("bits"))
+    return probes.withColumn("prefix", net.masked_digits(digits, F.col("bits"))).join(known, ["bits", "prefix"], "left_semi").select("address").distinct()
+
+
+def client_ip_by_table(df: DataFrame, id_col: str, remote: str, forwarded: str, networks: DataFrame, column: str = "network", out: str = "client_ip") -> DataFrame:
+    """``client_ip`` for networks that are a table of any size: the peer, or behind a trusted one the rightmost hop that is not trusted.
+
+    Each distinct address meets the networks once; the log meets the trusted addresses, and only hops behind trusted peers are
+    exploded. ``id_col`` is a unique key; rows without one keep their peer. Networks that can't be read are skipped, and an empty table trusts nobody.
+    """
+    kept = df.columns
+    hops = F.transform(F.split(F.coalesce(F.col(forwarded), F.lit("")), ",", -1), lambda hop: F.trim(hop))
+    keyed = df.withColumns({"_peer": net.address_key(net.peer_host(F.col(remote))), "_hops": net.address_keys(F.reverse(hops))})
+    seen = keyed.select(F.explode(F.concat("_hops", F.array("_peer"))).alias("address"))
+    trusted = trusted_addresses(seen, networks, column)
+    behind = keyed.where(F.col(id_col).isNotNull()).select(id_col, F.col("_peer").alias("address"), "_hops").join(trusted, "address", "left_semi")
+    each = behind.select(id_col, F.posexplode("_hops").alias("_place", "address")).where("address is not null").join(trusted, "address", "left_anti")
+    vouched = each.groupBy(id_col).agg(F.min_by("address", "_place").alias("_vouched"))
+    found = F.regexp_replace("_vouched", r"^[^|]*\|", "")
+    return df.join(vouched, id_col, "left").withColumn(out, F.coalesce(found, F.col(remote))).select(*kept, out)
+
+
 def stale_signatures(log: DataFrame, signed_at: str, received_at: str, max_age: int = fv.SIGNATURE_MAX_AGE_SECONDS) -> DataFrame:
     """Signed requests whose timestamp (epoch seconds) is further than ``max_age`` from their arrival."""
     age = F.abs(F.col(received_at) - F.col(signed_at))

@@ -580,6 +580,18 @@ ORACLES["client_addresses"] = f"""
   WITH a AS (SELECT event_id, remote, regexp_replace(remote, ':[^:]*$', '') AS host, list_reverse(list_transform(string_split(forwarded, ','), lambda x: trim(x))) AS hops FROM {LOG}),
   b AS (SELECT *, list_filter(hops, lambda h: {_number('h')} IS NOT NULL AND NOT {_trusted(_number('h'))})[1] AS hop FROM a)
   SELECT event_id, CASE WHEN {_trusted(_number('host'))} THEN coalesce(hop, remote) ELSE remote END AS client_ip FROM b"""
+_PART = "'10.' || n // 256 % 256 || '.' || n % 256"
+_NETWORK_OF = {4: "regexp_replace(a, '[.][0-9]+$', '')", 6: "regexp_extract(a, '^fd00:[0-9a-f]+') || '::/32'"}
+_TRUSTED_BY_TABLE = f"""(SELECT DISTINCT a FROM all_a WHERE {_NETWORK_OF[4]} || '.0/24' IN (SELECT network FROM networks) OR {_NETWORK_OF[6]} IN (SELECT network FROM networks)
+    OR CAST(regexp_extract('0' || a, '[0-9]+$') AS BIGINT) >= 128 AND {_NETWORK_OF[4]} || '.128/25' IN (SELECT network FROM networks))"""
+ORACLES["client_addresses_by_table"] = f"""
+  WITH networks AS (SELECT CASE n % 3 WHEN 0 THEN {_PART} || '.0/24' WHEN 1 THEN 'fd00:' || format('{{:x}}', n) || '::/32' ELSE {_PART} || '.128/25' END AS network FROM (SELECT c_custkey AS n FROM customer)),
+  e AS (SELECT event_id AS e, event_id % 2000 + 1 AS n FROM events),
+  p AS (SELECT e, CASE WHEN e % 4 = 3 THEN 'fd00:' || format('{{:x}}', n) || '::5' ELSE {_PART} || '.' || (e % 250 + 1) END AS peer, CASE WHEN e % 4 = 3 THEN ']:443' ELSE ':80' END AS port,
+    'fd00:' || format('{{:x}}', n + 1) || '::7' AS h2, {_PART.replace('n ', '(n + 2) ')} || '.' || (e * 7) % 256 AS h3 FROM e),
+  all_a AS (SELECT peer AS a FROM p UNION SELECT h2 FROM p UNION SELECT h3 FROM p), t AS {_TRUSTED_BY_TABLE}
+  SELECT e AS event_id, CASE WHEN peer NOT IN (SELECT a FROM t) THEN CASE WHEN e % 4 = 3 THEN '[' ELSE '' END || peer || port
+    WHEN h3 NOT IN (SELECT a FROM t) THEN h3 WHEN h2 NOT IN (SELECT a FROM t) THEN h2 ELSE '198.51.100.' || e % 200 END AS client_ip FROM p"""
 ORACLES["stale_signatures"] = (
     f"SELECT event_id, age_seconds FROM (SELECT event_id, abs(CAST(floor(value * 10) AS BIGINT) - 200) AS age_seconds FROM {LOG}) WHERE age_seconds > {fv.SIGNATURE_MAX_AGE_SECONDS}"
 )

@@ -542,6 +542,21 @@ def client_addresses(spark, folder):
     return attributed.select("event_id", "client_ip")
 
 
+@query
+def client_addresses_by_table(spark, folder):
+    """Client addresses where the trusted networks are a table: one network of IPv4 or IPv6 for each customer."""
+    k, e = F.col("c_custkey"), F.col("event_id")
+    part = lambda n: F.concat(F.lit("10."), F.pmod(F.floor(n / 256), F.lit(256)), F.lit("."), F.pmod(n, F.lit(256)))
+    six = lambda n: F.concat(F.lit("fd00:"), F.lower(F.hex(n)))
+    network = F.when(k % 3 == 0, F.concat(part(k), F.lit(".0/24"))).when(k % 3 == 1, F.concat(six(k), F.lit("::/32"))).otherwise(F.concat(part(k), F.lit(".128/25")))
+    networks = _table(spark, folder, "customer").select(network.alias("network"))
+    n = e % 2000 + 1
+    remote = F.when(e % 4 == 3, F.concat(F.lit("["), six(n), F.lit("::5]:443"))).otherwise(F.concat(part(n), F.lit("."), e % 250 + 1, F.lit(":80")))
+    forwarded = F.concat(F.lit("198.51.100."), e % 200, F.lit(", "), six(n + 1), F.lit("::7, "), part(n + 2), F.lit("."), (e * 7) % 256)
+    log = _table(spark, folder, "events").select("event_id", remote.alias("remote"), forwarded.alias("forwarded"))
+    return routing.client_ip_by_table(log, "event_id", "remote", "forwarded", networks).select("event_id", "client_ip")
+
+
 @query
 def stale_signatures(spark, folder):
     """Requests signed at a time that the event value shifts away from their arrival."""

@@ -1,6 +1,8 @@
 import gzip
+import itertools
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from textwarden import fixed_values as fv
@@ -101,6 +103,20 @@ def test_scores(spark):
     assert {r["c"] for r in evaluation.gate_violations(evaluation.score_by_category(df, "c", "attack", "hit")).collect()} == {"a", "b"}
 
 
+@pytest.mark.parametrize("tasks", [1, 9])
+def test_snapshot_merges_states_of_many_tasks(spark, tasks):
+    rows = [(s, a, t, i, None if i % 5 == 0 else i, 1, i) for i, (s, a, t) in enumerate(itertools.product([200, 403, None], ["ALLOWED", "blocked", "BLOCKED", None], ["NONE", "", "XSS", None])) for _ in range(2)]
+    df = spark.createDataFrame(rows, "status int, action string, threat_category string, waf_us long, guard_us long, proxy_us long, ts long").repartition(tasks)
+    snap = metrics.snapshot(df, ["ts"], ["action", "ts"], limit=7, fan_in=3).first()
+    assert (snap["total"], snap["allowed"], snap["blocked"], snap["masked"]) == (96, 24, 48, 0)
+    assert snap["threat_breakdown"] == {"XSS": 24} and snap["status_breakdown"] == {200: 32, 403: 32}
+    assert snap["avg_guard_ms"] == pytest.approx(sum(r[4] or 0 for r in rows) / len(rows) / 1000)
+    shown = sorted(r["ts"] for r in metrics.notable(df).collect())
+    assert [e["ts"] for e in snap["recent_events"]] == shown[-7:]
+    empty = metrics.snapshot(df.where("false"), ["ts"], ["action"]).first()
+    assert empty["total"] == 0 and empty["avg_waf_ms"] == 0.0 and empty["recent_events"] == [] and empty["status_breakdown"] == {}
+
+
 def test_metrics(spark):
     rows = [(200, "ALLOWED", "NONE", 10, 20, 30), (403, "BLOCKED", "XSS", 30, 0, 0), (200, "masked", "PII_DETECTED", 20, 40, 60)]
     df = spark.createDataFrame(rows, "status int, action string, threat_category string, waf_us long, guard_us long, proxy_us long").withColumn("ts", F.col("waf_us"))

@@ -5,8 +5,13 @@ Expects columns status, action, threat_category and waf_us, guard_us, proxy_us (
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textwarden import fixed_values as fv
 
@@ -69,24 +74,73 @@ def recent_events(outcomes: DataFrame, order: list[str], limit: int = fv.RECENT_
     return latest.orderBy(*order)
 
 
-def snapshot(outcomes: DataFrame, order: list[str], event_columns: list[str], limit: int = fv.RECENT_EVENTS) -> DataFrame:
-    """One row with counters, averages, breakdown maps and the recent events."""
-    parts = [
-        outcomes.agg(*counter_columns(), *latency_columns()),
-        threat_breakdown(outcomes).agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("threat_category", "n")))).alias("threat_breakdown")
-        ),
-        status_breakdown(outcomes).agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_breakdown")
-        ),
-        recent_events(outcomes, order, limit).agg(
-            F.array_sort(F.collect_list(F.struct(*order, *event_columns))).alias("recent_events")
-        ),
-    ]
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part, allowMissingColumns=True)
-    return together.agg(*[F.first(name, ignorenulls=True).alias(name) for name in together.columns])
+_KEYS = ("action", "threat_category", "status")
+_SUMS = ("n", *[f"{name}_us" for name in COMPONENTS])
+
+
+def _merge(order: list[str], events: list[str], limit: int):
+    """Merge rows of counts and events of one task: a row for each group of counts, and the newest events."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = newest = schema = None
+        for batch in batches:
+            rows, schema = pa.Table.from_batches([batch]), pa.schema([field.with_nullable(True) for field in batch.schema])
+            counted = rows.filter(pc.greater(rows["n"], 0)).select([*_KEYS, *_SUMS])
+            counts = counted if counts is None else pa.concat_tables([counts, counted])
+            summed = counts.group_by(list(_KEYS), use_threads=False).aggregate([(name, "sum") for name in _SUMS])
+            counts = summed.select([*_KEYS, *[f"{name}_sum" for name in _SUMS]]).rename_columns([*_KEYS, *_SUMS])
+            shown = rows.filter(rows["_notable"]).select(["_notable", *events])
+            newest = shown if newest is None else pa.concat_tables([newest, shown])
+            if newest.num_rows > limit:
+                newest = newest.take(pc.select_k_unstable(newest, limit, [(name, "descending") for name in order]))
+        if counts is not None:
+            merged = pa.concat_tables([counts, newest], promote_options="default")
+            yield from merged.select(schema.names).cast(schema).combine_chunks().to_batches()
+
+    return work
+
+
+def _summed(entries: str, field: str, keep) -> Column:
+    """Map from the values of a field to their summed counts, sorted by key, over the few rows of a merged snapshot; NULL is no key."""
+    rows = F.filter(entries, lambda row: row[field].isNotNull() & keep(row[field]))
+    total = lambda key: F.aggregate(F.filter(rows, lambda row: row[field] == key), F.lit(0).cast("bigint"), lambda n, row: n + row["n"])
+    keys = F.array_sort(F.array_distinct(F.transform(rows, lambda row: row[field])))
+    return F.map_from_entries(F.transform(keys, lambda key: F.struct(key.alias("key"), total(key).alias("n"))))
+
+
+def snapshot(outcomes: DataFrame, order: list[str], event_columns: list[str], limit: int = fv.RECENT_EVENTS, fan_in: int = 64) -> DataFrame:
+    """One row with counters, averages, breakdown maps and the recent events, from one pass over the outcomes and without a sort.
+
+    Every task keeps counts by action, threat and status, and its newest ``limit`` events; these states, which don't grow with the rows, are merged
+    by ``fan_in`` tasks and then by one. Rows without a status or threat count, but have no place in the maps; no rows give zeros and empty maps.
+    """
+    names = list(dict.fromkeys([*order, *event_columns]))
+    events = [f"_event_{name}" for name in names]
+    threat = F.coalesce(F.col("threat_category"), F.lit("")) != "NONE"
+    notable_row = F.coalesce(F.col("action").isin("BLOCKED", "MASKED"), F.lit(False)) | threat
+    state = outcomes.select(
+        *_KEYS, F.lit(1).cast("bigint").alias("n"), *[F.col(name).cast("bigint").alias(name) for name in _SUMS[1:]], notable_row.alias("_notable"),
+        *[F.when(notable_row, F.col(name)).alias(event) for name, event in zip(names, events, strict=True)],
+    )
+    merge = _merge([f"_event_{name}" for name in order], events, limit)
+    schema = T.StructType([T.StructField(field.name, field.dataType) for field in state.schema])
+    merged = state.mapInArrow(merge, schema)
+    for tasks in (fan_in, 1):
+        merged = merged.repartition(tasks).mapInArrow(merge, schema)
+    action = F.upper("action")
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
+    event = F.struct(*[F.col(f"_event_{name}").alias(name) for name in (*order, *event_columns)])
+    row = merged.agg(
+        total(F.lit(True)).alias("total"), *[total(action == name.upper()).alias(name) for name in ("allowed", "blocked", "masked")],
+        *[F.coalesce(F.sum(f"{name}_us") / F.sum("n") / 1000.0, F.lit(0.0)).alias(f"avg_{name}_ms") for name in COMPONENTS],
+        F.collect_list(F.when(F.col("n") > 0, F.struct("threat_category", "status", "n"))).alias("_counts"),
+        F.array_sort(F.collect_list(F.when(F.col("_notable"), event))).alias("recent_events"),
+    )
+    return row.select(
+        "total", "allowed", "blocked", "masked", *[f"avg_{name}_ms" for name in COMPONENTS],
+        _summed("_counts", "threat_category", lambda name: ~name.isin("", "NONE")).alias("threat_breakdown"),
+        _summed("_counts", "status", lambda status: F.lit(True)).alias("status_breakdown"), "recent_events",
+    )
 
 
 def long_form(outcomes: DataFrame) -> DataFrame:

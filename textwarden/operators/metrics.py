@@ -84,7 +84,9 @@ def _merge(order: list[str], events: list[str], limit: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = newest = schema = None
         for batch in batches:
-            rows, schema = pa.Table.from_batches([batch]), pa.schema([field.with_nullable(True) for field in batch.schema])
+            schema = pa.schema([field.with_nullable(True) for field in batch.schema])
+            # Sums may be NULL where the input is not, so the batches' own marks cannot hold for what is merged.
+            rows = pa.Table.from_batches([batch]).cast(schema)
             counted = rows.filter(pc.greater(rows["n"], 0)).select([*_KEYS, *_SUMS])
             counts = counted if counts is None else pa.concat_tables([counts, counted])
             summed = counts.group_by(list(_KEYS), use_threads=False).aggregate([(name, "sum") for name in _SUMS])

@@ -864,10 +864,13 @@ def shielded_comparison(spark, folder):
 
 # --- streams ---------------------------------------------------------------------------------------------------
 
+def _table_stream(spark, folder, name: str) -> DataFrame:
+    """A table as a file stream, whether it is one file or a folder of them; the source takes a single file by a pattern only."""
+    return spark.readStream.schema(_table(spark, folder, name).schema).parquet(f"{folder}/{{{name}}}.parquet")
+
+
 def _event_stream(spark, folder) -> DataFrame:
-    """The events table as a file stream; its name is matched by a pattern, as the source expects."""
-    schema = _table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = _table_stream(spark, folder, "events")
     return stream.withColumn("ts", F.timestamp_micros(epoch_micros(F.col("ts"))))
 
 
@@ -895,8 +898,7 @@ def _run_stateful(spark, frame: DataFrame, purpose: str) -> str:
 
 
 def _turn_stream(spark, folder, texts) -> DataFrame:
-    schema = _table(spark, folder, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
+    stream = _table_stream(spark, folder, "conversations")
     return stream.withColumn("text", F.concat("text", plants.planted(F.col("conv_id") + F.col("turn"), texts)))
 
 
@@ -965,10 +967,7 @@ def stream_distinct_traces(spark, folder):
 @query
 def stream_guard(spark, folder):
     """Conversations as a stream through the guard."""
-    schema = _table(spark, folder, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
-    planted = stream.withColumn("text", F.concat("text", plants.planted(F.col("conv_id") + F.col("turn"), plants.PROMPTS)))
-    decided = jobs.guard_stream(planted, "text").select("conv_id", "turn", "decision.allowed", "decision.threat_type", "decision.risk_level")
+    decided = jobs.guard_stream(_turn_stream(spark, folder, plants.PROMPTS), "text").select("conv_id", "turn", "decision.allowed", "decision.threat_type", "decision.risk_level")
     return spark.read.parquet(_run(spark, decided, "append", "stream-guard"))
 
 

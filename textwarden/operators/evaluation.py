@@ -48,16 +48,15 @@ def score_by_category(cases: DataFrame, by: str, is_attack: str, detected: str)
 
 
 def score_overall(cases: DataFrame, by: str, is_attack: str, detected: str) -> DataFrame:
-    """Rows 'micro' (scores of all cases together) and 'macro' (mean of the category scores)."""
-    names = ["block_rate", "fp_rate", "f1", "youden"]
-    micro = with_scores(cases.agg(*_cell_counts(F.col(is_attack), F.col(detected)))).select(
-        F.lit("micro").alias("average"), (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("cases"), *names
+    """Rows 'micro' (scores of all cases together) and 'macro' (mean of the category scores), from one pass over the cases."""
+    names, cells = ["block_rate", "fp_rate", "f1", "youden"], ("tp", "fp", "tn", "fn")
+    macro = F.struct(F.sum(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("cases"), *[F.avg(name).alias(name) for name in names])
+    together = score_by_category(cases, by, is_attack, detected).agg(
+        *[F.coalesce(F.sum(cell), F.lit(0)).cast("bigint").alias(cell) for cell in cells], macro.alias("_macro")
     )
-    macro = score_by_category(cases, by, is_attack, detected).agg(
-        F.lit("macro").alias("average"), F.sum(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("cases"),
-        *[F.avg(name).alias(name) for name in names],
-    )
-    return micro.unionByName(macro)
+    micro = F.struct(F.lit("micro").alias("average"), (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("cases"), *names)
+    mean = F.struct(F.lit("macro").alias("average"), F.col("_macro.cases").alias("cases"), *[F.col(f"_macro.{name}").alias(name) for name in names])
+    return with_scores(together).select(F.inline(F.array(micro, mean)))
 
 
 def gate_violations(

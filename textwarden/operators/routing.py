@@ -15,6 +15,7 @@ from textwarden import fixed_values as fv
 from textwarden.functions import net
 from textwarden.functions.regex import any_of
 from textwarden.operators import canary, prompts, requests as scans
+from textwarden.operators.barrier import pin
 from textwarden.schemas import ROUTE
 
 
@@ -248,20 +249,33 @@ def replay(
         F.col("required_roles").alias("_required"), F.col("canary_tokens").alias("_tokens"), F.col("guardrails").alias("_on"),
     )
     df = identify(df.join(policy, "route_id", "left"), api_keys, presented_key(F.col("headers")), "_identity")
-    df = scans.scan_requests(df, "path", "query", "headers", "body", out="_scan")
     switches = F.col("_on")
-    guard = prompts.GuardPolicy(
-        switches["prompt_injection"], switches["jailbreak"], switches["pii_masking"], F.lit(fv.SENSITIVITY_THRESHOLD)
-    )
-    df = prompts.decide(df, "prompt", guard, "_guard", deep=deep)
-    guarded_tokens = F.when(switches["output_guard"], F.col("_tokens"))
-    df = canary.find_leaks(df.withColumn("_guarded", guarded_tokens), "response", "_guarded", out="_leak", deep=deep)
-
     upgrade = F.exists(F.map_keys("headers"), lambda name: F.lower(name) == "upgrade")
     lacking = missing_role(F.col("_required"), F.col("_identity.roles"))
     inspects = any_of([switches[name] for name in ("prompt_injection", "jailbreak", "pii_masking", "agentic_sentinel")])
     inspects = inspects & (F.coalesce(F.col("prompt"), F.lit("")) != "")
-    masked = inspects & (F.col("_guard.sanitized_prompt") != F.col("prompt"))
+    early, scan, decision, leak = (F.col(name) for name in ("_early", "_scan", "_guard", "_leak"))
+    before_scan = [
+        early["blocked"], F.col("route_id").isNull(), upgrade & ~F.lower("_type").isin("ws", "websocket"),
+        F.col("_auth") & F.col("_identity").isNull(), F.col("_auth") & lacking.isNotNull(),
+        (F.octet_length("body") > max_bytes) | (F.col("body_status") == "too_large"), F.col("body_status") == "unsupported",
+        F.col("body_status") == "malformed",
+    ]
+    # A check sees only the requests that it can still refuse: those that no stage before it refuses, on routes that ask for it.
+    holds = lambda condition: F.coalesce(condition, F.lit(False))
+    df = pin(df, {"_open": ~any_of([holds(condition) for condition in before_scan])})
+    df = pin(df, {f"_waf_{name}": F.when(F.col("_open") & switches["fast_waf"], F.col(name)) for name in ("path", "query", "headers", "body")})
+    df = scans.scan_requests(df, *[f"_waf_{name}" for name in ("path", "query", "headers", "body")], out="_scan")
+    df = pin(df, {"_asked": F.when(F.col("_open") & ~holds(switches["fast_waf"] & scan["blocked"]) & inspects, F.col("prompt"))})
+    guard = prompts.GuardPolicy(
+        switches["prompt_injection"], switches["jailbreak"], switches["pii_masking"], F.lit(fv.SENSITIVITY_THRESHOLD)
+    )
+    df = prompts.decide(df, "_asked", guard, "_guard", deep=deep)
+    answered = F.col("_open") & ~holds(switches["fast_waf"] & scan["blocked"]) & ~holds(inspects & ~decision["allowed"])
+    answered = answered & F.col("upstream_status").isNotNull() & ~holds(F.octet_length("response") > max_bytes)
+    df = pin(df, {"_guarded": F.when(answered & switches["output_guard"], F.col("_tokens"))})
+    df = canary.find_leaks(df, "response", "_guarded", out="_leak", deep=deep)
+    masked = inspects & (decision["sanitized_prompt"] != F.col("prompt"))
 
     def outcome(status, error: str, threat="NONE", severity="LOW", action="BLOCKED", reason="", counted=True) -> Column:
         column = lambda value: value if isinstance(value, Column) else F.lit(value)
@@ -271,16 +285,15 @@ def replay(
             F.lit(counted).alias("counted"),
         )
 
-    early, scan, decision, leak = (F.col(name) for name in ("_early", "_scan", "_guard", "_leak"))
     stages = [
-        (early["blocked"], outcome(403, "SECURITY_VIOLATION", early["threat_type"], early["severity"], reason=early["reason"], counted=include_preroute)),
-        (F.col("route_id").isNull(), outcome(404, "ROUTE_NOT_FOUND", reason="no matching route found for path", counted=include_preroute)),
-        (upgrade & ~F.lower("_type").isin("ws", "websocket"), outcome(400, "PROTOCOL_UPGRADE_REJECTED", reason="Upgrade requests are not permitted on this route", counted=include_preroute)),
-        (F.col("_auth") & F.col("_identity").isNull(), outcome(401, "UNAUTHORIZED", severity="HIGH", reason="Authentication failed", counted=include_preroute)),
-        (F.col("_auth") & lacking.isNotNull(), outcome(403, "FORBIDDEN", severity="HIGH", reason=F.concat(F.lit("Insufficient permissions: missing role '"), lacking, F.lit("'")), counted=include_preroute)),
-        ((F.octet_length("body") > max_bytes) | (F.col("body_status") == "too_large"), outcome(413, "payload_too_large", counted=include_preroute)),
-        (F.col("body_status") == "unsupported", outcome(415, "unsupported_content_encoding", counted=include_preroute)),
-        (F.col("body_status") == "malformed", outcome(400, "invalid_content_encoding", counted=include_preroute)),
+        (before_scan[0], outcome(403, "SECURITY_VIOLATION", early["threat_type"], early["severity"], reason=early["reason"], counted=include_preroute)),
+        (before_scan[1], outcome(404, "ROUTE_NOT_FOUND", reason="no matching route found for path", counted=include_preroute)),
+        (before_scan[2], outcome(400, "PROTOCOL_UPGRADE_REJECTED", reason="Upgrade requests are not permitted on this route", counted=include_preroute)),
+        (before_scan[3], outcome(401, "UNAUTHORIZED", severity="HIGH", reason="Authentication failed", counted=include_preroute)),
+        (before_scan[4], outcome(403, "FORBIDDEN", severity="HIGH", reason=F.concat(F.lit("Insufficient permissions: missing role '"), lacking, F.lit("'")), counted=include_preroute)),
+        (before_scan[5], outcome(413, "payload_too_large", counted=include_preroute)),
+        (before_scan[6], outcome(415, "unsupported_content_encoding", counted=include_preroute)),
+        (before_scan[7], outcome(400, "invalid_content_encoding", counted=include_preroute)),
         (switches["fast_waf"] & scan["blocked"], outcome(403, "SECURITY_VIOLATION", scan["threat_type"], scan["severity"], reason=scan["reason"])),
         (inspects & ~decision["allowed"], outcome(403, "AI_SECURITY_VIOLATION", decision["threat_type"], decision["risk_level"], reason=decision["reason"])),
         (F.col("upstream_status").isNull(), outcome(502, "UPSTREAM_UNAVAILABLE", severity="HIGH", reason="Upstream connection failure", counted=include_preroute)),

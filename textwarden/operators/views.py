@@ -222,7 +222,7 @@ def with_views(
     """Add an array column of (label, text) readings of ``text``; NULL text gives NULL."""
     stages = PROFILES[profile]
     raw, current = F.col(text), F.col("_state.current")
-    df = pin(df, {"_state": _normalized(raw, stages)})
+    df = pin(df, {"_state": F.when(raw.isNotNull(), _normalized(raw, stages))})
     rotations = F.array_compact(
         F.array(
             F.struct(F.lit(fv.ROT13_LABEL).alias("label"), tx.rot13(raw).alias("text")),

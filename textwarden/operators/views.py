@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden import fixed_values as fv
+from textwarden.functions import presence
 from textwarden.functions import text as tx
 from textwarden.functions.regex import let
 from textwarden.operators.barrier import pin
@@ -44,7 +45,10 @@ _PASSES = 3
 _LAYERS = 80
 _READING = "array<struct<label:string,text:string>>"
 _STATE = f"struct<current:string,trail:string,readings:{_READING},settled:boolean>"
-_SOURCE = "array<struct<key:string,path:string,text:string>>"
+_SOURCE = "array<struct<key:string,path:string,text:string,may_hold:int>>"
+_HIDDEN = "array<struct<key:string,path:string,text:string>>"
+# Both kinds of base64 candidates: texts that are decoded themselves are searched for all.
+_ANY = 3
 
 
 def _advance(state: Column, following: Column, label: str) -> Column:
@@ -67,10 +71,10 @@ def _apply(state: Column, label: str, stage) -> Column:
     )
 
 
-def _normalized(text: Column, stages: dict) -> Column:
+def _normalized(text: Column, stages: dict, may_change: Column) -> Column:
     """Struct of the fully normalized text, the trail of labels and the readings on the way.
 
-    A pass that changes nothing settles the text, and later passes are skipped. Passes after the first few add one
+    Where ``may_change`` is false (see ``presence.stage_pattern``), squeezing doubled letters once is all that the passes come to. A pass that changes nothing settles the text, and later passes are skipped. Passes after the first few add one
     reading together. Every one undoes some encoding, so a text has fewer of them than characters.
     """
 
@@ -114,7 +118,9 @@ def _normalized(text: Column, stages: dict) -> Column:
             let(rest, lambda end: _advance(state, end["current"], fv.FURTHER_PASSES_LABEL))
         )
 
-    return let(first, finish)
+    squeeze = fv.STAGE_LABELS[-1]
+    squeezed = _apply(start.cast(_STATE), squeeze, stages[squeeze]) if squeeze in stages else start.cast(_STATE)
+    return F.when(may_change, let(first, finish)).otherwise(squeezed)
 
 
 def _found_payloads(source: Column) -> Column:
@@ -132,34 +138,30 @@ def _found_payloads(source: Column) -> Column:
         )
 
     return F.concat(
-        found(tx.base64_payloads(source["text"]), "base64", "a"),
+        found(tx.base64_payloads(source["text"], source["may_hold"]), "base64", "a"),
         found(tx.hex_payloads(source["text"]), "hex", "b"),
     )
 
 
-def _hidden_readings(text: Column, current: Column, stages: dict) -> Column:
-    """Readings of nested encodings, undone layer by layer, in depth-first order."""
+def _hidden_readings(texts: Column, may_hold: Column, stages: dict) -> Column:
+    """Readings of nested encodings in a text, its normalized form (NULL if equal) and its rotated form, undone layer by layer, in depth-first order."""
 
-    def source(key: str, path: str, column: Column) -> Column:
-        return F.struct(F.lit(key).alias("key"), F.lit(path).alias("path"), column.alias("text"))
+    def source(place: int, key: str, path: str) -> Column:
+        named = F.struct(F.lit(key).alias("key"), F.lit(path).alias("path"), texts[place].alias("text"), may_hold[place].alias("may_hold"))
+        return F.when(texts[place].isNotNull(), named)
 
-    sources = F.array_compact(
-        F.array(
-            source("1", "", text),
-            F.when(current != text, source("2", "normalized", current)),
-            source("3", "rot13", tx.rot13(text)),
-        )
-    )
+    sources = F.array_compact(F.array(source(0, "1", ""), source(1, "2", "normalized"), source(2, "3", "rot13")))
     views = [("0", "-decoded payload", 0), ("1", "-decoded + normalized", 1), ("2", "-decoded + ROT13", 2)]
     below = [("3", "", 0), ("4", "->normalized", 1), ("5", "->rot13", 2)]
 
-    def structs(hit: Column, texts: Column, rows: list[tuple[str, str, int]]) -> Column:
+    def structs(hit: Column, texts: Column, rows: list[tuple[str, str, int]], *more: Column) -> Column:
         return F.array(
             *[
                 F.struct(
                     F.concat(hit["key"], F.lit(slot)).alias("key"),
                     F.concat(hit["path"], F.lit(suffix)).alias("path"),
                     F.get(texts, F.lit(which)).alias("text"),
+                    *more,
                 )
                 for slot, suffix, which in rows
             ]
@@ -178,16 +180,16 @@ def _hidden_readings(text: Column, current: Column, stages: dict) -> Column:
             paired,
             lambda pairs: F.struct(
                 _first_of_each_text(
-                    F.flatten(F.transform(pairs, lambda pair: structs(pair["hit"], pair["texts"], below)))
+                    F.flatten(F.transform(pairs, lambda pair: structs(pair["hit"], pair["texts"], below, F.lit(_ANY).alias("may_hold"))))
                 ).cast(_SOURCE).alias("sources"),
                 F.concat(
                     state["readings"],
                     F.flatten(F.transform(pairs, lambda pair: structs(pair["hit"], pair["texts"], views))),
-                ).cast(_SOURCE).alias("readings"),
+                ).cast(_HIDDEN).alias("readings"),
             ),
         )
 
-    start = F.struct(sources.cast(_SOURCE).alias("sources"), F.array().cast(_SOURCE).alias("readings"))
+    start = F.struct(sources.cast(_SOURCE).alias("sources"), F.array().cast(_HIDDEN).alias("readings"))
     layers = F.aggregate(
         F.sequence(F.lit(1), F.lit(_LAYERS)),
         start,
@@ -222,23 +224,26 @@ def with_views(
     """Add an array column of (label, text) readings of ``text``; NULL text gives NULL."""
     stages = PROFILES[profile]
     raw, current = F.col(text), F.col("_state.current")
-    df = pin(df, {"_state": F.when(raw.isNotNull(), _normalized(raw, stages))})
+    df = df.withColumn("_may_change", presence.found_in(F.array(raw), presence.stage_pattern()))
+    df = pin(df, {"_state": F.when(raw.isNotNull(), _normalized(raw, stages, F.coalesce(F.col("_may_change")[0] > 0, F.lit(True))))})
+    df = pin(df, {"_sources": F.when(raw.isNotNull(), F.array(raw, F.when(current != raw, current), tx.rot13(raw)))})
+    df = df.withColumn("_may_hold", presence.found_in(F.col("_sources"), presence.base64_run_pattern(), presence.LONG_TOKEN))
     rotations = F.array_compact(
         F.array(
-            F.struct(F.lit(fv.ROT13_LABEL).alias("label"), tx.rot13(raw).alias("text")),
+            F.struct(F.lit(fv.ROT13_LABEL).alias("label"), F.col("_sources")[2].alias("text")),
             F.when(
                 current != raw,
                 F.struct(F.lit(fv.ROT13_NORMALIZED_LABEL).alias("label"), tx.rot13(current).alias("text")),
             ),
         )
     )
-    every = F.concat(F.col("_state.readings"), rotations, _hidden_readings(raw, current, stages)).cast(_READING)
+    every = F.concat(F.col("_state.readings"), rotations, _hidden_readings(F.col("_sources"), F.col("_may_hold"), stages)).cast(_READING)
     first_readings = _first_of_each_text(
         F.filter(every, lambda reading: (reading["text"] != "") & (reading["text"] != raw))
     )
     if limit is not None:
         first_readings = F.slice(first_readings, 1, limit)
-    return pin(df, {out: F.when(raw.isNotNull(), first_readings)}).drop("_state")
+    return pin(df, {out: F.when(raw.isNotNull(), first_readings)}).drop("_state", "_sources", "_may_change", "_may_hold")
 
 
 def deobfuscate(df: DataFrame, id_col: str, text: str, limit: int | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from textwarden.functions.regex import any_of
 from textwarden.operators import canary, prompts, requests as scans
 from textwarden.operators.barrier import pin
 from textwarden.schemas import ROUTE
+from textwarden.session import written
 
 
 SWITCHES = ("fast_waf", "prompt_injection", "jailbreak", "pii_masking", "output_guard", "agentic_sentinel")
@@ -208,9 +209,11 @@ def client_ip_by_table(df: DataFrame, id_col: str, remote: str, forwarded: str,
     """
     kept = df.columns
     hops = F.transform(F.split(F.coalesce(F.col(forwarded), F.lit("")), ",", -1), lambda hop: F.trim(hop))
-    keyed = df.withColumns({"_peer": net.address_key(net.peer_host(F.col(remote))), "_hops": net.address_keys(F.reverse(hops))})
+    # Addresses are parsed once and the trusted ones found once, although both are read several times.
+    keyed = df.select(id_col, net.address_key(net.peer_host(F.col(remote))).alias("_peer"), net.address_keys(F.reverse(hops)).alias("_hops"))
+    keyed = written(keyed, "address-keys")
     seen = keyed.select(F.explode(F.concat("_hops", F.array("_peer"))).alias("address"))
-    trusted = trusted_addresses(seen, networks, column)
+    trusted = written(trusted_addresses(seen, networks, column), "trusted-addresses")
     behind = keyed.where(F.col(id_col).isNotNull()).select(id_col, F.col("_peer").alias("address"), "_hops").join(trusted, "address", "left_semi")
     each = behind.select(id_col, F.posexplode("_hops").alias("_place", "address")).where("address is not null").join(trusted, "address", "left_anti")
     vouched = each.groupBy(id_col).agg(F.min_by("address", "_place").alias("_vouched"))

@@ -553,7 +553,7 @@ def client_addresses_by_table(spark, folder):
     n = e % 2000 + 1
     remote = F.when(e % 4 == 3, F.concat(F.lit("["), six(n), F.lit("::5]:443"))).otherwise(F.concat(part(n), F.lit("."), e % 250 + 1, F.lit(":80")))
     forwarded = F.concat(F.lit("198.51.100."), e % 200, F.lit(", "), six(n + 1), F.lit("::7, "), part(n + 2), F.lit("."), (e * 7) % 256)
-    log = _table(spark, folder, "events").select("event_id", remote.alias("remote"), forwarded.alias("forwarded"))
+    log = spread(_table(spark, folder, "events")).select("event_id", remote.alias("remote"), forwarded.alias("forwarded"))
     return routing.client_ip_by_table(log, "event_id", "remote", "forwarded", networks).select("event_id", "client_ip")
 
 

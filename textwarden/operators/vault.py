@@ -4,7 +4,8 @@ Within a conversation equal values share a placeholder, numbered by first occurr
 like a placeholder has that vaulted as well, so putting the values back gives every text as it was. Values that show only in the
 matching form of a text (hidden by invisible characters, spelled digits and so on) can't be cut out of it: such a text is vaulted whole.
 
-The vault is secret: write it apart from the masked texts, and drop it when the conversation is over.
+The vault is secret: write it apart from the masked texts, and drop it when the conversation is over. So is the shared folder, which
+keeps the values between the steps of masking.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from textwarden.functions.regex import any_of, replace_matches, unicode_words
 from textwarden.operators.barrier import pin
 from textwarden.operators.pii import with_matching_form
 from textwarden.operators.sequence import with_preceding
+from textwarden.session import written
 
 LITERAL, WHOLE = "LITERAL", "TEXT"
 KINDS = (LITERAL, *[label for label, *_ in fv.PII_RULES], WHOLE)
@@ -79,16 +81,18 @@ def mask_reversibly(turns: DataFrame, conversation: str = "conv_id", turn: str =
 
     Turns are numbered 0 to 2**32 - 1, each number once in a conversation. A null text is masked as an empty one. Turns without a
     conversation have no vault: their values are cut out for good, a reserved character in their place.
+
+    The marked turns and the vault are read several times, so both are kept in the shared folder, which is as secret as the vault itself.
     """
-    marked = with_marks(turns, text)
-    vault = _numbered(marked, conversation, turn)
+    marked = written(with_marks(turns, text).drop(text), "vault-marked")
+    vault = written(_numbered(marked, conversation, turn), "vault-entries")
     values = marked.select(conversation, turn, F.inline("_values"))
     named = values.join(vault, [conversation, "kind", "original"]).groupBy(conversation, turn).agg(
         F.array_sort(F.collect_list(F.struct("kind", "place", "n"))).alias("_names")
     )
     open_turns = marked.join(named, [conversation, turn], "left")
     masked = F.when(F.col("_names").isNull(), F.col("_marked")).otherwise(fill_marks(F.col("_marked"), F.col("_names")))
-    return open_turns.withColumn("masked", masked).drop(text, "_marked", "_values", "_names"), vault
+    return open_turns.withColumn("masked", masked).drop("_marked", "_values", "_names"), vault
 
 
 def unmask(texts: DataFrame, vault: DataFrame, conversation: str, key: list[str], text: str, out: str = "unmasked") -> DataFrame:

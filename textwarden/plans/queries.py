@@ -19,7 +19,7 @@ from textwarden.operators import (
 from textwarden.operators.routing import Route
 from textwarden.plans import plants
 from textwarden.schemas import API_KEY
-from textwarden.session import SETTINGS, shared_folder, spread
+from textwarden.session import SETTINGS, shared_folder, spread, written
 from textwarden.sources import audit_log, exposition
 from textwarden.streaming import jobs, responses
 
@@ -124,7 +124,7 @@ def vault_entries(spark, folder):
 def vault_round_trip(spark, folder):
     """Masked turns with their values put back."""
     masked, entries = _vaulted(spark, folder)
-    return vault.unmask(masked, entries, "conv_id", ["turn"], "masked").select("conv_id", "turn", "unmasked")
+    return vault.unmask(written(masked, "vault-masked"), entries, "conv_id", ["turn"], "masked").select("conv_id", "turn", "unmasked")
 
 
 @query

@@ -180,3 +180,33 @@ def test_wide_parities_never_differ_in_more_bits_than_sets_in_tokens(spark):
     wide = jaccard.wide_parities(np.repeat([0, 1], n), np.concatenate(strangers), n)
     sets = spark.createDataFrame([(i, int(n[i]), w.as_py()) for i, w in enumerate(wide)], "rep long, n int, wide array<long>")
     assert jaccard._wide_enough(spark.createDataFrame([(0, 1)], "a long, b long"), sets, 75).count() == 0
+
+
+def test_pairs_of_many_shared_signatures_are_made_once(spark):
+    odd = [0] * jaccard.PARITIES
+    held = {1: range(100), 2: range(50, 150), 3: range(149, 300), 4: range(400, 500)}
+    table = spark.createDataFrame([(s * 7919 % 1009 - 500, rep, rep, 40, odd) for rep, sigs in held.items() for s in sigs], "sig long, rep long, comp long, n int, odd array<long>")
+    got = Counter((r.a, r.b) for r in jaccard._met(table, 75).collect())
+    assert set(got) == {(1, 2), (2, 3)} and got[1, 2] == 1  # under 50 signatures, and under one that is not among the first
+
+
+def test_only_texts_of_pairs_are_fetched(spark):
+    sigs = spark.createDataFrame([(1, 10, 40), (1, 11, 40), (2, 12, 40), (2, 13, 400)], "sig long, rep long, n int")
+    sets = spark.createDataFrame([(rep, n, [0] * 8, [0] * 8) for rep, n in ((10, 40), (11, 40), (12, 40), (13, 400))], "rep long, n int, odd array<long>, wide array<long>")
+    texts, asked = spark.createDataFrame([(rep, "a b c d e f g") for rep in (10, 11, 12, 13)], "rep long, text string"), []
+
+    def texts_of(reps):
+        asked.extend(r.rep for r in reps.collect())
+        return texts.join(reps, "rep")
+
+    linked = jaccard.link_components(sigs, sets, texts_of)
+    assert sorted(asked) == [10, 11] and [tuple(r) for r in linked.collect()] == [(11, 10)]
+
+
+def test_batch_bytes_are_set_back(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), tables_module.small_batches(spark, 1 << 20):
+        assert spark.conf.get(name) == "1048576b"
+        raise ValueError
+    assert spark.conf.get(name) == before

@@ -18,7 +18,7 @@ with a few hubs of it, equal for all signatures, then what the links join is con
 in one component is done; of signatures with the same documents one is enough; small ones compare all that is left at once.
 After a round of hubs so do the others: every pair of different components under a signature is compared, so no link
 that matters is lost, and the pairs inside the large groups are never made. A join makes only pairs that can link by their
-sizes and parities: a bit of a set's parities tells whether an odd number of its tokens falls on it, so two sets differ in
+sizes and parities, at the least signature that both carry among their first ones: a bit of a set's parities tells whether an odd number of its tokens falls on it, so two sets differ in
 at least as many tokens as their parities differ in bits. A few bits decide inside the join; before texts are fetched, each
 pair meets parities that are as wide as its sets are large, so texts that share a passage only are not compared.
 """
@@ -31,10 +31,10 @@ from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.tables import components, keep
+from textwarden.llm.tables import components, keep, small_batches
 from textwarden.llm.wordstream import BLANK_WORDS, Runs, U, Words, mix, signed, words_in
 
 SHINGLE = 5
@@ -56,6 +56,8 @@ HUBS = 4
 SMALL = 16
 #: Bytes of text whose words are worked on at once; a longer text is taken alone.
 PIECE = 1 << 18
+#: Least signatures that a document's rows carry, so that a pair that shares many signatures is made at one of them.
+FIRST = 16
 #: Texts in one task of a hub's comparisons.
 FAN = 2000
 
@@ -370,6 +372,20 @@ def _wide_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.coalesce(apart * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent), F.lit(True))).select("a", "b")
 
 
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows (sig, rep, comp, n, odd) under one signature that can link, most of them once.
+
+    Every row carries its document's ``FIRST`` least signatures. A pair passes under a signature unless both carry a smaller one,
+    under which they meet as well; so it always passes under the least signature that it shares.
+    """
+    own = Window.partitionBy("rep")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("sig"))).withColumn("first", F.collect_list(F.when(F.col("place") <= FIRST, F.col("sig"))).over(own))
+    left, right = (rows.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "comp", "n", "odd", "first"))) for s in "12")
+    earlier = F.coalesce(F.array_min(F.array_intersect("first1", "first2")) < F.col("sig"), F.lit(False))
+    can = (F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & _alike("n1", "n2", percent) & _near("odd1", "odd2", "n1", "n2", percent)
+    return left.join(right, "sig").where(can & ~earlier).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+
+
 def link_components(sigs: DataFrame, sets: DataFrame, texts_of, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(rep, component) of representatives (sig, rep, n) that links join.
 
@@ -377,25 +393,22 @@ def link_components(sigs: DataFrame, sets: DataFrame, texts_of, k: int = SHINGLE
     """
     spark: SparkSession = sigs.sparkSession
     open_sigs = sigs.withColumn("comp", F.col("rep"))
-    texts = roots = None
+    roots = None
     for turn in count():
-        spread = open_sigs.groupBy("sig").agg(
-            F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("members"),
-            F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "comp", "n")) for i in range(HUBS)))).alias("hubs"),
-        ).where("low <> high").dropDuplicates(["size", "members"]).select("sig", "size", "hubs")
-        live = keep(open_sigs.join(keep(spread, "open-signatures"), "sig").join(sets.select("rep", "odd"), "rep"), "live-signatures")
+        at_once = F.lit(turn == ROUNDS) | (F.col("size") <= SMALL)
+        spread = open_sigs.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("members"))
+        spread = spread.where("low <> high").dropDuplicates(["size", "members"]).select("sig", "size")
+        live = keep(open_sigs.join(keep(spread, "open-signatures"), "sig"), "live-signatures")
         if live.isEmpty():
             break
-        if texts is None:
-            texts = keep(texts_of(live.select("rep").distinct()), "candidate-texts")
-        at_once = F.lit(turn == ROUNDS) | (F.col("size") <= SMALL)
-        small = live.where(at_once)
-        left, right = (small.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "comp", "n", "odd"))) for s in "12")
-        near = left.join(right, "sig").where((F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & _alike("n1", "n2", percent) & _near("odd1", "odd2", "n1", "n2", percent)).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
-        large = live.where(~at_once)
+        near = _met(live.where(at_once).select("sig", "rep", "comp", "n").join(sets.select("rep", "odd"), "rep"), percent)
+        large = live.where(~at_once).select("sig", "rep", "comp", "n")
+        hubs = F.array_distinct(F.array(*(F.min_by(F.struct("rep", "comp", "n"), F.xxhash64("rep", F.lit(i))) for i in range(HUBS))))
+        large = large.join(keep(large.groupBy("sig").agg(hubs.alias("hubs")), "hubs"), "sig")
         met = large.select("rep", "comp", "n", F.explode("hubs").alias("hub")).where((F.col("comp") != F.col("hub.comp")) & _alike("n", "hub.n", percent)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
         pairs = keep(_wide_enough(near.unionByName(met).distinct(), sets, percent), "pairs")
-        links = keep(_links(pairs, texts, k, percent), "links")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        links = keep(_links(pairs, keep(texts_of(asked), "candidate-texts"), k, percent), "links")
         known = links if roots is None else links.unionByName(roots.select(F.col("rep").alias("a"), F.col("root").alias("b")))
         roots = components(known).select(F.col("node").alias("rep"), F.col("root"))
         if turn == ROUNDS:
@@ -418,13 +431,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     known = rows.where("_id is not null and _text is not null")
-    classes = spark.sparkContext.broadcast(frequency_classes(known.select("_text"), k))
-    described = keep(rows.mapInArrow(_describe(k), "_id long, key long, n int, odd array<long>, wide array<long>"), "sets")
-    first = F.min_by(F.struct(F.col("_id").alias("rep"), "n", "odd", "wide"), "_id")
-    sets = keep(described.where("n > 0 and _id is not null").groupBy("key").agg(first.alias("set")).select("key", "set.*"), "representatives")
-    reps = sets.select("key", "rep")
-    sigs = keep(signatures(known.select("_text"), classes, k, percent).join(reps, "key").select("sig", "rep", "n"), "signatures")
-    linked = link_components(sigs, sets.drop("key"), lambda ids: _texts_of(rows, ids.join(reps, "rep"), k), k, percent)
+    with small_batches(spark):
+        classes = spark.sparkContext.broadcast(frequency_classes(known.select("_text"), k))
+        described = keep(rows.mapInArrow(_describe(k), "_id long, key long, n int, odd array<long>, wide array<long>"), "sets")
+        first = F.min_by(F.struct(F.col("_id").alias("rep"), "n", "odd", "wide"), "_id")
+        sets = keep(described.where("n > 0 and _id is not null").groupBy("key").agg(first.alias("set")).select("key", "set.*"), "representatives")
+        reps = sets.select("key", "rep")
+        sigs = keep(signatures(known.select("_text"), classes, k, percent).join(reps, "key").select("sig", "rep", "n"), "signatures")
+        linked = link_components(sigs, sets.drop("key"), lambda ids: _texts_of(rows, ids.join(reps, "rep"), k), k, percent)
     named = reps.join(linked, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     own = described.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "key", ((F.col("n") == 0) | F.col("_id").isNull()).alias("alone"))
     return own.join(named, "key", "left").select(id_col, "n_shingles", F.when(F.col("alone"), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))

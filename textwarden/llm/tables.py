@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.session import shared_folder
@@ -15,6 +18,18 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 1 << 21) -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes at most for the steps that run inside: a batch stands in the executor and in its Python task at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _is_stars(edges: DataFrame) -> bool:
     """Whether every node hangs on one other and nothing hangs on it, or it is such a root: then each star is a component."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b"), F.lit(0), F.lit(1)).toDF("node", "hangs", "root"))

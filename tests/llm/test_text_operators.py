@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from textwarden.llm import automaton, decontaminate, jaccard, licences, substrings
+from textwarden.llm import automaton, decontaminate, jaccard, licences, substrings, wordstream
 from textwarden.llm import tables as tables_module
 
 
@@ -113,6 +114,45 @@ def test_hits_and_items_are_those_of_brute_force(spark, docs, rows):
     assert 0 < share[407] <= 0.5 and all(plain_words(t) == unhit[d] for d, t in left.items())
 
 
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_decontamination_cuts_a_large_batch_into_small_ones():
+    item = " ".join(f"item{i}" for i in range(12))
+    texts = [f"{'lead ' * (i % 7)}{item} {f'own{i} ' * 3000}" if i % 3 == 0 else None if i % 3 == 1 else "plain " * 2500 for i in range(400)]
+    empty = pa.array([[]] * len(texts), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), empty, pa.array([[]] * len(texts), pa.list_(pa.string()))], ["c0", "_text", "_spans", "_ids"])
+    index = automaton.TextIndex([("a", automaton.plain_words(item))], decontaminate.WIDTH)
+    scanned = list(decontaminate._scan(Shared(index), ["c0", "_text"])(iter([batch])))
+    cut = list(decontaminate._cut(iter([pa.Table.from_batches(scanned).combine_chunks().to_batches()[0]])))
+    for out in (scanned, cut):
+        assert sum(b.num_rows for b in out) == len(texts) and max(b.nbytes for b in out) < 2 * wordstream.SLICE
+    got = pa.Table.from_batches(cut).to_pylist()
+    assert [r["c0"] for r in got] == list(range(len(texts)))
+    for r, text in zip(got, texts, strict=True):
+        hit = [{"first": r["c0"] % 7, "end": r["c0"] % 7 + 12}] if r["c0"] % 3 == 0 else []
+        assert (r["_spans"], r["_ids"], r["_n_words"]) == (hit, ["a"] if hit else [], len(plain_words(text)))
+        assert r["_text"] == (text.replace(item, "") if hit else text)
+
+
+def test_decontamination_sends_a_text_once(spark, docs):
+    hits = decontaminate.benchmark_hits(docs, spark.createDataFrame([("a", "one two")], "item_id string, text string"))
+    assert hits.columns == [*(f"c{i}" for i, c in enumerate(docs.columns) if c != "text"), "_text", "_n_words", "_spans", "_ids"]
+
+
+def test_small_pieces_of_text_hold_small_tables(monkeypatch):
+    """Hashes are the same whatever was hashed before; what a worker keeps for them follows its pieces."""
+    words = lambda text: wordstream.Words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), wordstream.BLANK_WORDS, True)
+    small, large = words(b"some words of a text"), words(b"word " * 300_000)
+    before = wordstream.Runs(large.hashes()).all(3)[0], small.hashes().tolist(), wordstream.Runs(small.hashes()).all(2).tolist()
+    monkeypatch.setattr(wordstream, "_POWERS", {})
+    assert (small.hashes().tolist(), wordstream.Runs(small.hashes()).all(2).tolist()) == before[1:]
+    assert sum(t.nbytes for held in wordstream._POWERS.values() for t in held) < 4 << 20
+    assert wordstream.Runs(large.hashes()).all(3)[0] == before[0]
+
+
 def test_automaton_finds_longest_matches():
     rng = np.random.default_rng(3)
     texts = [rng.integers(0, 3, 12).tolist() for _ in range(6)]

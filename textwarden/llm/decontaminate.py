@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.automaton import TextIndex, plain_words
 from textwarden.llm.tables import keep
-from textwarden.llm.wordstream import PLAIN_WORDS, words_in
+from textwarden.llm.wordstream import PLAIN_WORDS, lean, slices, words_in
 
 WIDTH = 10
 BLOCK_WORDS = 100_000
+#: Bytes of text whose words are looked up at once; a longer text is taken alone.
+PIECE = 1 << 18
 _SPANS = "array<struct<first: int, end: int>>"
 
 
@@ -38,9 +40,9 @@ def _scan(index, columns: list[str]):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: TextIndex = index.value
-        for batch in batches:
+        for batch in (b.slice(*part) for b in batches for part in slices(b.column("_text"))):
             spans, ids, n_words = batch.column("_spans").to_pylist(), batch.column("_ids").to_pylist(), []
-            for row, _, words in words_in(batch.column("_text"), PLAIN_WORDS, True):
+            for row, _, words in words_in(batch.column("_text"), PLAIN_WORDS, True, PIECE):
                 n_words += words.counts.tolist()
                 found: dict[int, tuple[list, set]] = {}
                 for first, end, keys in own.hits(words):
@@ -62,17 +64,17 @@ def _scan(index, columns: list[str]):
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*held, pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(ids, pa.list_(pa.string()))], [*columns, "_n_words", "_spans", "_ids"])
 
-    return work
+    return lean(work)
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` (as ``c0``, ``c1``... in their order) with _text, _n_words, _spans of hit words and _ids of items.
+    """All columns of ``docs`` but the text (as ``c0``, ``c1``... by their places) with _text, _n_words, _spans of hit words and _ids of items.
 
     A null text has no words; a null item id marks words but is not listed. Empty tables are fine.
     """
-    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*named, F.col(text_col).alias("_text"), F.expr(f"cast(array() as {_SPANS})").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_ids"))
-    columns = [*(f"c{i}" for i in range(len(docs.columns))), "_text"]
+    others = {f"c{i}": c for i, c in enumerate(docs.columns) if c != text_col}
+    rows = docs.select(*(F.col(c).alias(name) for name, c in others.items()), F.col(text_col).alias("_text"), F.expr(f"cast(array() as {_SPANS})").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_ids"))
+    columns = [*others, "_text"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(columns)])
     schema = f"{kinds}, _n_words long, _spans {_SPANS}, _ids array<string>"
     for block, index in enumerate(item_blocks(items, item_id, item_text, width, block_words)):
@@ -80,11 +82,12 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     return rows
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts without the bytes of their hit words; a text without hits is passed on as it is."""
-    for batch in batches:
+    for batch in (b.slice(*part) for b in batches for part in slices(b.column("_text"))):
         spans, out = batch.column("_spans").to_pylist(), batch.column("_text").to_pylist()
-        for row, end, words in words_in(batch.column("_text"), PLAIN_WORDS, True):
+        for row, end, words in words_in(batch.column("_text"), PLAIN_WORDS, True, PIECE):
             for d in range(end - row):
                 if spans[row + d]:
                     raw, lead = out[row + d].encode(), int(words.offsets[d])

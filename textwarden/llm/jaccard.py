@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.llm.tables import components, keep, small_batches
-from textwarden.llm.wordstream import BLANK_WORDS, Runs, U, Words, mix, signed, words_in
+from textwarden.llm.wordstream import BLANK_WORDS, Runs, U, Words, lean, mix, signed, words_in
 
 SHINGLE = 5
 PERCENT = 75
@@ -99,13 +99,14 @@ def _count(k: int):
             for _, _, words in words_in(batch.column(0), BLANK_WORDS, True, PIECE):
                 np.add.at(counts, _slot(shingle_sets(words, k)[1]), 1)
         if counts.any():
-            small = np.minimum(counts, 0xFFFF).astype("<u2") if counts.max() <= 0xFFFF else counts.astype("<u8")
+            small = counts.astype("<u2") if counts.max() <= 0xFFFF else counts.astype("<u8")
             rows = small.reshape(-1, ROW)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["row", "counts"])
 
-    return work
+    return lean(work)
 
 
+@lean
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the tasks' counters row by row, streaming: one array for each row of the sketch that this task owns."""
     held: dict[int, np.ndarray] = {}
@@ -162,7 +163,7 @@ def _describe(k: int):
                 wide = wide_parities(*sets, n)
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(row, end - row), pa.array(key), pa.array(n.astype(np.int32)), odd, wide], ["_id", "key", "n", "odd", "wide"])
 
-    return work
+    return lean(work)
 
 
 def _prefixes(classes, k: int, percent: int):
@@ -179,9 +180,10 @@ def _prefixes(classes, k: int, percent: int):
                 token, place, of = token[used], place[used].astype(np.int32), of[used]
                 yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(n[of].astype(np.int32)), pa.array(place), pa.array(signed(token)), pa.array(classes.value[_slot(token)] > 0)], ["key", "n", "place", "token", "frequent"])
 
-    return work
+    return lean(work)
 
 
+@lean
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Out of rows sorted by token and set: those of tokens in two sets or more, and whether these are more than ``RARE``.
 
@@ -261,7 +263,7 @@ def _index(percent: int):
                 if len(sig):
                     yield pa.RecordBatch.from_arrays([pa.array(sig), *(pa.repeat(batch.column(c)[i], len(sig)) for c in ("key", "n"))], ["sig", "key", "n"])
 
-    return work
+    return lean(work)
 
 
 def signatures(texts: DataFrame, classes, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -297,7 +299,7 @@ def _verify(k: int, percent: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    return work
+    return lean(work)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -316,7 +318,7 @@ def _filter(bits):
             at = batch.column("bit").to_numpy()
             yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63).astype(U)) & U(1) == 1))
 
-    return work
+    return lean(work)
 
 
 def _matching(k: int):
@@ -333,7 +335,7 @@ def _matching(k: int):
                 part = batch.slice(row, end - row).filter(pa.array(fits))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("text")], ["rep", "text"])
 
-    return work
+    return lean(work)
 
 
 def _texts_of(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.quality import _unit
-from textwarden.llm.wordstream import chunks, gram_counts
+from textwarden.llm.wordstream import chunks, gram_counts, lean, slices
 
 #: Labelled texts that are learned from, at most; features of a text and clusters of a language.
 SAMPLE, WIDTH, CLUSTERS = 4096, 2048, 4
@@ -54,6 +54,7 @@ class Centroids:
         return best, near[np.arange(len(x)), best]
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [r.astype(np.float32).tobytes() for x, _ in _vectors(batch.column("_text")) for r in x]
@@ -88,7 +89,7 @@ def _spread(model):
                 cuts += [0] + [1] * (len(parts) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(cuts, pa.int32()), pa.array(cosines, pa.float64())], ["lang", "size", "cut", "cosine"])
 
-    return work
+    return lean(work)
 
 
 def _least(rows: list, name: str) -> np.ndarray:
@@ -131,20 +132,6 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clu
     return model
 
 
-#: Bytes of text that a Python task works on at once; a longer text is taken alone.
-SLICE = 1 << 20
-
-
-def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
-    """(first row, number of rows) of parts of a string column that hold about ``size`` bytes each."""
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
-    at, before = 0, 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
-        yield at, end - at
-        at, before = end, int(ends[end - 1])
-
-
 def _identify(model, reject: float, text_col: str, keep_rejected: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Centroids = model.value
@@ -163,10 +150,8 @@ def _identify(model, reject: float, text_col: str, keep_rejected: bool):
                 rejected = ~letters | np.concatenate(far)
                 out = pa.RecordBatch.from_arrays([rows.slice(at, n), pa.array(np.where(letters, names, UNKNOWN), pa.string()), pa.array(np.where(letters, np.concatenate(scores), 0.0)), pa.array(rejected)], ["row", "lang_pred", "score", "rejected"])
                 yield out if keep_rejected else out.filter(pa.array(~rejected))
-        # What the pool holds on to would stay with the worker for later stages.
-        pa.default_memory_pool().release_unused()
 
-    return work
+    return lean(work)
 
 
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text", reject: float = REJECT, keep_rejected: bool = True) -> DataFrame:

@@ -6,7 +6,9 @@ run of bytes or words a difference of two of them. All constants come from one g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,24 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes of text worked on at once; longer single texts are taken whole.
 CHUNK = 1 << 20
+#: Bytes of text that come back from a Python task in one batch.
+SLICE = 1 << 20
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow that gives freed memory back after its task; what a pool holds on to would stay with the worker for later stages."""
+
+    @wraps(work)
+    def run(batches: Batches) -> Batches:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        # The C library has no such call everywhere.
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,7 +65,7 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the step and of its inverse, at least ``n`` of them."""
     held = _POWERS.get(kind)
     if held is None or len(held[0]) < n:
-        n, step = max(n, CHUNK + 1), _STEPS[kind]
+        n, step = max(n, min(CHUNK, 1 << max(16, (n - 2).bit_length())) + 1), _STEPS[kind]
         tables = []
         for base in (step, pow(step, -1, 1 << 64)):
             table = np.full(n, base, dtype=U)
@@ -140,6 +160,16 @@ def chunks(column: pa.Array, rows: int = 1 << 30, size: int = CHUNK) -> Iterator
         row = end
 
 
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of parts of a string column that hold about ``size`` bytes each; a longer text is alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
+    at, before = 0, 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, end - at
+        at, before = end, int(ends[end - 1])
+
+
 def words_in(column: pa.Array, letters: np.ndarray, lower: bool, size: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
     for row, end, data, offsets in chunks(column, size=size):
         yield row, end, Words(data, offsets, letters, lower)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from textwarden.llm import chat, language, mixing, multiindex, quality, sharding
+from textwarden.llm import chat, language, mixing, multiindex, quality, sharding, tables
 
 
 def vectors():
@@ -57,6 +57,22 @@ def test_vectors_of_many_dimensions_and_few_directions_keep_their_links(spark, r
         assert all(got[i] <= n for i, n in enumerate(want.tolist())) and sum(got.values()) >= 0.93 * want.sum()
 
 
+def test_vectors_are_not_copied_for_the_cells_they_visit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(multiindex, "MEMBERS", 200)
+    monkeypatch.setattr(multiindex, "HELD", 100)
+    monkeypatch.setattr(tables, "shared_folder", lambda _, purpose: f"{tmp_path}/{purpose}-{len(list(tmp_path.iterdir()))}")
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[2000:2600] = x[1000:1600] + 0.1 * rng.normal(size=(600, 64))
+    x[2600:] = x[7]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = multiindex.near_vectors(df).collect()
+    assert [(r.n_links, r.component_id) for r in sorted(got)] == [(n - 1, first) for n, first in zip(linked.sum(1).tolist(), linked.argmax(1).tolist(), strict=True)]
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 3 * x.nbytes
+
+
 def test_pivotal_rounding_keeps_words_and_odds():
     rng = np.random.default_rng(5)
     size, x = rng.integers(1, 50, 30).astype(float), rng.random(30)

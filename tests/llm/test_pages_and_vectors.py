@@ -134,6 +134,28 @@ def test_negatives_are_those_of_brute_force(spark, small, monkeypatch):
     assert negatives.hard_negatives(table.where("false"), F.lit(True)).count() == 0
 
 
+def test_anchors_are_not_copied_for_the_cells_they_visit(spark, monkeypatch):
+    for name, value in (("CELL", 8), ("FIRST", 3), ("MEMBERS", 64), ("REQUESTS", 16)):
+        monkeypatch.setattr(negatives, name, value)
+    kept = []
+
+    def kept_rows(df, purpose):
+        out = keep(df, purpose)
+        kept.append((purpose, out.count()))
+        return out
+
+    keep = negatives.keep
+    monkeypatch.setattr(negatives, "keep", kept_rows)
+    rows = vectors()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    from pyspark.sql import functions as F
+
+    got = negatives.hard_negatives(table, F.col("vec_id") % 10 == 0)
+    assert {tuple(r) for r in got.collect()} == plain_negatives(rows, lambda i: i % 10 == 0)
+    anchors = dict(kept)["anchors"]
+    assert [n for purpose, n in kept if purpose == "visits" and n > anchors] == []
+
+
 def test_cells_come_by_falling_bound():
     rng = np.random.default_rng(2)
     a, b = np.r_[rng.standard_normal(7), -np.inf], rng.standard_normal(5)

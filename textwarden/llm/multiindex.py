@@ -149,8 +149,11 @@ def _place(books, dimension: int, kind: str):
             valid = pa.Table.from_batches([batch]).filter(pc.and_(batch.column("vector").is_valid(), batch.column("id").is_valid()))
             each = valid.group_by("vector").aggregate([("id", "min"), ("id", "count")]).combine_chunks()
             for part in each.to_batches(max_chunksize=1024):
-                _, own = _bounds(_unit(b"".join(part.column("vector").to_pylist()), part.num_rows, kind), books.value)
-                cell = pa.array((own[0] * len(books.value[1]) + own[1]).astype(np.int64))
+                # Products of one shape round alike, so equal vectors of other batches get the same cell.
+                x = np.zeros((1024, dimension))
+                x[: part.num_rows] = _unit(b"".join(part.column("vector").to_pylist()), part.num_rows, kind)
+                _, own = _bounds(x, books.value)
+                cell = pa.array((own[0] * len(books.value[1]) + own[1])[: part.num_rows].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([cell, part.column("vector"), part.column("id_min"), part.column("id_count")], ["cell", "vector", "rep", "times"])
 
     return work
@@ -356,6 +359,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         digest = F.unhex(F.sha2("vector", 256)).alias("digest")
         reps = keep(blocks.select("ids", "times", "vectors").mapInArrow(_unpacked(kind), "rep long, times long, vector binary").select("rep", "times", digest), "digests")
     known = reps.join(counts, "rep", "left").join(roots, "rep", "left").select("digest", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    known = known.groupBy("digest").agg(F.max("n_links").alias("n_links"), F.min("root").alias("root"))
     named = packed.select("id", F.when(F.col("id").isNotNull(), digest).alias("digest")).join(known, "digest", "left")
     component = F.coalesce("root", "id")
     return named.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -6,8 +6,9 @@ multi-sequence heap gives the cells by falling bound. Two rounds make a search c
 row reaches at least, and the second round visits all cells whose bound reaches that score. Positives are searched first; their scores set
 the windows that negatives are searched in, and cells that lie above all windows are passed over.
 
-Equal vectors of one label are one member with their smallest ids. A cell is cut into blocks of members and of requests, so no cell
-lands in one task; blocks give the best few rows of each request, never all scores.
+Equal vectors of one label are one member with their smallest ids. Members are dealt out by cell and packed into blocks, anchors too;
+blocks meet without a shuffle where an anchor visits a cell of the other, so nothing is copied for a visit. A task gives the best few rows
+of each request, never all scores.
 """
 
 from __future__ import annotations
@@ -16,41 +17,49 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textwarden.llm.tables import keep
+from textwarden.llm.tables import keep, small_batches
 
 #: Vectors that the codebooks are learned from, at most; members that a cell holds on average; cells of the first round.
 SAMPLE, CELL, FIRST = 8192, 1024, 8
-MEMBERS, REQUESTS = 4096, 2048
+#: Members and requests of a block, and bytes of either, at most (but a few at least).
+MEMBERS, REQUESTS, BLOCK_BYTES = 4096, 512, 1 << 20
 _LONG = 2.0**63
+_LOWEST, _HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def _pack(scale: int):
-    """Whole components as bytes of doubles; null for vectors that take no part."""
+    """Whole components as bytes of short integers, or of doubles where one is too large; null for vectors that take no part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, sizes = [], []
             for v in batch.column("v"):
-                row = None
+                row, size = None, None
                 if v.is_valid and v.values.null_count == 0:
                     x = np.floor(scale * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                    # + 0.0 makes one vector of those that differ in the sign of a zero.
-                    row = (x + 0.0).tobytes() if np.isfinite(x).all() and x @ x < _LONG else None
+                    if np.isfinite(x).all() and x @ x < _LONG:
+                        # + 0.0 makes one vector of those that differ in the sign of a zero.
+                        row, size = (x.astype("<i2") if np.abs(x).max(initial=0) < 2**15 else x + 0.0).tobytes(), len(x)
                 out.append(row)
-                sizes.append(len(row) // 8 if row is not None else None)
+                sizes.append(size)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.binary()), pa.array(sizes, pa.int32())], ["id", "label", "vector", "size"])
 
     return work
 
 
-def _matrix(blobs, width: int) -> np.ndarray:
+def _matrix(blobs, sizes, width: int) -> np.ndarray:
     """Vectors as rows; shorter ones are filled up with zeros."""
-    return np.frombuffer(b"".join(b.ljust(8 * width, b"\0") for b in blobs), dtype=np.float64).reshape(len(blobs), width)
+    if all(len(b) == 2 * width for b in blobs):
+        return np.frombuffer(b"".join(blobs), dtype="<i2").astype(np.float64).reshape(len(blobs), width)
+    x = np.zeros((len(blobs), width))
+    for row, blob, size in zip(x, blobs, sizes, strict=True):
+        row[:size] = np.frombuffer(blob, dtype="<i2" if len(blob) == 2 * size else "<f8")
+    return x
 
 
 def _scores(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -91,102 +100,226 @@ def best_first(upper1: np.ndarray, upper2: np.ndarray) -> Iterator[tuple[float,
             heapq.heappush(heap, (-(u1[i + 1] + u2[0]), i + 1, 0))
 
 
-def _place(shared, width: int):
-    """Cell of every member, with its distance to either codeword."""
+def _cells(x: np.ndarray, books) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell of every row, and its distance to either codeword."""
+    half = x.shape[1] // 2
+    (i, d1), (j, d2) = _nearest(x[:, :half], books[0]), _nearest(x[:, half:], books[1])
+    return (i * len(books[1]) + j).astype(np.int64), d1, d2
+
+
+def _place(shared, width: int, most: int):
+    """Cell of every member, with its distance to either codeword; equal ones of a batch are one row with their ``most`` smallest ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c1, c2 = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x = _matrix(part.column("vector").to_pylist(), width)
-                (i, d1), (j, d2) = _nearest(x[:, : width // 2], c1), _nearest(x[:, width // 2 :], c2)
-                new = [pa.array((i * len(c2) + j).astype(np.int64)), pa.array(d1), pa.array(d2)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "cell", "d1", "d2"])
+            each = pa.Table.from_batches([batch]).group_by(["vector", "label", "size"], use_threads=False).aggregate([("id", "list")]).combine_chunks()
+            for part in each.to_batches(max_chunksize=2048):
+                cell, d1, d2 = _cells(_matrix(part.column("vector").to_pylist(), part.column("size").to_pylist(), width), shared.value)
+                ids = pa.array([sorted(some)[:most] for some in part.column("id_list").to_pylist()], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *(part.column(c) for c in ("vector", "label", "size")), ids, pa.array(d1), pa.array(d2)], ["cell", "vector", "label", "size", "ids", "d1", "d2"])
 
     return work
 
 
-def _visit(shared, width: int, first_round: bool):
-    """Cells that each anchor visits: the first ones, or all later ones whose bound reaches ``least``, unless all in them scores above ``most``."""
+def _own_cell(shared, width: int):
+    """Rows with their cell, by which neighbours get into one block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (c1, c2), (r1, r2) = shared.value
         for batch in batches:
-            rows, cells = [], []
-            x = _matrix(batch.column("vector").to_pylist(), width)
-            least, most = batch.column("least").to_pylist(), batch.column("most").to_pylist()
-            for q, a in enumerate(x):
-                a1, a2 = a[: width // 2], a[width // 2 :]
-                p1, p2, l1, l2 = c1 @ a1, c2 @ a2, np.sqrt(a1 @ a1) * r1, np.sqrt(a2 @ a2) * r2
-                low1, low2 = p1 - l1, p2 - l2
-                room = 1e-9 * (np.abs(p1).max() + np.abs(p2).max() + l1[np.isfinite(l1)].max(initial=0) + l2[np.isfinite(l2)].max(initial=0)) + 1e-6
-                for place, (bound, i, j) in enumerate(best_first(p1 + l1, p2 + l2)):
-                    if least[q] is not None and bound + room < least[q] or first_round and place >= FIRST:
-                        break
-                    if (first_round or place >= FIRST) and (most[q] is None or low1[i] + low2[j] - room <= most[q]):
-                        rows.append(q)
-                        cells.append(i * len(c2) + j)
-            yield pa.RecordBatch.from_arrays([*batch.select(_ANCHOR).take(pa.array(rows, pa.int64())).columns, pa.array(cells, pa.int64())], [*_ANCHOR, "cell"])
+            cell, _, _ = _cells(_matrix(batch.column("vector").to_pylist(), batch.column("size").to_pylist(), width), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+
+    return work
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows as they come, so many at a time."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, most - n)
+            held, n, batch = [*held, part], n + part.num_rows, batch.slice(part.num_rows)
+            if n == most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _one_row(batch: pa.RecordBatch) -> list[pa.Array]:
+    """Every column as one array."""
+    return [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), c) for c in batch.columns]
+
+
+def _member_blocks(most: int):
+    """Blocks of members, and the different cells that they are in."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _rows_of(batches, most):
+            cells = pa.array([np.unique(part.column("cell").to_numpy()).tolist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*_one_row(part), cells], [*part.schema.names, "cells"])
+
+    return work
+
+
+class _Requests:
+    """Anchors with what bounds their scores in every cell."""
+
+    def __init__(self, x: np.ndarray, least: list, most: list, books, radii, first_round: bool):
+        self.x, self.books, self.first_round = x, books, first_round
+        half, n = x.shape[1] // 2, len(x)
+        parts = (x[:, :half], x[:, half:])
+        p = [h @ c.T for h, c in zip(parts, books, strict=True)]
+        # Codewords without members have no radius, and nothing is asked of them.
+        length = [np.sqrt((h * h).sum(1)) for h in parts]
+        reach = [np.where(np.isfinite(r), d[:, None] * np.where(np.isfinite(r), r, 0), -np.inf) for d, r in zip(length, radii, strict=True)]
+        self.upper = [a + d for a, d in zip(p, reach, strict=True)]
+        self.lower = [a - d for a, d in zip(p, reach, strict=True)]
+        sides = [np.abs(a).max(1, initial=0) + np.where(np.isfinite(d), d, 0).max(1, initial=0) for a, d in zip(p, reach, strict=True)]
+        self.room = 1e-9 * (sides[0] + sides[1]) + 1e-6
+        self.least = np.array([-np.inf if v is None else v for v in least], dtype=np.float64)
+        self.most = np.array([np.inf if v is None else v for v in most], dtype=np.float64)
+        self.first = np.full((n, FIRST), -1, dtype=np.int64)
+        for q in range(n if first_round else 0):
+            for place, (_, i, j) in zip(range(FIRST), best_first(self.upper[0][q], self.upper[1][q])):
+                self.first[q, place] = i * len(books[1]) + j
+
+    def visits(self, cells: np.ndarray) -> np.ndarray:
+        """Which anchors visit which of the cells: the first ones, or all whose bound reaches ``least``, unless all in them scores above ``most``."""
+        i, j = cells // len(self.books[1]), cells % len(self.books[1])
+        bound, low = self.upper[0][:, i] + self.upper[1][:, j], self.lower[0][:, i] + self.lower[1][:, j]
+        seen = (self.first[:, :, None] == cells).any(1) if self.first_round else np.isfinite(bound)
+        return seen & (bound + self.room[:, None] >= self.least[:, None]) & (low - self.room[:, None] <= self.most[:, None])
+
+
+def _request_blocks(shared, width: int, first_round: bool, most: int):
+    """Blocks of anchors, and the cells that any of them visits."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, radii = shared.value
+        every = np.arange(len(books[0]) * len(books[1]))
+        for part in _rows_of(batches, most):
+            asked = _Requests(_matrix(part.column("vector").to_pylist(), part.column("size").to_pylist(), width), part.column("least").to_pylist(), part.column("most").to_pylist(), books, radii, first_round)
+            visits = [at + np.flatnonzero(asked.visits(every[at : at + 4096]).any(0)) for at in range(0, len(every), 4096)]
+            yield pa.RecordBatch.from_arrays([*_one_row(part), pa.array([np.concatenate(visits).tolist()], pa.list_(pa.int64()))], [*part.schema.names, "visits"])
 
     return work
 
 
 _ANCHOR = ["anchor", "id", "label", "vector", "size", "windows"]
-_ANCHORS = "anchor long, id long, label {label}, vector binary, size int, windows array<struct<positive: long, low: long, high: long>>"
 _FOUND = "anchor long, positive long, id long, score long"
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, counts: np.ndarray, own: int, wanted: int) -> list[tuple[int, int]]:
-    """The first ``wanted`` (score, id) of members with these scores and ids, not counting the id ``own``."""
-    if len(scores) > wanted:
-        # A member may be the anchor alone, so one more is needed for the least score.
-        near = scores >= np.partition(scores, len(scores) - wanted - 1)[len(scores) - wanted - 1]
-        scores, ids, counts = scores[near], ids[near], counts[near]
-    each = np.repeat(scores, counts)
-    all_ids = np.concatenate(ids) if len(ids) else np.zeros(0, dtype=np.int64)
-    each, all_ids = each[all_ids != own], all_ids[all_ids != own]
-    order = np.lexsort((all_ids, -each))[:wanted]
-    return list(zip(each[order].tolist(), all_ids[order].tolist(), strict=True))
-
-
-def _compare(width: int, same: bool, wanted: int):
-    """Best rows of every request in a block: of its own label (``same``), or of other labels in each of its windows."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        members, requests = rows[rows["ids"].notna()], rows[rows["ids"].isna()]
-        if len(members) and len(requests):
-            x, labels, sizes = _matrix(members["vector"], width), members["label"].to_numpy(), members["size_"].to_numpy()
-            ids = np.empty(len(members), dtype=object)
-            ids[:] = [np.asarray(i, dtype=np.int64) for i in members["ids"]]
-            counts = np.array([len(i) for i in ids])
-            for at in range(0, len(requests), 256):
-                part = requests.iloc[at : at + 256]
-                scores = _scores(_matrix(part["vector"], width), x)
-                for row, s in zip(part.itertuples(), scores, strict=True):
-                    fits = ((labels == row.label) == same) & (sizes == row.size_)
-                    if same:
-                        out += [(row.anchor, None, i, v) for v, i in _best(s[fits], ids[fits], counts[fits], row.id, wanted)]
-                    else:
-                        for w in row.windows:
-                            held = fits & (s >= w["low"]) & (s <= w["high"])
-                            out += [(row.anchor, w["positive"], i, v) for v, i in _best(s[held], ids[held], counts[held], row.id, wanted)]
-        return pd.DataFrame(out, columns=["anchor", "positive", "id", "score"]).astype({"anchor": "int64", "positive": "Int64", "id": "int64", "score": "int64"})
+class _Best:
+    """The best rows so far of each anchor of a block, in each of its windows."""
+
+    def __init__(self, anchors: np.ndarray, own: np.ndarray, windows: list, wanted: int, same: bool):
+        self.anchors, self.own, self.wanted, self.same = anchors, own, wanted, same
+        many = 1 if same else max((len(w) for w in windows), default=0)
+        n = len(anchors)
+        # A window that an anchor lacks holds no score.
+        self.low, self.high, self.positive = np.full((many, n), _HIGHEST), np.full((many, n), _LOWEST), np.zeros((many, n), dtype=np.int64)
+        if same:
+            self.low[:], self.high[:] = _LOWEST, _HIGHEST
+        else:
+            for q, some in enumerate(windows):
+                for w, window in enumerate(some):
+                    self.low[w, q], self.high[w, q], self.positive[w, q] = window["low"], window["high"], window["positive"]
+        self.held = [np.zeros((0, 3), dtype=np.int64) for _ in range(many)]
+
+    def offer(self, q: np.ndarray, scores: np.ndarray, fits: np.ndarray, members: _Members, m: np.ndarray) -> None:
+        """Scores of the anchors ``q`` with the members ``m``, of which those count that fit."""
+        for w, (low, high) in enumerate(zip(self.low, self.high, strict=True)):
+            near = fits & (scores >= low[q][:, None])
+            if not self.same:
+                near &= scores <= high[q][:, None]
+            if np.count_nonzero(near) > 8 * (self.wanted + 1) * len(q) and len(m) > self.wanted:
+                # No more than the wanted members, and those that score as the last of them; the anchor alone is none.
+                near &= ~(members.alone[m] & (members.first[m] == self.own[q][:, None]))
+                ranked = np.where(near, scores, _LOWEST)
+                near &= scores >= np.partition(ranked, len(m) - self.wanted, axis=1)[:, len(m) - self.wanted][:, None]
+            i, j = np.nonzero(near)
+            if len(i):
+                self.keep(w, q[i], scores[i, j], m[j], members)
+
+    def keep(self, w: int, q: np.ndarray, scores: np.ndarray, m: np.ndarray, members: _Members) -> None:
+        times = members.counts[m]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        new = np.c_[np.repeat(q, times), np.repeat(scores, times), members.ids[np.repeat(members.starts[m], times) + place]]
+        rows = np.concatenate([self.held[w], new[new[:, 2] != self.own[new[:, 0]]]])
+        # No score is the lowest long, so each can be turned round.
+        rows = rows[np.lexsort((rows[:, 2], -rows[:, 1], rows[:, 0]))]
+        begins = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, dtype=np.int64)
+        sizes = np.diff(np.r_[begins, len(rows)])
+        rank = np.arange(len(rows)) - np.repeat(begins, sizes)
+        self.held[w] = rows = rows[rank < self.wanted]
+        last = rank[rank < self.wanted] == self.wanted - 1
+        self.low[w, rows[last, 0]] = np.maximum(self.low[w, rows[last, 0]], rows[last, 1])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for w, held in enumerate(self.held):
+            q, score, found = held.T
+            positive = pa.array(self.positive[w, q], mask=np.full(len(q), self.same))
+            yield pa.RecordBatch.from_arrays([pa.array(self.anchors[q]), positive, pa.array(np.ascontiguousarray(found)), pa.array(np.ascontiguousarray(score))], ["anchor", "positive", "id", "score"])
+
+
+class _Members:
+    """A block of members."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int, width: int, codes: dict):
+        of = lambda name: batch.column(f"b_{name}")[at].values
+        self.sizes = of("size").to_numpy()
+        self.x = _matrix(of("vector").to_pylist(), self.sizes, width)
+        self.labels = _coded(of("label"), codes)
+        self.cells, self.place = np.unique(of("cell").to_numpy(), return_inverse=True)
+        ids = of("ids")
+        self.counts, self.ids = pc.list_value_length(ids).to_numpy().astype(np.int64), ids.flatten().to_numpy()
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.alone, self.first = self.counts == 1, self.ids[self.starts]
+
+
+def _coded(labels: pa.Array, codes: dict) -> np.ndarray:
+    """A number for each label."""
+    return np.array([codes.setdefault(label, len(codes)) for label in labels.to_pylist()], dtype=np.int64)
+
+
+def _compare(shared, width: int, same: bool, wanted: int, first_round: bool):
+    """Best rows of every request in a task's blocks: of its own label (``same``), or of other labels in each of its windows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, block, best = {}, None, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                # One block of requests meets many of members, one after the other.
+                if block != batch.column("a_block")[at].as_py():
+                    if best is not None:
+                        yield from best.rows()
+                    of = lambda name: batch.column(f"a_{name}")[at].values  # noqa: B023, E731
+                    block, sizes, labels = batch.column("a_block")[at].as_py(), of("size").to_numpy(), _coded(of("label"), codes)
+                    asked = _Requests(_matrix(of("vector").to_pylist(), sizes, width), of("least").to_pylist(), of("most").to_pylist(), *shared.value, first_round)
+                    best = _Best(of("anchor").to_numpy(), of("id").to_numpy(), of("windows").to_pylist(), wanted, same)
+                members = _Members(batch, at, width, codes)
+                seen = asked.visits(members.cells)
+                q, m = np.flatnonzero(seen.any(1)), np.flatnonzero(seen.any(0)[members.place])
+                for part in (q[at_ : at_ + 256] for at_ in range(0, len(q), 256)):
+                    fits = seen[part][:, members.place[m]] & ((labels[part][:, None] == members.labels[m]) == same) & (sizes[part][:, None] == members.sizes[m])
+                    best.offer(part, _scores(asked.x[part], members.x[m]), fits, members, m)
+        if best is not None:
+            yield from best.rows()
 
     return work
 
 
-def _meet(requests: DataFrame, placed: DataFrame, width: int, same: bool, wanted: int) -> DataFrame:
-    """Best rows of each request among the members of its cell, by blocks of either."""
-    requests = keep(requests, "visits")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / MEMBERS).alias("m")).join(requests.groupBy("cell").agg(F.ceil(F.count("*") / REQUESTS).alias("q")), "cell")
-    part = lambda key, side: F.pmod(F.xxhash64(*key), F.col(side))
-    every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.col(side) - 1))
-    kind = dict(requests.dtypes)["windows"]
-    members = placed.join(sizes, "cell").select("cell", part(("vector", "label"), "m").alias("mb"), every("q").alias("qb"), F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("id"), "label", "vector", F.col("size").alias("size_"), F.lit(None).cast(kind).alias("windows"), "ids")
-    asked = requests.join(sizes, "cell").select("cell", every("m").alias("mb"), part(("anchor",), "q").alias("qb"), "anchor", "id", "label", "vector", F.col("size").alias("size_"), "windows", F.lit(None).cast("array<long>").alias("ids"))
-    return members.unionByName(asked).groupBy("cell", "mb", "qb").applyInPandas(_compare(width, same, wanted), _FOUND)
+def _meet(requests: DataFrame, members: DataFrame, shared, width: int, same: bool, wanted: int, first_round: bool, most: int) -> DataFrame:
+    """Best rows of each request among the members of the cells that it visits, by blocks of either."""
+    kind = dict(requests.dtypes)
+    columns = [*_ANCHOR, "least", "most"]
+    dealt = requests.repartitionByRange(max(1, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cell", "anchor").sortWithinPartitions("cell", "anchor").select(columns)
+    schema = ", ".join(f"{c} array<{kind[c]}>" for c in columns) + ", visits array<long>"
+    asked = keep(dealt.mapInArrow(_request_blocks(shared, width, first_round, most), schema).withColumn("block", F.monotonically_increasing_id()), "visits")
+    a, b = asked.select(*[F.col(c).alias(f"a_{c}") for c in asked.columns]), members.select(*[F.col(c).alias(f"b_{c}") for c in members.columns])
+    met = a.hint("shuffle_replicate_nl").join(b, F.arrays_overlap("a_visits", "b_cells")).drop("a_visits", "b_cells")
+    return met.mapInArrow(_compare(shared, width, same, wanted, first_round), _FOUND)
 
 
 def _first(found: DataFrame, wanted: int, *by: str) -> DataFrame:
@@ -211,43 +344,55 @@ def hard_negatives(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", v
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"), F.coalesce(anchor, F.lit(False)).alias("is_anchor"))
     packed = rows.select("id", F.struct("label", "is_anchor").alias("label"), "v").mapInArrow(_pack(scale), f"id long, label struct<label: {label}, is_anchor: boolean>, vector binary, size int")
     known = keep(packed.where("vector is not null").groupBy("id", "label.label", "vector", "size").agg(F.max("label.is_anchor").alias("is_anchor")), "whole-vectors")
-    few = Window.partitionBy("vector", "label").orderBy("id")
-    # One id more than wanted, as the anchor's own does not count.
-    enough = known.withColumn("place", F.row_number().over(few)).where(F.col("place") <= max(positives, negatives) + 1)
-    members = enough.groupBy("vector", "label", "size").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     counted = known.agg(F.max("size").alias("width"), F.count("*").alias("n")).first()
     width = max(2, counted["width"] or 0)
-    learned = known.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()
-    x, k = _matrix([r["vector"] for r in learned], width), max(1, round((counted["n"] / CELL) ** 0.5))
+    learned = known.select("vector", "size").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()
+    x, k = _matrix([r["vector"] for r in learned], [r["size"] for r in learned], width), max(1, round((counted["n"] / CELL) ** 0.5))
     half = width // 2
     books = tuple(_codebook(h, k) if len(h) else np.zeros((1, h.shape[1])) for h in (x[:, :half], x[:, half:]))
-    schema = f"vector binary, label {label}, size int, ids array<long>, cell long, d1 double, d2 double"
-    placed = keep(members.mapInArrow(_place(spark.sparkContext.broadcast(books), width), schema), "members")
+    # One id more than wanted, as the anchor's own does not count.
+    enough = max(positives, negatives) + 1
+    placing = spark.sparkContext.broadcast(books)
+    schema = f"cell long, vector binary, label {label}, size int, ids array<long>, d1 double, d2 double"
+    placed = known.select("id", "vector", "label", "size").mapInArrow(_place(placing, width, enough), schema)
+    dealt = placed.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell", "vector")
+    ids = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, enough).alias("ids")
+    members = dealt.groupBy("cell", "vector", "label", "size").agg(ids, F.max("d1").alias("d1"), F.max("d2").alias("d2")).sortWithinPartitions("cell", "vector")
+    block = lambda most: max(min(most, 64), min(most, BLOCK_BYTES // (2 * width)))
+    arrays = schema.replace("cell long", "cell array<long>").replace("vector binary", "vector array<binary>").replace(f"label {label}", f"label array<{label}>")
+    arrays = arrays.replace("size int", "size array<int>").replace("ids array<long>", "ids array<array<long>>").replace("d1 double, d2 double", "d1 array<double>, d2 array<double>, cells array<long>")
+    with small_batches(spark):
+        blocks = keep(members.mapInArrow(_member_blocks(block(MEMBERS)), arrays), "members")
     radii = [np.full(len(c), -np.inf) for c in books]
+    away = blocks.select(F.inline(F.arrays_zip("cell", "d1", "d2")))
     words = (F.floor(F.col("cell") / len(books[1])), F.col("cell") % len(books[1]))
     for r, word, d in zip(radii, words, ("d1", "d2"), strict=True):
-        for row in placed.groupBy(word.alias("word")).agg(F.max(d).alias("d")).collect():
+        for row in away.groupBy(word.alias("word")).agg(F.max(d).alias("d")).collect():
             r[row["word"]] = row["d"]
+    blocks = blocks.drop("d1", "d2")
     shared = spark.sparkContext.broadcast((books, radii))
 
+    def meet(requests: DataFrame, same: bool, wanted: int, first_round: bool) -> DataFrame:
+        return _meet(requests, blocks, shared, width, same, wanted, first_round, block(REQUESTS))
+
     def search(asked: DataFrame, same: bool, wanted: int, by: tuple[str, ...], least: Column) -> DataFrame:
-        """Both rounds; ``least`` of the first round's rows (and the request's own least) bounds what the second has to visit."""
-        kinds = _ANCHORS.format(label=label) + ", cell long"
-        near = keep(_first(_meet(asked.mapInArrow(_visit(shared, width, True), kinds), placed, width, same, wanted), wanted, *by), "first-round")
-        reached = near.groupBy(*by).agg(F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") == wanted)
-        bound = asked.drop("least").join(least(asked, reached), "anchor", "left")
-        rest = _meet(bound.select(asked.columns).mapInArrow(_visit(shared, width, False), kinds), placed, width, same, wanted)
-        return keep(_first(near.drop("rank").unionByName(rest), wanted, *by), "found")
+        """Both rounds; ``least`` of the first round's rows (and the request's own least) bounds what the second has to visit, which finds all."""
+        with small_batches(spark):
+            near = keep(_first(meet(asked, same, wanted, True), wanted, *by), "first-round")
+            reached = near.groupBy(*by).agg(F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") == wanted)
+            bound = asked.drop("least").join(least(asked, reached), "anchor", "left")
+            return keep(_first(meet(bound.select(asked.columns), same, wanted, False), wanted, *by), "found")
 
     no_windows = F.array().cast("array<struct<positive: long, low: long, high: long>>").alias("windows")
     unbounded = [F.lit(None).cast("long").alias(c) for c in ("least", "most")]
-    anchors = keep(known.where("is_anchor").select(F.xxhash64("id", "label", "vector").alias("anchor"), "id", "label", "vector", "size"), "anchors")
+    picked = known.where("is_anchor").select(F.xxhash64("id", "label", "vector").alias("anchor"), "id", "label", "vector", "size")
+    anchors = keep(picked.mapInArrow(_own_cell(placing, width), f"anchor long, id long, label {label}, vector binary, size int, cell long"), "anchors")
     good = search(anchors.select("*", no_windows, *unbounded), True, positives, ("anchor",), lambda _, reached: reached.select("anchor", F.col("worst").alias("least")))
     # ceil(percent * score / 100) in whole numbers; a window of a negative score is empty.
     low = F.ceil(F.col("score").cast("decimal(20,0)") * percent / 100).cast("long")
     window = F.struct(F.col("id").alias("positive"), low.alias("low"), F.col("score").alias("high"))
     windows = good.select("anchor", window.alias("w")).where("w.low <= w.high").groupBy("anchor").agg(F.sort_array(F.collect_list("w")).alias("windows"))
-    asked = anchors.join(windows, "anchor").select(*_ANCHOR, F.array_min("windows.low").alias("least"), F.array_max("windows.high").alias("most"))
+    asked = anchors.join(windows, "anchor").select(*_ANCHOR, "cell", F.array_min("windows.low").alias("least"), F.array_max("windows.high").alias("most"))
 
     def open_windows(requests: DataFrame, reached: DataFrame) -> DataFrame:
         each = requests.select("anchor", F.inline("windows")).join(reached, ["anchor", "positive"], "left")
